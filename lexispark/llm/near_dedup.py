@@ -5,9 +5,10 @@ tables is keyed by the pair (u_i, v_j), so m*m tables of 2*r rows cost 2*m*r has
 with similarity s meets in some table with probability (1 - (1 - s**r)**m)**2: with r = 3 and m = 12, over 0.9996 at 0.8.
 
 The tables are never written out whole: half-keys u_i that only one set has are dropped first, and only the rest is
-expanded by v_j. In a table's bucket every set is compared with two leaders; only sets that are still in different
-components after that are compared with each other, so a large group of copies costs a few comparisons for each copy.
-Every link is confirmed on the full shingle sets.
+expanded by v_j. In two turns every set is compared with one leader of its buckets that is not yet in its component (first
+the most central one), so a large group of copies costs two comparisons for each copy. What is still apart in a shared
+bucket is then compared exactly: only pairs that share one of their rarest shingles (a prefix of each set, ordered by
+document frequency) can reach the similarity. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import textbytes as T
@@ -106,13 +107,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, _key, _n) of the banding tables' buckets that at least two classes share."""
+    """(bucket, _key, _n, _score) of the banding tables' buckets that at least two classes share; _score: how central a class is, the sizes of its buckets summed."""
     half = classes.select("_key", "_n", F.posexplode("_u").alias("_i", "_x"))
     shared = half.groupBy("_i", "_x").agg(F.count("*").alias("_c")).where("_c > 1").select("_i", "_x")
     some = half.join(shared, ["_i", "_x"]).join(classes.select("_key", "_v"), "_key")
     full = some.select("_key", "_n", "_i", "_x", F.posexplode("_v").alias("_j", "_y")).select(F.xxhash64("_i", "_x", "_j", "_y").alias("bucket"), "_key", "_n")
-    many = full.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1").select("bucket")
-    return full.join(many, "bucket")
+    full = full.join(full.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1"), "bucket")
+    return full.join(full.groupBy("_key").agg(F.sum("_c").alias("_score")), "_key").select("bucket", "_key", "_n", "_score")
 
 
 def _fits(percent: int, a: str, b: str) -> Column:
@@ -122,20 +123,13 @@ def _fits(percent: int, a: str, b: str) -> Column:
 
 def _verified_links(docs: DataFrame, sig: DataFrame, buckets: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """Links (a, b) between classes that are enough for the components: every pair that shares a bucket is confirmed, refuted, or joined by other links."""
-    keys = buckets.select("_key").distinct()
-    one_row = sig.join(keys, "_key", "left_semi").groupBy("_key").agg(F.min("_id").alias("_id"))
+    one_row = sig.join(buckets.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.min("_id").alias("_id"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).join(one_row, "_id")
-    sets = checkpointed(texts.select("_key", "_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>"))
-    done = None
-    links = None
-    labelled = buckets.withColumn("_label", F.col("_key"))
+    sets = checkpointed(texts.select("_key", "_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>").dropDuplicates(["_key"]))
+    links, labelled = None, buckets.withColumn("_label", F.col("_key"))
     for turn in range(3):
-        pairs = _leader_pairs(labelled, percent, turn) if turn < 2 else _all_pairs(labelled, percent)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        told = checkpointed(_confirmed(pairs, sets, percent))
-        done = told.select("a", "b") if done is None else done.union(told.select("a", "b"))
-        found = told.where("_linked").select("a", "b")
+        pairs = _leader_pairs(labelled, percent, turn) if turn < 2 else _prefix_pairs(labelled, sets, percent)
+        found = checkpointed(_confirmed(pairs, sets, percent).where("_linked").select("a", "b"))
         links = found if links is None else links.union(found)
         if turn < 2:
             labels = components(links)
@@ -150,18 +144,49 @@ def _open_buckets(labelled: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(labelled: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each bucket's members with its leader: the member with the least hash, another one each turn."""
-    rank = F.struct(F.xxhash64("_key", "bucket", F.lit(turn)).alias("h"), "_key", "_n", "_label")
-    leaders = labelled.groupBy("bucket").agg(F.min(rank).alias("_lead"))
+    """Each class with one leader of its buckets that is in another component: of the buckets' leaders, the most central.
+
+    A bucket's leader is its most central member in the first turn and one drawn by hash in the second.
+    """
+    rank = F.col("_score") if turn == 0 else F.xxhash64("_key", "bucket")
+    leaders = labelled.groupBy("bucket").agg(F.max(F.struct(rank.alias("r"), "_key", "_n", "_label", "_score")).alias("_lead"))
     near = labelled.join(leaders, "bucket").where((F.col("_label") != F.col("_lead._label")) & _fits(percent, "_n", "_lead._n"))
-    return near.select(F.greatest("_key", "_lead._key").alias("a"), F.least("_key", "_lead._key").alias("b")).distinct()
+    one = near.groupBy("_key").agg(F.max(F.struct("_lead._score", "_lead._key")).alias("_best"))
+    return one.select(F.greatest("_key", "_best._key").alias("a"), F.least("_key", "_best._key").alias("b")).distinct()
 
 
-def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """What is left: members of a bucket that are in different components."""
-    x, y = labelled.alias("x"), labelled.select("bucket", F.col("_key").alias("_k2"), F.col("_n").alias("_n2"), F.col("_label").alias("_l2")).alias("y")
-    met = x.join(y, "bucket").where((F.col("_key") > F.col("_k2")) & (F.col("_label") != F.col("_l2")) & _fits(percent, "_n", "_n2"))
-    return met.select(F.col("_key").alias("a"), F.col("_k2").alias("b")).distinct()
+def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is left: pairs of classes in different components that could still reach the similarity, by bounds that lose none.
+
+    Only shingles that two components have can be common; a class needs enough of them (counted again once classes without
+    are gone). Sets are ordered with the rarest of these shingles first. Two sets of n and k that link share at least
+    percent * (n + k) / (100 + percent) shingles, so the smaller's first few and the larger's first few meet, and at each shingle
+    where they meet what came before and what can follow bounds the overlap. Within a shingle the largest component's
+    members are never paired with each other, so a large group meets only what is outside it.
+    """
+    members = labelled.select("_key", F.xxhash64("_key").alias("_id"), F.col("_n").cast("int").alias("_n"), F.xxhash64("_label").alias("_l")).distinct()
+    every = members.join(sets, "_key").select("_id", "_n", "_l", F.explode("_set").alias("_token"))
+    needed = F.ceil(F.col("_n") * percent / 100)
+    own = Window.partitionBy("_id")
+    for _ in range(2):
+        shared = every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c")
+        counted = every.join(shared, "_token").withColumn("_m", F.count("*").over(own)).where(F.col("_m") >= needed)
+        every = checkpointed(counted)
+        ranked = every
+        every = every.select("_id", "_n", "_l", "_token")
+    ranked = ranked.withColumn("_at", F.row_number().over(own.orderBy("_c", "_token"))).where(F.col("_at") <= F.col("_m") - needed + 1)
+    posts = ranked.select("_token", "_id", "_n", "_l", "_m", "_at")
+    of_label = posts.groupBy("_token", "_l").agg(F.count("*").alias("_c"))
+    largest = of_label.groupBy("_token").agg(F.max(F.struct("_c", "_l")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1").select("_token", F.col("_top._l").alias("_top"))
+    posts = posts.join(largest, "_token")
+    outside = posts.where("_l <> _top").select("_token", *[F.col(c).alias(f"{c}2") for c in ("_id", "_n", "_l", "_m", "_at")])
+    overlap = F.ceil((F.col("_n") + F.col("_n2")) * percent / (100 + percent))
+    can = F.least("_at", "_at2") + F.least(F.col("_m") - F.col("_at"), F.col("_m2") - F.col("_at2")) >= overlap
+    short = F.when(F.col("_n") < F.col("_n2"), F.col("_at") <= F.col("_m") - F.ceil(F.col("_n") * 2 * percent / (100 + percent)) + 1).when(F.col("_n") > F.col("_n2"), F.col("_at2") <= F.col("_m2") - F.ceil(F.col("_n2") * 2 * percent / (100 + percent)) + 1).otherwise(True)
+    met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short)
+    pairs = met.select(F.greatest("_id", "_id2").alias("_x"), F.least("_id", "_id2").alias("_y")).distinct()
+    names = members.select("_id", "_key")
+    return pairs.join(names.select(F.col("_id").alias("_x"), F.col("_key").alias("a")), "_x").join(names.select(F.col("_id").alias("_y"), F.col("_key").alias("b")), "_y").select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
