@@ -147,3 +147,12 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out += hashes[j : len(hashes) - k + 1 + j] * factors[j]
     return mix(out + np.uint64(k))
+
+
+def windows_at(hashes: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+    """As windows(), only for those that begin at the given places."""
+    factors = randoms(k, 17) | np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out += hashes[at + j] * factors[j]
+    return mix(out + np.uint64(k))
