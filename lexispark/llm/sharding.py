@@ -9,7 +9,7 @@ A shard that is added later is an increment: at the root it draws once, with its
 won. A row for which it wins goes straight to it and all others descend as before, so an added shard takes rows only into
 itself, and the subtree above it still gains exactly its weight.
 
-Everything is a Column expression: no shuffle is needed to place a row.
+Everything is a Column expression: no shuffle is needed to place a row, and each level hashes only the children of the node that was chosen.
 """
 
 from __future__ import annotations
@@ -43,53 +43,50 @@ class HashTree:
     def n_shards(self) -> int:
         return sum(len(r.weights) for racks in self.regions for r in racks) + len(self.added)
 
-    def grown(self, weight: float = 1.0) -> HashTree:
-        return HashTree(self.regions, (*self.added, weight))
-
 
 def even_tree(regions: int, racks: int, shards: int) -> HashTree:
     return HashTree(tuple(tuple(Rack((1.0,) * shards) for _ in range(racks)) for _ in range(regions)))
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    return -F.log(uniform(key, salt=name)) / F.lit(float(weight))
-
-
-def _least(draws: list[tuple[Column, Column]]) -> Column:
-    """The value that comes with the least draw."""
-    if len(draws) == 1:
-        return draws[0][1]
-    return F.array_min(F.array(*[F.struct(d.alias("d"), v.alias("v")) for d, v in draws]))["v"]
-
-
-def place(tree: HashTree, key: Column) -> Column:
-    """The shard of a key. A null key is a key like any other."""
-    at = 0
-    regions = []
-    for i, racks in enumerate(tree.regions):
-        in_racks = []
-        for j, rack in enumerate(racks):
-            shards = [(_draw(key, f"shard {i}.{j}.{k}", w), F.lit(at + k)) for k, w in enumerate(rack.weights)]
-            at += len(rack.weights)
-            in_racks.append((_draw(key, f"rack {i}.{j}", sum(rack.weights)), _least(shards)))
-        regions.append((_draw(key, f"region {i}", sum(sum(r.weights) for r in racks)), in_racks))
-    # the region first; CASE keeps the draws of other subtrees from being computed
-    first = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("v")) for i, (d, _) in enumerate(regions)]))
-    chosen = None
-    for i, (_, in_racks) in enumerate(regions):
-        chosen = F.when(first["v"] == i, _least_lazily(in_racks)) if chosen is None else chosen.when(first["v"] == i, _least_lazily(in_racks))
-    if tree.added:
-        best = F.array_min(F.array(*[F.struct(_draw(key, f"added {i}", w).alias("d"), F.lit(at + i).alias("v")) for i, w in enumerate(tree.added)]))
-        return F.when(best["d"] < first["d"], best["v"]).otherwise(chosen).cast("int")
-    return chosen.cast("int")
-
-
-def _least_lazily(children: list[tuple[Column, Column]]) -> Column:
-    which = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("v")) for i, (d, _) in enumerate(children)]))["v"]
-    out = None
-    for i, (_, v) in enumerate(children):
-        out = F.when(which == i, v) if out is None else out.when(which == i, v)
-    return out
+def _draw(key: str, name: Column, weight: Column) -> Column:
+    return F.when(weight > 0, -F.log(uniform(key, name)) / weight).otherwise(F.lit(float("inf")))
+
+
+def _least(key: str, level: str, parent: Column | None, weights: list[list[float]], row: Column | None) -> Column:
+    """(d, v) of the child with the least draw: weights[row] are the children's, of the node named by parent."""
+    most = max(map(len, weights))
+    draws = []
+    for k in range(most):
+        at = [w[k] if k < len(w) else 0.0 for w in weights]
+        weight = F.lit(at[0]) if row is None else F.get(F.array(*[F.lit(x) for x in at]), row)
+        name = F.lit(f"{level} {k}") if parent is None else F.concat(F.lit(f"{level} "), parent, F.lit(f".{k}"))
+        draws.append(F.struct(_draw(key, name, weight).alias("d"), F.lit(k).alias("v")))
+    return F.array_min(F.array(*draws))
+
+
+def place(rows: DataFrame, tree: HashTree, key: str, to: str = "shard", grown: str | None = None, weight: float = 1.0) -> DataFrame:
+    """rows with the shard of the column key, and with the one that it would have if a shard of the given weight were added. A null key is a key like any other."""
+    racks = [[sum(r.weights) for r in region] for region in tree.regions]
+    flat = [list(r.weights) for region in tree.regions for r in region]
+    first_rack, first_shard, n_racks, n = [], [], 0, 0
+    for region in tree.regions:
+        first_rack.append(n_racks)
+        n_racks += len(region)
+    for weights in flat:
+        first_shard.append(n)
+        n += len(weights)
+    lookup = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at)
+    rows = rows.withColumn("_region", _least(key, "region", None, [[sum(w) for w in racks]], None))
+    rows = rows.withColumn("_rack", _least(key, "rack", F.col("_region.v").cast("string"), racks, F.col("_region.v"))["v"])
+    rows = rows.withColumn("_flat", lookup(first_rack, F.col("_region.v")) + F.col("_rack"))
+    rows = rows.withColumn("_shard", lookup(first_shard, F.col("_flat")) + _least(key, "shard", F.concat_ws(".", "_region.v", "_rack"), flat, F.col("_flat"))["v"])
+    later = list(tree.added)
+    base = F.struct(F.col("_region.d").alias("d"), F.col("_shard").alias("v"))
+    draws = [F.struct(_draw(key, F.lit(f"added {i}"), F.lit(w)).alias("d"), F.lit(n + i).alias("v")) for i, w in enumerate([*later, weight])]
+    rows = rows.withColumn(to, (F.array_min(F.array(base, *draws[:-1])) if later else base)["v"])
+    if grown:
+        rows = rows.withColumn(grown, F.array_min(F.array(base, *draws))["v"])
+    return rows.drop("_region", "_rack", "_flat", "_shard")
 
 
 def assign(docs: DataFrame, tree: HashTree, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 100_000) -> DataFrame:
@@ -105,13 +102,8 @@ def assign(docs: DataFrame, tree: HashTree, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.col(id_col)
-    rows = docs.select(
-        key.alias("doc_id"),
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        place(tree, key).alias("shard"),
-        place(tree.grown(), key).alias("grown_shard"),
-    )
+    rows = docs.select(key.alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = place(rows, tree, "doc_id", "shard", "grown_shard")
     blocks = max(1, docs.count() // (block_rows * tree.n_shards) * 2)
     rows = rows.withColumn("_block", F.floor(uniform("doc_id", salt="slot") * blocks).cast("int"))
     sizes = rows.groupBy("shard", "_block").agg(F.count("*").alias("_rows"))
@@ -127,3 +119,4 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str =
     joined = own.join(shard_of, own[id_col].eqNullSafe(shard_of["_id"])).drop("_id")
     spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(4))
     joined.repartition("shard", spread).write.partitionBy("shard").option("maxRecordsPerFile", max_rows_per_file).parquet(path)
+
