@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import uniform
+from lexispark.llm.common import checkpointed, uniform
 
 
 @dataclass(frozen=True)
@@ -55,13 +55,10 @@ def _draw(key: str, name: Column, weight: Column) -> Column:
 def _least(key: str, level: str, parent: Column | None, weights: list[list[float]], row: Column | None) -> Column:
     """(d, v) of the child with the least draw: weights[row] are the children's, of the node named by parent."""
     most = max(map(len, weights))
-    draws = []
-    for k in range(most):
-        at = [w[k] if k < len(w) else 0.0 for w in weights]
-        weight = F.lit(at[0]) if row is None else F.get(F.array(*[F.lit(x) for x in at]), row)
-        name = F.lit(f"{level} {k}") if parent is None else F.concat(F.lit(f"{level} "), parent, F.lit(f".{k}"))
-        draws.append(F.struct(_draw(key, name, weight).alias("d"), F.lit(k).alias("v")))
-    return F.array_min(F.array(*draws))
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in (*w, *[0.0] * (most - len(w)))]) for w in weights])
+    own = F.get(table, F.lit(0) if row is None else row)
+    prefix = F.lit(f"{level} ") if parent is None else F.concat(F.lit(f"{level} "), parent, F.lit("."))
+    return F.array_min(F.transform(own, lambda w, k: F.struct(_draw(key, F.concat(prefix, k.cast("string")), w).alias("d"), k.alias("v"))))
 
 
 def place(rows: DataFrame, tree: HashTree, key: str, to: str = "shard", grown: str | None = None, weight: float = 1.0) -> DataFrame:
@@ -103,8 +100,9 @@ def assign(docs: DataFrame, tree: HashTree, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.col(id_col)
     rows = docs.select(key.alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = place(rows, tree, "doc_id", "shard", "grown_shard")
-    blocks = max(1, docs.count() // (block_rows * tree.n_shards) * 2)
+    # narrow, and read twice: for the blocks' sizes and for the slots
+    rows = checkpointed(place(rows, tree, "doc_id", "shard", "grown_shard"))
+    blocks = max(1, rows.count() // (block_rows * tree.n_shards) * 2)
     rows = rows.withColumn("_block", F.floor(uniform("doc_id", salt="slot") * blocks).cast("int"))
     sizes = rows.groupBy("shard", "_block").agg(F.count("*").alias("_rows"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
