@@ -27,6 +27,7 @@ from lexispark.llm.components import components
 #: Half-keys in a collection, and minimum hashes in a half-key.
 HALF_KEYS, ROWS = 12, 3
 _BLOCK = 4096
+_EARLIER = 24
 SIGNATURE = "_id long, _n long, _key binary, _u array<long>, _v array<long>"
 
 
@@ -161,29 +162,31 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     Only shingles that two components have can be common; a class needs enough of them (counted again once classes without
     are gone). Sets are ordered with the rarest of these shingles first. Two sets of n and k that link share at least
     percent * (n + k) / (100 + percent) shingles, so the smaller's first few and the larger's first few meet, and at each shingle
-    where they meet what came before and what can follow bounds the overlap. Within a shingle the largest component's
+    where they meet what came before and what can follow bounds the overlap. A pair comes up where it first meets: a shingle is
+    passed over if one of the few just before it is common too. Within a shingle the largest component's
     members are never paired with each other, so a large group meets only what is outside it.
     """
     members = labelled.select("_key", F.xxhash64("_key").alias("_id"), F.col("_n").cast("int").alias("_n"), F.xxhash64("_label").alias("_l")).distinct()
     every = members.join(sets, "_key").select("_id", "_n", "_l", F.explode("_set").alias("_token"))
     needed = F.ceil(F.col("_n") * percent / 100)
     own = Window.partitionBy("_id")
-    for _ in range(2):
+    for _ in range(3):
         shared = every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c")
         counted = every.join(shared, "_token").withColumn("_m", F.count("*").over(own)).where(F.col("_m") >= needed)
         every = checkpointed(counted)
         ranked = every
         every = every.select("_id", "_n", "_l", "_token")
-    ranked = ranked.withColumn("_at", F.row_number().over(own.orderBy("_c", "_token"))).where(F.col("_at") <= F.col("_m") - needed + 1)
-    posts = ranked.select("_token", "_id", "_n", "_l", "_m", "_at")
+    rarest = own.orderBy("_c", "_token")
+    ranked = ranked.withColumn("_at", F.row_number().over(rarest)).withColumn("_before", F.collect_list("_token").over(rarest.rowsBetween(-_EARLIER, -1)))
+    posts = ranked.where(F.col("_at") <= F.col("_m") - needed + 1).select("_token", "_id", "_n", "_l", "_m", "_at", "_before")
     of_label = posts.groupBy("_token", "_l").agg(F.count("*").alias("_c"))
     largest = of_label.groupBy("_token").agg(F.max(F.struct("_c", "_l")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1").select("_token", F.col("_top._l").alias("_top"))
     posts = posts.join(largest, "_token")
-    outside = posts.where("_l <> _top").select("_token", *[F.col(c).alias(f"{c}2") for c in ("_id", "_n", "_l", "_m", "_at")])
+    outside = posts.where("_l <> _top").select("_token", *[F.col(c).alias(f"{c}2") for c in ("_id", "_n", "_l", "_m", "_at", "_before")])
     overlap = F.ceil((F.col("_n") + F.col("_n2")) * percent / (100 + percent))
     can = F.least("_at", "_at2") + F.least(F.col("_m") - F.col("_at"), F.col("_m2") - F.col("_at2")) >= overlap
     short = F.when(F.col("_n") < F.col("_n2"), F.col("_at") <= F.col("_m") - F.ceil(F.col("_n") * 2 * percent / (100 + percent)) + 1).when(F.col("_n") > F.col("_n2"), F.col("_at2") <= F.col("_m2") - F.ceil(F.col("_n2") * 2 * percent / (100 + percent)) + 1).otherwise(True)
-    met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short)
+    met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short & ~F.arrays_overlap("_before", "_before2"))
     pairs = met.select(F.greatest("_id", "_id2").alias("_x"), F.least("_id", "_id2").alias("_y")).distinct()
     names = members.select("_id", "_key")
     return pairs.join(names.select(F.col("_id").alias("_x"), F.col("_key").alias("a")), "_x").join(names.select(F.col("_id").alias("_y"), F.col("_key").alias("b")), "_y").select("a", "b")
