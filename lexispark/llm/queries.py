@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, line_dedup, mixing, near_dedup, repetition, sharding, url_filter
+from lexispark.llm import bpe, line_dedup, lm_bloom, mixing, mpeg_audio, near_dedup, pii, repetition, sharding, url_filter
 from lexispark.llm.common import table
 
 #: Public ranks of 50,256 tokens; a parameter of the operator.
@@ -81,3 +81,18 @@ r as (select u.*, l.canon is not null as listed,
 select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule,
        case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' when listed then 'block' else 'allow' end as verdict, listed from r
 """
+
+
+@query
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.digests(table(spark, sf_dir, "documents"))
