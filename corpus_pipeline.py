@@ -1,10 +1,57 @@
-"""The pipeline over documents; see STAGES."""
+"""From documents to tokens in five stages, each an operator of lexispark.llm; see STAGES.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.llm import bpe, line_dedup, mixing, near_dedup, repetition
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the repetition rules go; null and empty texts are among them."""
+    return repetition.keep_good(docs)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines are deleted from the texts; no row goes, and n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the least id stays. Texts without words have no group."""
+    gone = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle_words=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document, and one with the first words for a part; documents of which it takes nothing go."""
+    return mixing.mixed_documents(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each text with their byte offsets, n_tokens, and whether they decode to the text."""
+    tokens = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    same = F.coalesce(F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(False))
+    return tokens.select(*docs.columns, F.size("bpe_ids").cast("long").alias("n_tokens"), "bpe_ids", "bpe_offsets", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_deduplication),
+    ("near dedup", near_deduplication),
+    ("source mixing", source_mixing),
+    ("byte bpe", byte_bpe),
+]
 
-STAGES: list = []
+#: Minimum hashing, the mix's shuffle and byte pair merges can't be said in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
