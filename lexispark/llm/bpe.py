@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexispark.llm import textbytes as T
 
@@ -331,7 +332,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     shared = _shared(docs.sparkSession, path)
     own = [c for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_offsets")]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
-    at, schema = own.index(text_col), docs.schema.add("bpe_ids", "array<int>").add("bpe_offsets", "array<int>")
+    at, schema = own.index(text_col), docs.schema.add("bpe_ids", ArrayType(IntegerType())).add("bpe_offsets", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
