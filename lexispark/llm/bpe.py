@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lexispark.llm import textbytes as T
 
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     shared = _shared(docs.sparkSession, path)
     own = [c for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_offsets")]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
-    at, schema = own.index(text_col), docs.schema.add("bpe_ids", ArrayType(IntegerType())).add("bpe_offsets", ArrayType(IntegerType()))
+    at, schema = own.index(text_col), StructType([*docs.schema.fields, StructField("bpe_ids", ArrayType(IntegerType())), StructField("bpe_offsets", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
@@ -362,7 +362,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "bpe_ids", to: str = "de
             out = [None if x is None else v.decode(np.array(x, np.int64)).tobytes() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, to])
 
-    return tokens.mapInArrow(run, tokens.schema.add(to, "binary"))
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(to, BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
