@@ -5,6 +5,592 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lexispark.functions import text as X
+from lexispark.operators import graph, membership, models, similarity
+from lexispark.plans import questions
+from lexispark.plans.sparql import Bind, Filter, Lit, Modifiers, Pattern, Query, Ref, Triple, Union, Var, call
+from lexispark.session import table
+from lexispark.sources import rdf
+
+Run = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Run] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Run], Run]:
+    def add(run: Run) -> Run:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLE[run.__name__] = sql
+        return run
+
+    return add
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s): the distinct standardised part names."""
+    return table(spark, sf_dir, "part").select(X.standardise(F.col("p_name")).alias("s")).distinct()
+
+
+_N = "n as (select distinct regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s from part)"
+_ALL = "n as (select regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s from part)"
+
+
+def _g(n: int, source: str = "n", item: str = "s") -> str:
+    pre, post = "||".join(["chr(2)"] * (n - 1)), "||".join(["chr(3)"] * (n - 1))
+    return f"(select {item}, unnest([substring({pre}||{item}||{post}, i::int, {n}) for i in range(1, length({item})+{n})]) as gram from {source})"
+
+
+# --- scalar text
+
+
+@query("select p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as stand from part")
+def q_standardize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.standardise(F.col("p_name")).alias("stand"))
+
+
+@query("select doc_id, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') as stand from documents")
+def q_standardize_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.standardise(F.col("text")).alias("stand"))
+
+
+@query("select c_custkey, lower(trim(c_name)) as stand from customer")
+def q_standardize_lower(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", X.standardise_lower(F.col("c_name")).alias("stand"))
+
+
+@query("""with p as (select p_partkey, p_name, list_filter(regexp_split_to_array(p_name, '\\s+'), lambda x: x <> '') as w from part),
+a as (select p_partkey, case when len(w) >= 2 then [p_name, w[1], w[-1]] else [p_name] end as l from p)
+select p_partkey, cast(generate_subscripts(l, 1) - 1 as integer) as ord, unnest(l) as alias, regexp_replace(upper(unnest(l)), '[^A-Z0-9]', '', 'g') as stand from a""")
+def q_aliases(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(X.aliases(F.col("p_name"))).alias("ord", "alias"))
+    return rows.withColumn("stand", X.standardise(F.col("alias")))
+
+
+@query("select doc_id, array_to_string(regexp_extract_all(upper(trim(text)), '\\w+|,'), ' ') as tokens, cast(len(regexp_extract_all(upper(trim(text)), '\\w+|,')) as integer) as n from documents")
+def q_tokenize(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
+
+
+@query("select conv_id, turn, array_to_string(regexp_extract_all(lower(trim(text)), '\\w+'), ' ') as tokens from conversations")
+def q_tokenize_words(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.words(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"with {_N} select s, gram, count(*) as cnt from {_g(3)} group by all")
+def q_ngrams(spark, sf_dir):
+    return similarity.grams(_names(spark, sf_dir), "s", 3)
+
+
+@query(f"with {_ALL}, m as (select gram, count(*) as cnt from {_g(3)} group by 1) select gram, cnt, cast(sum(cnt) over () as bigint) as size from m")
+def q_ngram_model(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(X.standardise(F.col("p_name")).alias("s"))
+    model = similarity.gram_model(part, "s", 3)
+    return model.join(F.broadcast(model.agg(F.sum("cnt").alias("size"))))  # one row
+
+
+@query(f"with {_ALL}, m as (select gram, count(*) as cnt from {_g(3)} group by 1), t as (select sum(cnt) as n from m) select gram, round((cnt + 1) / (n + 2), 9) as p, round(-ln((cnt + 1) / (n + 2)), 6) as info from m, t")
+def q_gram_info(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(X.standardise(F.col("p_name")).alias("s"))
+    model = similarity.gram_model(part, "s", 3)
+    p = X.gram_probability(F.col("cnt"), F.col("n"))
+    return model.join(F.broadcast(model.agg(F.sum("cnt").alias("n")))).select("gram", F.round(p, 9).alias("p"), F.round(X.info(p), 6).alias("info"))  # one row
+
+
+@query(f"with {_ALL} select ch, count(*) as cnt from (select unnest(string_split(s, '')) as ch from n) where ch <> '' group by 1")
+def q_alphabet(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(X.standardise(F.col("p_name")).alias("s"))
+    return similarity.gram_model(part, "s", 1).select(F.col("gram").alias("ch"), "cnt")
+
+
+# --- similarity
+
+_PAIRS = f"""g as (select s, gram, count(*) as c from {_g(3)} group by all),
+p as (select a.s as a, b.s as b, sum(least(a.c, b.c)) as i from g a join g b on a.gram = b.gram and a.s < b.s group by 1, 2)"""
+
+
+@query(f"with {_N}, {_PAIRS} select a, b, round(1 - i / (length(a) + length(b) + 4 - i), 6) as d from p")
+def q_jaccard_pairs(spark, sf_dir):
+    return similarity.jaccard_pairs(_names(spark, sf_dir), "s").withColumn("d", F.round("d", 6))
+
+
+@query(f"""with {_N}, {_PAIRS}, m as (select gram, count(*) as cnt from {_g(3)} group by 1), t as (select sum(cnt) as n from m),
+w as (select s, gram, c, -ln((cnt + 1) / (n + 2)) as w from g join m using (gram), t),
+u as (select p.a, p.b, gram, sum(case when w.s = p.a then c else 0 end) as x, sum(case when w.s = p.b then c else 0 end) as y, any_value(w) as w from p join w on w.s = p.a or w.s = p.b group by 1, 2, 3)
+select a, b, round(1 - sum(least(x, y) * w) / sum(greatest(x, y) * w), 6) as d from u group by 1, 2""")
+def q_info_jaccard(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    pairs = similarity.jaccard_pairs(names, "s").select("a", "b")
+    return similarity.info_jaccard(pairs, similarity.gram_model(names, "s", 3)).withColumn("d", F.round("d", 6))
+
+
+@query(f"with {_N}, {_PAIRS} select a, b, cast(levenshtein(a, b) as bigint) as d from p")
+def q_levenshtein(spark, sf_dir):
+    return similarity.jaccard_pairs(_names(spark, sf_dir), "s").select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
+
+
+#: Misspelt names to resolve, for the queries on entities.
+ASKED = ("antique blu", "smal bottle", "largee ring", "red gear", "green widgt", "steel bolt", "polishd pipe", "blue", "zzqx")
+_ASKED = ", ".join(f"('{q}')" for q in ASKED)
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in ASKED], "asked string").select("asked", X.standardise(F.col("asked")).alias("q"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", X.standardise(F.col("p_name")).alias("s"))
+    return part.groupBy("s").agg(F.min("p_partkey").alias("uri"))
+
+
+_TOPK = f"""e as (select regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s, min(p_partkey) as uri from part group by 1),
+v as (select regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (values {_ASKED}) t(a)),
+eg as (select s, gram, count(*) as y from {_g(3, "e")} group by all), qg as (select q, gram, count(*) as x from {_g(3, "v", "q")} group by all),
+i as (select q, s, sum(least(x, y)) as i from qg join eg using (gram) group by 1, 2),
+r as (select q, s, uri, 1 - i / (length(q) + length(s) + 4 - i) as d, row_number() over (partition by q order by 1 - i / (length(q) + length(s) + 4 - i), uri, s) as rank from i join e using (s)),
+k as (select * from r where rank <= 5)"""
+
+
+@query(f"with {_TOPK} select q, uri, s, round(d, 6) as d, cast(rank as integer) as rank from k")
+def q_ident_topk(spark, sf_dir):
+    return similarity.identify(_asked(spark).select("q"), "q", _entities(spark, sf_dir), "s", "uri").withColumn("d", F.round("d", 6))
+
+
+@query(f"with {_TOPK}, b as (select *, min(d) over (partition by q) as best from k), t as (select *, case when d + best = 0 then 0 else 2 * (d - best) / (d + best) end as gap from b) select q, uri, s, round(d, 6) as d, round(gap, 6) as gap from t where gap < 0.1")
+def q_ident_ambiguous(spark, sf_dir):
+    found = similarity.near_ties(similarity.identify(_asked(spark).select("q"), "q", _entities(spark, sf_dir), "s", "uri"), "q")
+    return found.select("q", "uri", "s", F.round("d", 6).alias("d"), F.round("gap", 6).alias("gap"))
+
+
+@query(f"with {_TOPK}, u as (select a as asked, regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (values {_ASKED}) t(a)) select asked, uri, s from u join k using (q) where rank = 1")
+def q_resolve_nodes(spark, sf_dir):
+    asked = _asked(spark)
+    best = similarity.identify(asked.select("q"), "q", _entities(spark, sf_dir), "s", "uri").where("rank = 1")
+    return asked.join(best, "q").select("asked", "uri", "s")
+
+
+# --- edits and sets
+
+_EDITS = """list_distinct([left(s, i::int) || substring(s, i::int + 2) for i in range(0, length(s))]
+ || [left(s, i::int) || substring(s, i::int + 2, 1) || substring(s, i::int + 1, 1) || substring(s, i::int + 3) for i in range(0, length(s) - 1)]
+ || flatten([[left(s, i::int) || c || substring(s, i::int + 2) for c in string_split('ABC', '')] for i in range(0, length(s))])
+ || flatten([[left(s, i::int) || c || substring(s, i::int + 1) for c in string_split('ABC', '')] for i in range(0, length(s) + 1)]))"""
+
+
+@query(f"with {_N} select s, unnest({_EDITS}) as edit from n")
+def q_edits1(spark, sf_dir):
+    return _names(spark, sf_dir).select("s", F.explode(X.edits1(F.col("s"), "ABC")).alias("edit"))
+
+
+@query(f"with n0 as (select distinct p_brand from part), n as (select distinct substring(upper(p_brand), 1, 4) as s from n0), a as (select s as word, unnest({_EDITS}) as s from n) select distinct word, unnest({_EDITS}) as edit from a")
+def q_edits2(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.substring(F.upper("p_brand"), 1, 4).alias("word")).distinct()
+    one = words.select("word", F.explode(X.edits1(F.col("word"), "ABC")).alias("s"))
+    return one.select("word", F.explode(X.edits1(F.col("s"), "ABC")).alias("edit")).distinct()
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(f"with {_N}, v as (select distinct regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (values {_ASKED}) t(a)) select q, exists(select 1 from n where levenshtein(n.s, v.q) <= 1) as found from v")
+def q_fuzzy_member(spark, sf_dir):
+    """Edit distance of at most 1 is what deletions, replacements and insertions over the members' alphabet reach; transpositions are left to tests."""
+    return membership.within_edits(_asked(spark).select("q").distinct(), "q", _names(spark, sf_dir), "s", 1, _LETTERS)
+
+
+@query("with w as (select distinct p_name as name from part), a as (select distinct p_name from part where p_size < 10), b as (select distinct p_name from part where p_type like '%ECO%') select name, name in (from a) as small, name in (from b) as eco, name in (from a) or name in (from b) as in_any from w")
+def q_or_set(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return membership.flags(part.select(F.col("p_name").alias("name")).distinct(), "name", {"small": (part.where("p_size < 10"), "p_name"), "eco": (part.where(F.col("p_type").contains("ECO")), "p_name")})
+
+
+@query("select distinct p_name as name from part where p_size < 25 and p_name not in (select p_name from part where p_retailprice < 950)")
+def q_semi_anti(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.where("p_size < 25").select(F.col("p_name").alias("name")).distinct().join(part.where("p_retailprice < 950").select(F.col("p_name").alias("name")), "name", "left_anti")
+
+
+# --- models
+
+_RATED = f"""{_ALL}, m as (select gram, count(*) as cnt from {_g(3)} group by 1), z as (select sum(cnt) as size from m),
+o as (select distinct s from n), og as {_g(3, "o")}, r as (select s, (sum(coalesce(cnt, 0)) + 1) / (length(s) + 5) / any_value(size) as rating from og left join m using (gram), z group by s)"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(X.standardise(F.col("p_name")).alias("s"))
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    return models.rate(parts, "s", similarity.gram_model(parts, "s", 3), 3)
+
+
+@query(f"with {_RATED} select s, round(rating, 9) as rating from r")
+def q_ngram_rate(spark, sf_dir):
+    return _rated(spark, sf_dir).withColumn("rating", F.round("rating", 9))
+
+
+@query(f"with {_RATED} select round(stddev_pop(rating), 9) as deviation, count(*) as n from n join r using (s)")
+def q_rating_stddev(spark, sf_dir):
+    return models.train_filter(_parts(spark, sf_dir), "s", 3)[1].select(F.round("deviation", 9).alias("deviation"), "n")
+
+
+@query(f"with {_RATED}, b as (select min(rating) as lo, max(rating) as hi from r) select cast(least(floor((rating - lo) / (hi - lo) * 20), 19) as bigint) as bucket, count(*) as n from r, b group by 1")
+def q_rating_histogram(spark, sf_dir):
+    rated = _rated(spark, sf_dir)
+    ends = rated.agg(F.min("rating").alias("lo"), F.max("rating").alias("hi"))
+    bucket = F.least(F.floor((F.col("rating") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 20), F.lit(19)).cast("long")
+    return rated.join(F.broadcast(ends)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))  # one row
+
+
+_BOUND = f"{_RATED}, k as (select rating, row_number() over (order by rating, s) as k, count(*) over () as c from n join r using (s)), b as (select min(rating) as bound from k where k = cast(floor(0.01 * c) as bigint) + 1)"
+
+
+@query(f"with {_BOUND} select s, rating >= bound as member from r, b")
+def q_ngpol_filter(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    model, bounds = models.train_filter(parts, "s", 3, 0.01)
+    return models.rate(parts, "s", model, 3).join(F.broadcast(bounds)).select("s", (F.col("rating") >= F.col("min_rating")).alias("member"))  # one row
+
+
+@query(f"with {_BOUND} select round(bound * 0.9, 9) as min_rating from b")
+def q_ngpol_allowance(spark, sf_dir):
+    return models.allow(models.train_filter(_parts(spark, sf_dir), "s", 3, 0.01)[1], 0.1).select(F.round("min_rating", 9).alias("min_rating"))
+
+
+@query(f"with {_RATED}, b as (select quantile_disc(rating, 0.5) as bound from r) select s, cast(case when rating >= bound then 0 else ceil(ln(rating / bound) / ln(0.95) - 1e-12) end as bigint) as steps from r, b")
+def q_stretch(spark, sf_dir):
+    rated = _rated(spark, sf_dir)
+    bound = rated.agg(F.expr("percentile_disc(0.5) within group (order by rating)").alias("bound"))
+    return rated.join(F.broadcast(bound)).select("s", models.steps_to_include("rating", "bound", 0.05).alias("steps"))  # one row
+
+
+_LENGTHS = f"{_ALL}, l as (select s, cast(length(s) as double) as v from n), d as (select distinct v from l), gp as (select v - lag(v) over (order by v) as gap from d), mt as (select min(v) as lo, max(v) as hi, (select min(gap) from gp) as gr from l), bk as (select cast(least(floor((v - lo) / gr), floor((hi - lo) / gr) - 1) as bigint) as bucket, count(*) as c from l, mt group by 1), ds as (select bucket, sum(c) over (order by bucket) / sum(c) over () as cum from bk)"
+
+
+@query(f"with {_LENGTHS} select bucket, round(cum, 6) as cum, lo as min_val, hi as max_val, cast(floor((hi - lo) / gr) as bigint) as buckets from ds, mt")
+def q_length_dist(spark, sf_dir):
+    lengths = _parts(spark, sf_dir).select(F.length("s").alias("v"))
+    return models.distribution(lengths, "v").select("bucket", F.round("cum", 6).alias("cum"), "min_val", "max_val", "buckets")
+
+
+@query("""with l as (select cast(n_chars as double) as v from documents), d as (select distinct v from l), gp as (select v - lag(v) over (order by v) as gap from d), mt as (select min(v) as lo, max(v) as hi, (select min(gap) from gp) as g from l),
+m2 as (select *, case when floor((hi - lo) / g) > 5000 then 5000 else floor((hi - lo) / g) end as nb, case when floor((hi - lo) / g) > 5000 then (hi - lo) / 5000 else g end as gr from mt),
+bk as (select cast(least(floor((v - lo) / gr), nb - 1) as bigint) as bucket, count(*) as c from l, m2 group by 1) select bucket, round(sum(c) over (order by bucket) / sum(c) over (), 6) as cum from bk""")
+def q_document_length_dist(spark, sf_dir):
+    return models.distribution(table(spark, sf_dir, "documents"), "n_chars").select("bucket", F.round("cum", 6).alias("cum"))
+
+
+_RDIST = "rs as (select n.s, rating as v from n join r using (s)), d as (select distinct v from rs), gp as (select v - lag(v) over (order by v) as gap from d), mt as (select min(v) as lo, max(v) as hi, (select min(gap) from gp) as g from rs), m2 as (select *, case when floor((hi - lo) / g) > 5000 then 5000 else floor((hi - lo) / g) end as nb, case when floor((hi - lo) / g) > 5000 then (hi - lo) / 5000 else g end as gr from mt), bk as (select cast(least(floor((v - lo) / gr), nb - 1) as bigint) as bucket, count(*) as c from rs, m2 group by 1), ds as (select bucket, sum(c) over (order by bucket) / sum(c) over () as cum from bk)"
+
+
+def _rating_dist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rated = _rated(spark, sf_dir)
+    return rated, models.distribution(_parts(spark, sf_dir).join(rated, "s"), "rating")
+
+
+@query(f"""with {_RATED}, {_RDIST}, x as (select s, rating, (rating - lo) / gr as b, floor((rating - lo) / gr) as l, lo, hi, nb from r, m2),
+y as (select x.*, coalesce((select max(cum) from ds where bucket <= x.l), 0) as c0, coalesce((select max(cum) from ds where bucket <= x.l + 1), 0) as c1 from x)
+select s, round(case when rating < lo then 0 when rating >= hi or l >= nb - 1 then 1 else c0 + (c1 - c0) * (b - l) end, 5) as p from y""")
+def q_ngram_dist(spark, sf_dir):
+    rated, dist = _rating_dist(spark, sf_dir)
+    return models.cdf(rated, "rating", dist, "p").select("s", F.round("p", 5).alias("p"))
+
+
+@query(f"""with {_LENGTHS}, x as (select distinct s, v, floor((v - lo) / gr) as l, floor((hi - lo) / gr) as nb, lo, hi from l, mt), y as (select x.*, coalesce((select max(cum) from ds where bucket <= x.l), 0) as c0 from x), p as (select s, case when v < lo then 0 when v >= hi or l >= nb - 1 then 1 else c0 end as p from y)
+select s, round(p, 6) as p, case when p > 0 then round(0 - ln(p), 6) end as info from p""")
+def q_info_content(spark, sf_dir):
+    names = _names(spark, sf_dir).withColumn("v", F.length("s"))
+    p = models.cdf(names, "v", models.distribution(_parts(spark, sf_dir).select(F.length("s").alias("v")), "v"), "p", whole=True)
+    return p.select("s", F.round("p", 6).alias("p"), F.when(F.col("p") > 0, F.round(X.info(F.col("p")), 6)).alias("info"))
+
+
+@query(f"""with {_LENGTHS}, x as (select distinct s, v, floor((v - lo) / gr) as l, floor((hi - lo) / gr) as nb, lo, hi from l, mt), y as (select x.*, coalesce((select max(cum) from ds where bucket <= x.l), 0) as c0 from x), p as (select s, v, case when v < lo then 0 when v >= hi or l >= nb - 1 then 1 else c0 end as p from y)
+select s, round(case when p <= 0 then 0 else power(p, 0.5) * power(v / 100, 2) end, 6) as p, p > 0 as member from p""")
+def q_joined_prob(spark, sf_dir):
+    names = _names(spark, sf_dir).withColumn("v", F.length("s"))
+    p = models.cdf(names, "v", models.distribution(_parts(spark, sf_dir).select(F.length("s").alias("v")), "v"), "p1", whole=True).withColumn("p2", F.col("v") / 100)
+    both = models.joined_probability([("p1", 0.5), ("p2", 2.0)])
+    return p.select("s", F.round(both, 6).alias("p"), (both > 0).alias("member"))
+
+
+_BRANDS = f"""{_ALL}, c as (select distinct p_brand as cl, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s, p_partkey from part), cg as {_g(3, "(select cl, s, p_partkey from c)", "cl, s").replace("length(cl, s)", "length(s)").replace("chr(2)||chr(2)||cl, s||", "chr(2)||chr(2)||s||")}, cm as (select cl, gram, count(*) as cnt from cg group by 1, 2), cz as (select cl, sum(cnt) as size from cm group by 1), o as (select distinct s from n), og as {_g(3, "o")},
+cr as (select s, cl, (sum(cnt) + 1) / (length(s) + 5) / any_value(size) as rating from og join cm using (gram) join cz using (cl) group by s, cl)"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    members = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cl"), X.standardise(F.col("p_name")).alias("s"))
+    return members, models.rate_by_cluster(_parts(spark, sf_dir), "s", members, "cl", 3)
+
+
+@query(f"with {_BRANDS}, k as (select *, row_number() over (partition by s order by round(rating, 12) desc, cl) as k from cr) select s, cl, round(rating, 9) as rating from k where k = 1")
+def q_cluster_best(spark, sf_dir):
+    rated = _clusters(spark, sf_dir)[1].withColumn("rating", F.round("rating", 12))
+    return models.best_cluster(rated, "s", "cl").withColumn("rating", F.round("rating", 9))
+
+
+@query(f"with {_BRANDS}, own as (select c.cl, min(rating) as bound from c join cr using (s, cl) group by 1) select s, bool_or(rating >= bound) as member, cast(count(*) filter (rating >= bound) as bigint) as n from cr join own using (cl) group by 1")
+def q_cluster_filter(spark, sf_dir):
+    members, rated = _clusters(spark, sf_dir)
+    bounds = members.distinct().join(rated, ["s", "cl"]).groupBy("cl").agg(F.min("rating").alias("bound"))
+    hit = F.col("rating") >= F.col("bound")
+    return rated.join(bounds, "cl").groupBy("s").agg(F.bool_or(hit).alias("member"), F.count_if(hit).alias("n"))
+
+
+@query(f"with recursive {_N}, {_PAIRS}, e as (select a, b from p where 1 - i / (length(a) + length(b) + 4 - i) <= 0.5 union all select b, a from p where 1 - i / (length(a) + length(b) + 4 - i) <= 0.5), w as (select s as node, s as other from n union select w.node, e.b from w join e on w.other = e.a) select node, min(other) as label from w group by 1")
+def q_clusters(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    links = similarity.jaccard_pairs(names, "s").where("d <= 0.5")
+    return graph.components(links, names.withColumnRenamed("s", "node"))
+
+
+@query("select cl, s from (select *, row_number() over (partition by cl order by md5(s), s) as k from (select distinct p_brand as cl, p_name as s from part)) where k <= 4")
+def q_cluster_sample(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cl"), F.col("p_name").alias("s")).distinct()
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("cl").orderBy(F.md5("s"), "s"))).where("k <= 4").select("cl", "s")
+
+
+# --- terminals at a cursor, and spans
+
+
+@query("select conv_id, turn, case when substring(text, 1, 3) = 'The' then 3 else -1 end as n from conversations")
+def q_term_string(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(X.match_string(F.col("text"), 0, "The"), F.lit(-1)).alias("n"))
+
+
+@query("select doc_id, case when list_extract(regexp_extract_all(lower(trim(text)), '\\w+'), 2) = 'the' then 1 else -1 end as n from documents")
+def q_term_word(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(X.match_word(X.words(F.col("text")), 1, "the"), F.lit(-1)).alias("n"))
+
+
+@query("select doc_id, case when regexp_matches(substring(text, 1, 1000), '^(?:([A-Z][a-z]+) ([a-z]+))') then regexp_extract(substring(text, 1, 1000), '^(?:([A-Z][a-z]+) ([a-z]+))', 2) end as word from documents")
+def q_term_regex(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.match_regex(F.col("text"), 0, "([A-Z][a-z]+) ([a-z]+)", 2).alias("word"))
+
+
+@query("select conv_id, turn, case when lower(regexp_extract(text, '^\\w+', 0)) = 'the' then regexp_extract(text, '^\\w+', 0) end as word from conversations")
+def q_term_keyword(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.match_keyword(F.col("text"), 0, "THE").alias("word"))
+
+
+_SPANS = """t as (select conv_id * 1000 + turn as id, regexp_extract_all(upper(trim(text)), '\\w+|,') as w from conversations),
+sp as (select id, st as start, st + k as stop, k as n, array_to_string(w[st + 1 : st + k], '') as span from t, range(0, 100000) a(st), range(1, 4) b(k) where st + k <= len(w))"""
+_SPAN_SET = "f as (select w, count(*) as c from (select unnest(regexp_extract_all(upper(trim(text)), '\\w+|,')) as w from documents) where w <> ',' group by 1 having count(*) >= 50)"
+
+
+def _conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), X.tokens(F.col("text")).alias("t"))
+    return membership.spans(rows, "id", "t")
+
+
+def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("w")).where("w <> ','")
+    return words.groupBy("w").agg(F.count("*").alias("c")).where("c >= 50")
+
+
+@query(f"with {_SPANS}, {_SPAN_SET} select id, cast(start as integer) as start, cast(n as integer) as n, span from sp where span in (select w from f)")
+def q_span_inclusion(spark, sf_dir):
+    return membership.span_members(_conversation_spans(spark, sf_dir), _frequent(spark, sf_dir), "w")
+
+
+@query(f"with {_SPANS}, {_SPAN_SET}, z as (select sum(c) as z from f), h as (select id, start, n, span, -ln(c / z) as info from sp join f on span = w, z) select id, cast(start as integer) as start, cast(n as integer) as n, span, round(info, 6) as info, cast(row_number() over (partition by id, start order by round(info, 9), n) as integer) as rank from h")
+def q_span_prob(spark, sf_dir):
+    from pyspark.sql import Window
+
+    f = _frequent(spark, sf_dir)
+    p = f.join(F.broadcast(f.agg(F.sum("c").alias("z")))).select(F.col("w").alias("span"), X.info(F.col("c") / F.col("z")).alias("info"))  # one row
+    hit = _conversation_spans(spark, sf_dir).join(p, "span")
+    best = Window.partitionBy("id", "start").orderBy(F.round("info", 9), "n")
+    return hit.select("id", "start", "n", "span", F.round("info", 6).alias("info"), F.row_number().over(best).alias("rank"))
+
+
+#: Questions over the part and supplier tables, for the queries on parsing and on entities.
+QUESTIONS = (
+    (1, "What parts has Supplier#000000001 supplied?"),
+    (2, "What ECONOMY parts has Supplier#000000002 supplied?"),
+    (3, "What ECONOMY and PROMO parts has Supplier#000000003 supplied?"),
+    (4, "Who supplied blue bolt?"),
+    (5, "Which suppliers have supplied both ECONOMY and PROMO parts?"),
+    (6, "What parts has Supplier#000000004 supplied that are the same type as blue bolt?"),
+    (7, "How heavy is the moon?"),
+)
+_QUESTIONS = ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)
+
+
+@query(f"with q as (select * from (values {_QUESTIONS}) v(id, q)), t as (select id, regexp_extract_all(upper(trim(q)), '\\w+|,') as w from q), sp as (select id, st as start, k as n, array_to_string(w[st + 1 : st + k], '') as span from t, range(0, 100) a(st), range(1, 4) b(k) where st + k <= len(w)), e as (select distinct regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s from part) select id, cast(start as integer) as start, cast(n as integer) as n, span from sp where span in (select s from e)")
+def q_span_entity(spark, sf_dir):
+    rows = spark.createDataFrame(list(QUESTIONS), "id int, q string").select("id", X.tokens(F.col("q")).alias("t"))
+    return membership.span_members(membership.spans(rows, "id", "t"), _names(spark, sf_dir), "s")
+
+
+#: A small lexicon of our own: hyponyms (parent, child) and lemmas (synset, lemma).
+HYPONYMS = (("dog", "terrier"), ("dog", "great dane"), ("dog", "puppy"), ("animal", "dog"), ("animal", "cat"), ("bark", "yip"), ("sound", "bark"), ("sound", "meow"))
+LEMMAS = tuple((s, s.upper()) for s in ("dog", "terrier", "great dane", "puppy", "cat", "bark", "yip", "meow")) + (("dog", "HOUND"), ("great dane", "DANE"))
+_HYPO = ", ".join(f"('{a}', '{b}')" for a, b in HYPONYMS)
+_LEMMA = ", ".join(f"('{a}', '{b}')" for a, b in LEMMAS)
+
+
+@query(f"with recursive h(parent, child) as (values {_HYPO}), l(synset, lemma) as (values {_LEMMA}), r(v) as (select 'dog' union select child from h join r on parent = v) select distinct lemma from l where synset in (select v from r)")
+def q_shtl(spark, sf_dir):
+    h = spark.createDataFrame(list(HYPONYMS), "parent string, child string")
+    return membership.hyponym_lemmas(h, spark.createDataFrame(list(LEMMAS), "synset string, lemma string"), "dog")
+
+
+# --- graph patterns over the triples
+
+_V = {v: Var(v) for v in "part name type brand supplier sname nation nname region rname n other customer segment label".split()}
+IS, LABEL = Ref(rdf.TYPE), Ref(rdf.LABEL)
+_S = "'http://ex/supplier/' || s_suppkey"
+_P = "'http://ex/part/' || p_partkey"
+
+
+def _df(spark: SparkSession, sf_dir: str, q: Query) -> DataFrame:
+    return q.to_df(rdf.star_triples(spark, sf_dir))
+
+
+def _q(*patterns, out: str, **modifiers) -> Query:
+    q = Query().namespace("ex:", "ex:").add(*patterns).output(*[Var(v) for v in out.split()])
+    q.modifiers = Modifiers(**modifiers)
+    return q
+
+
+@query(f"select {_P} as part, p_name as name, p_type as type, p_brand as brand from part")
+def q_bgp_star(spark, sf_dir):
+    v = _V
+    return _df(spark, sf_dir, _q(Triple(v["part"], IS, Ref("ex:Part")), Triple(v["part"], LABEL, v["name"]), Triple(v["part"], Ref("ex:type"), v["type"]), Triple(v["part"], Ref("ex:brand"), v["brand"]), out="part name type brand"))
+
+
+@query(f"select {_S} as supplier, n_name as nname, r_name as rname from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def q_bgp_chain(spark, sf_dir):
+    v = _V
+    return _df(spark, sf_dir, _q(Triple(v["supplier"], Ref("ex:nation"), v["nation"]), Triple(v["supplier"], IS, Ref("ex:Supplier")), Triple(v["nation"], LABEL, v["nname"]), Triple(v["nation"], Ref("ex:region"), v["region"]), Triple(v["region"], LABEL, v["rname"]), out="supplier nname rname"))
+
+
+@query(f"select {_P} as part from part where p_type in (select p_type from part where p_partkey = 1)")
+def q_same_attribute(spark, sf_dir):
+    return _df(spark, sf_dir, _q(Triple(Ref("http://ex/part/1"), Ref("ex:type"), _V["type"]), Triple(_V["part"], Ref("ex:type"), _V["type"]), out="part"))
+
+
+@query("select distinct 'http://ex/supplier/' || l_suppkey as supplier from lineitem join part on l_partkey = p_partkey where p_type = 'ECONOMY' and l_suppkey in (select l_suppkey from lineitem join part on l_partkey = p_partkey where p_type = 'PROMO')")
+def q_and_constraints(spark, sf_dir):
+    v = _V
+    return _df(spark, sf_dir, _q(Triple(v["part"], Ref("ex:suppliedBy"), v["supplier"]), Triple(v["part"], Ref("ex:type"), Lit("ECONOMY")), Triple(v["other"], Ref("ex:suppliedBy"), v["supplier"]), Triple(v["other"], Ref("ex:type"), Lit("PROMO")), out="supplier", distinct=True))
+
+
+@query("select doc_id from documents where lower(lang) = 'en' or lower(lang) like 'en-%'")
+def q_lang_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    triples = docs.select(F.col("doc_id").cast("string").alias("s"), F.lit("rdfs:label").alias("p"), F.col("source").alias("o"), F.col("lang").alias("o_lang"))
+    q = _q(Triple(Var("d"), LABEL, Var("x")), Filter(call("langMatches", call("lang", Var("x")), Lit("EN"))), out="d")
+    return q.to_df(triples).select(F.col("d").cast("long").alias("doc_id"))
+
+
+@query(f"select {_S} as supplier, s_name as sname, n_name as nname from supplier left join (select * from nation where n_nationkey < 12) on s_nationkey = n_nationkey")
+def q_sparql_optional(spark, sf_dir):
+    v = _V
+    few = Pattern().add(Triple(v["supplier"], Ref("ex:nation"), v["nation"])).add(Triple(v["nation"], LABEL, v["nname"])).add(Triple(v["nation"], Ref("ex:region"), v["region"]))
+    few.add(Filter(call("||", *[call("=", v["nation"], Ref(f"http://ex/nation/{i}")) for i in range(12)])))
+    return _df(spark, sf_dir, _q(Triple(v["supplier"], IS, Ref("ex:Supplier")), Triple(v["supplier"], LABEL, v["sname"]), few, out="supplier sname nname"))
+
+
+@query(f"select {_S} as n, s_name as label, null::varchar as segment from supplier union all select 'http://ex/customer/' || c_custkey, null, c_mktsegment from customer")
+def q_sparql_union(spark, sf_dir):
+    v = _V
+    a = Pattern().add(Triple(v["n"], IS, Ref("ex:Supplier"))).add(Triple(v["n"], LABEL, v["label"]))
+    b = Pattern().add(Triple(v["n"], Ref("ex:segment"), v["segment"]))
+    return _df(spark, sf_dir, _q(Union([a, b]), out="n label segment"))
+
+
+@query(f"select {_P} as part, upper(p_name) || '!' as label from part where length(p_name) > 9")
+def q_sparql_bind(spark, sf_dir):
+    v = _V
+    return _df(spark, sf_dir, _q(Triple(v["part"], IS, Ref("ex:Part")), Triple(v["part"], LABEL, v["name"]), Bind(call("concat", call("ucase", v["name"]), Lit("!")), v["label"]), Filter(call(">", call("strlen", v["name"]), 9)), out="part label"))
+
+
+@query("select 'http://ex/supplier/' || l_suppkey as supplier, count(*) as n from (select distinct l_suppkey, l_partkey from lineitem) group by 1 having count(*) > 20")
+def q_sparql_group_having(spark, sf_dir):
+    q = _q(Triple(_V["part"], Ref("ex:suppliedBy"), _V["supplier"]), out="supplier").group(_V["supplier"]).aggregate("COUNT", _V["part"], _V["n"])
+    q.having = call(">", _V["n"], 20)
+    return _df(spark, sf_dir, q)
+
+
+@query(f"select {_P} as part, p_name as name from part order by p_name desc, {_P} limit 20 offset 5")
+def q_sparql_order_limit(spark, sf_dir):
+    return _df(spark, sf_dir, _q(Triple(_V["part"], IS, Ref("ex:Part")), Triple(_V["part"], LABEL, _V["name"]), out="part name", order=[(_V["name"], True)], limit=20, offset=5))
+
+
+@query("select distinct p_type as type, p_brand as brand from part")
+def q_sparql_distinct(spark, sf_dir):
+    return _df(spark, sf_dir, _q(Triple(_V["part"], Ref("ex:type"), _V["type"]), Triple(_V["part"], Ref("ex:brand"), _V["brand"]), out="type brand", distinct=True))
+
+
+PREFIXES = {"ex:": "http://ex/", "exp:": "http://ex/part/"}
+
+
+@query("select p_partkey, 'exp:' || p_partkey as short from part")
+def q_ns_minimize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.minimise(rdf.uri("part", "p_partkey"), PREFIXES).alias("short"))
+
+
+@query("select p_partkey, 'http://ex/part/' || p_partkey as uri from part")
+def q_ns_maximize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.maximise(F.concat(F.lit("exp:"), F.col("p_partkey").cast("string")), PREFIXES).alias("uri"))
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, 'literal' as kind from events")
+def q_json_bindings(spark, sf_dir):
+    """Bindings as in a SPARQL result: one object for each row, its fields as variables."""
+    events = table(spark, sf_dir, "events")
+    bound = events.select("event_id", F.explode(F.array(F.struct(F.from_json("props", "k long").alias("b"), F.lit("literal").alias("kind")))).alias("x"))
+    return bound.select("event_id", "x.b.k", "x.kind")
+
+
+# --- graphs
+
+_EDGE = "e as (select distinct conv_id * 100 + turn as src, conv_id * 100 + turn + 1 as dst from conversations where turn > 0 union select distinct conv_id * 100 + turn + 1, conv_id * 100 + turn from conversations where conv_id % 7 = 0 and turn = 1)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    at = F.col("conv_id") * 100 + F.col("turn")
+    on = c.where("turn > 0").select(at.alias("src"), (at + 1).alias("dst"))
+    back = c.where("conv_id % 7 = 0 and turn = 1").select((at + 1).alias("src"), at.alias("dst"))
+    return on.union(back).distinct()
+
+
+@query(f"with recursive {_EDGE}, r(v) as (select distinct conv_id * 100 + 1 from conversations where conv_id % 3 = 0 union select dst from e join r on src = v) select v from r")
+def q_graph_reachable(spark, sf_dir):
+    start = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select((F.col("conv_id") * 100 + 1).alias("v")).distinct()
+    return graph.reachable(_edges(spark, sf_dir), start)
+
+
+@query(f"with recursive {_EDGE}, r(v) as (select distinct conv_id * 100 + 1 from conversations where conv_id % 3 = 0 union select dst from e join r on src = v) select v from (select src as v from e union select dst from e) where v not in (select v from r)")
+def q_graph_unreachable(spark, sf_dir):
+    start = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select((F.col("conv_id") * 100 + 1).alias("v")).distinct()
+    return graph.unreachable(_edges(spark, sf_dir), start)
+
+
+@query(f"with {_EDGE} select distinct src as v from e where src not in (select dst from e)")
+def q_graph_roots(spark, sf_dir):
+    return graph.roots(_edges(spark, sf_dir))
+
+
+@query(f"with {_EDGE} select distinct dst as v from e where dst not in (select src from e)")
+def q_graph_leaves(spark, sf_dir):
+    return graph.leaves(_edges(spark, sf_dir))
+
+
+@query(f"with recursive {_EDGE}, c(a, b) as (select src, dst from e union select a, dst from c join e on b = src) select distinct a as v from c where a = b")
+def q_graph_cyclic(spark, sf_dir):
+    return graph.cyclic_vertices(_edges(spark, sf_dir))
+
+
+@query("select ['a', 'b', 'd', 'f', 'g'] as path")
+def q_graph_path(spark, sf_dir):
+    edges = spark.createDataFrame([tuple(x) for x in ("ab", "bc", "bd", "de", "df", "fg", "gb")], "src string, dst string")
+    return graph.paths(edges, "a", "g")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +26,14 @@ def local_session(cpus: int | str = "*", name: str = "lexispark", partitions: in
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that spark.checkpoint.dir names; in a temporary one only where the session names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+            folder = tempfile.mkdtemp(prefix="lexispark-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
