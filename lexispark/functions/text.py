@@ -69,7 +69,7 @@ def lang_matches(lang: Column, wanted: str) -> Column:
 
 def minimise(uri: Column, prefixes: dict[str, str]) -> Column:
     """The shortest prefixed form of a URI, or the URI in angle brackets."""
-    forms = [F.when(uri.startswith(full), F.concat(F.lit(short), F.substring(uri, len(full) + 1, 10_000))) for short, full in prefixes.items()]
+    forms = [F.when(uri.startswith(full), F.concat(F.lit(short), F.substring(uri, F.lit(len(full) + 1), F.length(uri)))) for short, full in prefixes.items()]
     found = F.filter(F.array(*forms), lambda x: x.isNotNull())
     best = F.array_min(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     return F.coalesce(best, F.concat(F.lit("<"), uri, F.lit(">")))
@@ -79,7 +79,7 @@ def maximise(name: Column, prefixes: dict[str, str]) -> Column:
     """The URI of a prefixed name; unknown prefixes raise an error."""
     out = None
     for short, full in prefixes.items():
-        value = F.concat(F.lit(full), F.substring(name, len(short) + 1, 10_000))
+        value = F.concat(F.lit(full), F.substring(name, F.lit(len(short) + 1), F.length(name)))
         out = F.when(name.startswith(short), value) if out is None else out.when(name.startswith(short), value)
     return out.otherwise(F.raise_error(F.concat(F.lit("no namespace for "), name)).cast("string"))
 
@@ -97,11 +97,11 @@ def match_word(words_col: Column, at: int, wanted: str) -> Column:
 
 def match_regex(text: Column, at: int, pattern: str, group: int = 0) -> Column:
     """The group's text if the pattern matches at the place; null if not."""
-    rest = F.substring(text, at + 1, 1_000_000)
+    rest = F.substring(text, F.lit(at + 1), F.length(text))
     return F.when(rest.rlike(f"^(?:{pattern})"), F.regexp_extract(rest, f"^(?:{pattern})", group))
 
 
 def match_keyword(text: Column, at: int, keyword: str, case_sensitive: bool = False) -> Column:
-    run = F.regexp_extract(F.substring(text, at + 1, 1_000_000), r"^\w+", 0)
+    run = F.regexp_extract(F.substring(text, F.lit(at + 1), F.length(text)), r"^\w+", 0)
     same = run == keyword if case_sensitive else F.lower(run) == keyword.lower()
     return F.when(same, run)

@@ -368,7 +368,7 @@ def q_term_word(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(X.match_word(X.words(F.col("text")), 1, "the"), F.lit(-1)).alias("n"))
 
 
-@query("select doc_id, case when regexp_matches(substring(text, 1, 1000), '^(?:([A-Z][a-z]+) ([a-z]+))') then regexp_extract(substring(text, 1, 1000), '^(?:([A-Z][a-z]+) ([a-z]+))', 2) end as word from documents")
+@query("select doc_id, case when regexp_matches(text, '^(?:([A-Z][a-z]+) ([a-z]+))') then regexp_extract(text, '^(?:([A-Z][a-z]+) ([a-z]+))', 2) end as word from documents")
 def q_term_regex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.match_regex(F.col("text"), 0, "([A-Z][a-z]+) ([a-z]+)", 2).alias("word"))
 
@@ -594,3 +594,92 @@ def q_graph_cyclic(spark, sf_dir):
 def q_graph_path(spark, sf_dir):
     edges = spark.createDataFrame([tuple(x) for x in ("ab", "bc", "bd", "de", "df", "fg", "gb")], "src string, dst string")
     return graph.paths(edges, "a", "g")
+
+
+# --- parsing questions, and what they mean
+
+
+def _parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame(list(QUESTIONS), "id long, text string")
+    return questions.parse(questions.scored_spans(asked, questions.entities(spark, sf_dir)))
+
+
+#: The questions' shapes as a regular expression over tokens; the last question has none.
+_SHAPE = "^(WHAT (PARTS|ECONOMY PARTS|ECONOMY AND PROMO PARTS) HAS SUPPLIER [0-9]+ SUPPLIED( THAT ARE THE SAME TYPE AS BLUE BOLT)?|WHO SUPPLIED BLUE BOLT|WHICH SUPPLIERS HAVE SUPPLIED BOTH ECONOMY AND PROMO PARTS)"
+_TOKENS = f"t as (select cast(id as bigint) as id, array_to_string(regexp_extract_all(upper(trim(q)), '\\w+|,'), ' ') as w from (values {_QUESTIONS}) v(id, q))"
+
+
+@query(f"with {_TOKENS} select id, regexp_matches(w, '{_SHAPE}$') as accepted from t")
+def q_parse_full(spark, sf_dir):
+    asked = spark.createDataFrame(list(QUESTIONS), "id long, text string").select("id")
+    whole = _parses(spark, sf_dir).where("consumed = n_tokens").select("id").distinct().withColumn("hit", F.lit(True))
+    return asked.join(whole, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("accepted"))
+
+
+@query(f"with {_TOKENS} select id, regexp_matches(w, '{_SHAPE}') as accepted from t")
+def q_parse_partial(spark, sf_dir):
+    asked = spark.createDataFrame(list(QUESTIONS), "id long, text string").select("id")
+    some = _parses(spark, sf_dir).select("id").distinct().withColumn("hit", F.lit(True))
+    return asked.join(some, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("accepted"))
+
+
+@query()
+def q_parse_all(spark, sf_dir):
+    return _parses(spark, sf_dir).select("id", "interp", "consumed", "decisions", F.round("info", 6).alias("info"))
+
+
+@query()
+def q_parse_tree(spark, sf_dir):
+    nodes = questions.best(_parses(spark, sf_dir)).select("id", F.explode("tree").alias("x"))
+    return nodes.select("id", "x.node_id", "x.parent_id", "x.depth", "x.symbol", "x.start", "x.end", "x.text")
+
+
+@query(f"with {_TOKENS}, n as (select upper(s_name) as s, count(*) as c from supplier group by 1) select id, 0.0::double as info from t where regexp_matches(w, '{_SHAPE}$')")
+def q_tree_info(spark, sf_dir):
+    """Names in these questions are unique within their kind, so they carry no information."""
+    leaves = questions.best(_parses(spark, sf_dir)).select("id", F.explode("tree").alias("x")).where("x.is_terminal")
+    return leaves.groupBy("id").agg(F.round(F.sum("x.info"), 6).alias("info"))
+
+
+@query(f"with {_TOKENS}, s as (select id, w, unnest(['ECONOMY', 'PROMO']) as k from t) select id, 'type' as symbol, k as text from s where regexp_matches(w, '{_SHAPE}$') and contains(w, k)")
+def q_find_nodes(spark, sf_dir):
+    nodes = questions.best(_parses(spark, sf_dir)).select("id", F.explode("tree").alias("x"))
+    return nodes.where("x.symbol = 'type'").select("id", "x.symbol", "x.text")
+
+
+@query()
+def q_best_parse(spark, sf_dir):
+    return questions.best(_parses(spark, sf_dir), 3).select("id", "rank", "interp", "decisions", F.round("info", 6).alias("info"))
+
+
+_SOLD = "(select distinct l_partkey, l_suppkey from lineitem) l join part on l_partkey = p_partkey"
+
+
+@query(f"select {_P} as part from {_SOLD} where l_suppkey = 1 order by part limit 100")
+def q_nl_books_by(spark, sf_dir):
+    return questions.answer(spark, sf_dir, QUESTIONS[0][1])
+
+
+@query(f"select {_P} as part from {_SOLD} where l_suppkey = 2 and p_type = 'ECONOMY' order by part limit 100")
+def q_nl_books_by_genre(spark, sf_dir):
+    return questions.answer(spark, sf_dir, QUESTIONS[1][1])
+
+
+@query(f"select {_P} as part from {_SOLD} where l_suppkey = 3 and p_type in ('ECONOMY', 'PROMO') order by part limit 100")
+def q_nl_or_genres(spark, sf_dir):
+    return questions.answer(spark, sf_dir, QUESTIONS[2][1])
+
+
+@query("select 'http://ex/supplier/' || l_suppkey as supplier from (select distinct l_suppkey from lineitem where l_partkey = (select min(p_partkey) from part where p_name = 'blue bolt')) order by supplier limit 100")
+def q_nl_who_wrote(spark, sf_dir):
+    return questions.answer(spark, sf_dir, QUESTIONS[3][1])
+
+
+@query(f"select 'http://ex/supplier/' || l_suppkey as supplier from (select l_suppkey from {_SOLD} where p_type = 'ECONOMY' intersect select l_suppkey from {_SOLD} where p_type = 'PROMO') order by supplier limit 100")
+def q_nl_and_genres(spark, sf_dir):
+    return questions.answer(spark, sf_dir, QUESTIONS[4][1])
+
+
+@query(f"select {_P} as part from {_SOLD} where l_suppkey = 4 and p_type = (select p_type from part where p_partkey = (select min(p_partkey) from part where p_name = 'blue bolt')) order by part limit 100")
+def q_nl_same_genre(spark, sf_dir):
+    return questions.answer(spark, sf_dir, QUESTIONS[5][1])
