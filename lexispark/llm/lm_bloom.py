@@ -28,7 +28,7 @@ MAX_BROADCAST_BYTES = 256 << 20
 PROBES = 5
 BASE, STRENGTH = 1.5, 20.0
 #: Bytes of text that one segment's pairs come from; texts' words that are summed up before they are sent.
-SEGMENT_BYTES, STRETCH_WORDS = 8 << 20, 1 << 20
+SEGMENT_BYTES, STRETCH_WORDS = 8 << 20, 1 << 19
 END, START = np.uint64(0x9D3A_6E1B_0C57_42F1), np.uint64(0x5B1F_88D2_C04E_937B)
 _FIRST, _SECOND = T.randoms(2, 41) | np.uint64(1)
 HELD_OUT = 10
@@ -73,7 +73,7 @@ def _places(items: np.ndarray, sizes: np.ndarray | int) -> Iterator[np.ndarray]:
 
 
 def _item(pairs: np.ndarray, q: int) -> np.ndarray:
-    return pairs + np.uint64(q) * np.uint64(0x9E3779B97F4A7C15)
+    return pairs + np.uint64(q * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
 def _segment_bits(pairs: np.ndarray, counts: np.ndarray) -> bytes:
@@ -87,11 +87,11 @@ def _segment_bits(pairs: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """All segments, as one array of bytes."""
+    """All segments' bits one after the other, and how many bytes each has."""
 
-    def __init__(self, segments: list[bytes]):
-        self.bytes = np.frombuffer(b"".join(segments), np.uint8)
-        self.sizes = np.array([8 * len(s) for s in segments], np.uint64)
+    def __init__(self, bits: bytes, lengths: list[int]):
+        self.bytes = np.frombuffer(bits, np.uint8)
+        self.sizes = 8 * np.array(lengths, np.uint64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes.astype(np.int64))[:-1]])
 
     def levels(self, pairs: np.ndarray) -> np.ndarray:
@@ -215,14 +215,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     words = b"".join(r["_hashes"] for r in parts if r["_order"] == 1)
     counts = b"".join(r["_counts"] for r in parts if r["_order"] == 1)
     del parts
-    shared = spark.sparkContext.broadcast((words, counts, bits))
+    shared = spark.sparkContext.broadcast((words, counts, b"".join(bits), [len(x) for x in bits]))
+    del words, counts, bits
     n_train = seen["n"]
     made: dict[str, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "model" not in made:
-            w, c, b = shared.value
-            made["model"] = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64), Filter(b)
+            w, c, b, lengths = shared.value
+            made["model"] = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64), Filter(b, lengths)
         known, known_counts, held = made["model"]
 
         def count(x: np.ndarray) -> np.ndarray:
