@@ -9,6 +9,7 @@ the tag and the table, verifies every checksum, and derives exact durations and
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ SAMPLES = 1152
 HEADER, CRC, SIDE_STEREO, SIDE_MONO = 4, 2, 32, 17
 TAG_OWNER = b"lexispark payload"
 _SIDE = bytes(SIDE_STEREO)
+_SYNC = re.compile(rb"\xff|ID3|TAG")
 
 
 def _crc_table() -> list[int]:
@@ -153,9 +155,9 @@ def read(data: bytes) -> Audio:
                 if len(known) > 1000:
                     known.clear()
         if h is None or at + h[0] > n or not (right or at + h[0] == n or _header(data, at + h[0]) or data[at + h[0] : at + h[0] + 3] in (b"TAG", b"ID3")):
-            # resynchronise at the next byte that can begin a frame
-            found = data.find(b"\xff", at + 1)
-            found = n if found < 0 else found
+            # resynchronise at the next byte that can begin a frame or a tag
+            m = _SYNC.search(data, at + 1)
+            found = m.start() if m else n
             out.skipped += found - at
             at = found
             continue
