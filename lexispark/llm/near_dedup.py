@@ -45,6 +45,11 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield chunk.first + i, np.empty(0, np.uint64)
 
 
+def _set_key(s: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return T.mix(s).sum(dtype=np.uint64).tobytes() + (T.mix(s + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).tobytes()
+
+
 def _minima(shingles: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
     out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), _BLOCK):
@@ -63,7 +68,7 @@ def _signatures(k: int, half_keys: int, rows: int):
             for i, s in _sets(batch.column(1), k):
                 if len(s):
                     counts[i] = len(s)
-                    keys[i] = T.mix(s).sum(dtype=np.uint64).tobytes() + (T.mix(s + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).tobytes()
+                    keys[i] = _set_key(s)
                     halves[i] = T.mix((_minima(s, factors, terms).reshape(2 * half_keys, rows) * mixers).sum(axis=1, dtype=np.uint64))
             flat = halves.view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(batch) + 1) * half_keys, half_keys), pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (flat[:, :half_keys], flat[:, half_keys:])]
@@ -76,8 +81,8 @@ def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for _, s in _sets(part.column(1), k)], pa.list_(pa.int64()))], ["_key", "_set"])
+                sets = [s for _, s in _sets(batch.column(0).slice(at, 256), k)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["_key", "_set"])
 
     return run
 
@@ -91,13 +96,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     part like any other and is never a component's id unless the component has no other. Other columns are left out.
     """
     sig = checkpointed(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(_signatures(shingle_words, half_keys, rows), SIGNATURE))
-    classes = sig.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_u").alias("_u"), F.first("_v").alias("_v"))
+    grouped = sig.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_u").alias("_u"), F.first("_v").alias("_v"))
+    # a class has a number from here on: shorter than its key, and as unique
+    classes = checkpointed(grouped.withColumn("_c", F.monotonically_increasing_id()))
     buckets = checkpointed(_buckets(classes))
-    links = _verified_links(docs, sig, buckets, shingle_words, percent, text_col, id_col)
+    links = _verified_links(docs, classes, buckets, shingle_words, percent, text_col, id_col)
     labels = components(links)
-    named = classes.select("_key", "_least").join(labels.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_label", F.coalesce("label", "_key"))
+    named = classes.select("_key", "_c", "_least").join(labels.withColumnRenamed("node", "_c"), "_c", "left").withColumn("_label", F.coalesce("label", "_c"))
     least = named.groupBy("_label").agg(F.min("_least").alias("_component"))
-    # only classes that differ from what their own rows say need to be joined back
     of_class = named.join(least, "_label").select("_key", "_component")
     return (
         sig.select("_id", "_n", "_key")
@@ -108,13 +114,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, _key, _n, _score) of the banding tables' buckets that at least two classes share; _score: how central a class is, the sizes of its buckets summed."""
-    half = classes.select("_key", "_n", F.posexplode("_u").alias("_i", "_x"))
-    shared = half.groupBy("_i", "_x").agg(F.count("*").alias("_c")).where("_c > 1").select("_i", "_x")
-    some = half.join(shared, ["_i", "_x"]).join(classes.select("_key", "_v"), "_key")
-    full = some.select("_key", "_n", "_i", "_x", F.posexplode("_v").alias("_j", "_y")).select(F.xxhash64("_i", "_x", "_j", "_y").alias("bucket"), "_key", "_n")
-    full = full.join(full.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1"), "bucket")
-    return full.join(full.groupBy("_key").agg(F.sum("_c").alias("_score")), "_key").select("bucket", "_key", "_n", "_score")
+    """(bucket, _c, _n, _score) of the banding tables' buckets that at least two classes share; _score: how central a class is, the sizes of its buckets summed."""
+    half = classes.select("_c", "_n", F.posexplode("_u").alias("_i", "_x"))
+    shared = half.groupBy("_i", "_x").agg(F.count("*").alias("_many")).where("_many > 1").select("_i", "_x")
+    some = half.join(shared, ["_i", "_x"]).join(classes.select("_c", "_v"), "_c")
+    full = some.select("_c", "_n", "_i", "_x", F.posexplode("_v").alias("_j", "_y")).select(F.xxhash64("_i", "_x", "_j", "_y").alias("bucket"), "_c", "_n")
+    full = full.join(full.groupBy("bucket").agg(F.count("*").alias("_many")).where("_many > 1"), "bucket")
+    return full.join(full.groupBy("_c").agg(F.sum("_many").alias("_score")), "_c").select("bucket", "_c", "_n", "_score")
 
 
 def _fits(percent: int, a: str, b: str) -> Column:
@@ -122,19 +128,19 @@ def _fits(percent: int, a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verified_links(docs: DataFrame, sig: DataFrame, buckets: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+def _verified_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """Links (a, b) between classes that are enough for the components: every pair that shares a bucket is confirmed, refuted, or joined by other links."""
-    one_row = sig.join(buckets.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.min("_id").alias("_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).join(one_row, "_id")
-    sets = checkpointed(texts.select("_key", "_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>").dropDuplicates(["_key"]))
-    links, labelled = None, buckets.withColumn("_label", F.col("_key"))
+    some = classes.select("_c", "_key", "_least").join(buckets.select("_c").distinct(), "_c", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).join(some.select("_least").distinct(), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    sets = checkpointed(texts.select("_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>").dropDuplicates(["_key"]).join(some, "_key").select("_c", "_set"))
+    links, labelled = None, buckets.withColumn("_label", F.col("_c"))
     for turn in range(3):
         pairs = _leader_pairs(labelled, percent, turn) if turn < 2 else _prefix_pairs(labelled, sets, percent)
         found = checkpointed(_confirmed(pairs, sets, percent).where("_linked").select("a", "b"))
         links = found if links is None else links.union(found)
         if turn < 2:
             labels = components(links)
-            labelled = checkpointed(_open_buckets(buckets.join(labels.withColumnRenamed("node", "_key"), "_key", "left").withColumn("_label", F.coalesce("label", "_key")).drop("label")))
+            labelled = checkpointed(_open_buckets(buckets.join(labels.withColumnRenamed("node", "_c"), "_c", "left").withColumn("_label", F.coalesce("label", "_c")).drop("label")))
     return links
 
 
@@ -149,11 +155,11 @@ def _leader_pairs(labelled: DataFrame, percent: int, turn: int) -> DataFrame:
 
     A bucket's leader is its most central member in the first turn and one drawn by hash in the second.
     """
-    rank = F.col("_score") if turn == 0 else F.xxhash64("_key", "bucket")
-    leaders = labelled.groupBy("bucket").agg(F.max(F.struct(rank.alias("r"), "_key", "_n", "_label", "_score")).alias("_lead"))
+    rank = F.col("_score") if turn == 0 else F.xxhash64("_c", "bucket")
+    leaders = labelled.groupBy("bucket").agg(F.max(F.struct(rank.alias("r"), "_c", "_n", "_label", "_score")).alias("_lead"))
     near = labelled.join(leaders, "bucket").where((F.col("_label") != F.col("_lead._label")) & _fits(percent, "_n", "_lead._n"))
-    one = near.groupBy("_key").agg(F.max(F.struct("_lead._score", "_lead._key")).alias("_best"))
-    return one.select(F.greatest("_key", "_best._key").alias("a"), F.least("_key", "_best._key").alias("b")).distinct()
+    one = near.groupBy("_c").agg(F.max(F.struct("_lead._score", F.col("_lead._c").alias("_c"))).alias("_best"))
+    return one.select(F.greatest("_c", "_best._c").alias("a"), F.least("_c", "_best._c").alias("b")).distinct()
 
 
 def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,8 +172,8 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     passed over if one of the few just before it is common too. Within a shingle the largest component's
     members are never paired with each other, so a large group meets only what is outside it.
     """
-    members = labelled.select("_key", F.xxhash64("_key").alias("_id"), F.col("_n").cast("int").alias("_n"), F.xxhash64("_label").alias("_l")).distinct()
-    every = members.join(sets, "_key").select("_id", "_n", "_l", F.explode("_set").alias("_token"))
+    members = labelled.select(F.col("_c").alias("_id"), F.col("_n").cast("int").alias("_n"), F.col("_label").alias("_l")).distinct()
+    every = members.join(sets, F.col("_id") == F.col("_c")).select("_id", "_n", "_l", F.explode("_set").alias("_token"))
     needed = F.ceil(F.col("_n") * percent / 100)
     own = Window.partitionBy("_id")
     for _ in range(3):
@@ -187,13 +193,11 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     can = F.least("_at", "_at2") + F.least(F.col("_m") - F.col("_at"), F.col("_m2") - F.col("_at2")) >= overlap
     short = F.when(F.col("_n") < F.col("_n2"), F.col("_at") <= F.col("_m") - F.ceil(F.col("_n") * 2 * percent / (100 + percent)) + 1).when(F.col("_n") > F.col("_n2"), F.col("_at2") <= F.col("_m2") - F.ceil(F.col("_n2") * 2 * percent / (100 + percent)) + 1).otherwise(True)
     met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short & ~F.arrays_overlap("_before", "_before2"))
-    pairs = met.select(F.greatest("_id", "_id2").alias("_x"), F.least("_id", "_id2").alias("_y")).distinct()
-    names = members.select("_id", "_key")
-    return pairs.join(names.select(F.col("_id").alias("_x"), F.col("_key").alias("a")), "_x").join(names.select(F.col("_id").alias("_y"), F.col("_key").alias("b")), "_y").select("a", "b")
+    return met.select(F.greatest("_id", "_id2").alias("a"), F.least("_id", "_id2").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, _linked), by the full sets."""
-    both = pairs.join(sets.select(F.col("_key").alias("a"), F.col("_set").alias("_s")), "a").join(sets.select(F.col("_key").alias("b"), F.col("_set").alias("_t")), "b")
+    both = pairs.join(sets.select(F.col("_c").alias("a"), F.col("_set").alias("_s")), "a").join(sets.select(F.col("_c").alias("b"), F.col("_set").alias("_t")), "b")
     common = F.size(F.array_intersect("_s", "_t"))
     return both.select("a", "b", (common * 100 >= (F.size("_s") + F.size("_t") - common) * percent).alias("_linked"))
