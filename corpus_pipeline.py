@@ -38,9 +38,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each text with their byte offsets, n_tokens, and whether they decode to the text."""
-    tokens = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
-    same = F.coalesce(F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(False))
-    return tokens.select(*docs.columns, F.size("bpe_ids").cast("long").alias("n_tokens"), "bpe_ids", "bpe_offsets", same.alias("round_trip"))
+    tokens = bpe.encode(docs, VOCABULARY, verified="round_trip")
+    return tokens.select(*docs.columns, F.size("bpe_ids").cast("long").alias("n_tokens"), "bpe_ids", "bpe_offsets", "round_trip")
 
 
 STAGES = [

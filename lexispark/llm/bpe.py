@@ -20,9 +20,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
 from lexispark.llm import textbytes as T
 
@@ -324,15 +325,17 @@ def _vocabulary(shared) -> Vocabulary:
     return _vocabularies[key]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", verified: str = "") -> DataFrame:
     """docs with two more columns: bpe_ids (array of int) and bpe_offsets (the byte of the text at which each token begins).
 
-    Columns of docs of those names are replaced. Null counts as the empty text, which has no tokens. Rows stay as they are.
+    With a name in verified, a third column of that name says whether the ids decode to the text. Columns of docs of those names are
+    replaced. Null counts as the empty text, which has no tokens. Rows stay as they are.
     """
     shared = _shared(docs.sparkSession, path)
-    own = [c for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_offsets")]
+    own = [c for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_offsets", verified.lower())]
+    more = [StructField(verified, BooleanType())] if verified else []
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
-    at, schema = own.index(text_col), StructType([*docs.schema.fields, StructField("bpe_ids", ArrayType(IntegerType())), StructField("bpe_offsets", ArrayType(IntegerType()))])
+    at, schema = own.index(text_col), StructType([*docs.schema.fields, StructField("bpe_ids", ArrayType(IntegerType())), StructField("bpe_offsets", ArrayType(IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
@@ -343,12 +346,22 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 begin = np.cumsum(sizes) - sizes
                 begin = begin - np.repeat(chunk.starts, np.diff(ends))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, begin)]
+                if verified:
+                    lists.append(pa.array(_same(chunk, v.decode(ids), np.concatenate([[0], np.cumsum(sizes)])[ends])))
                 part = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "bpe_ids", "bpe_offsets"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "bpe_ids", "bpe_offsets", *[f.name for f in more]])
 
     return docs.mapInArrow(run, schema)
 
 
+def _same(chunk: T.Chunk, back: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Whether each text of a chunk equals its part, between cuts, of the bytes in back."""
+    same = (np.diff(cuts) == chunk.ends - chunk.starts) & (cuts[:-1] == chunk.starts)
+    n = min(len(back), len(chunk.data))
+    wrong = np.concatenate([[0], np.cumsum(back[:n] != chunk.data[:n])])
+    return same & (wrong[np.minimum(chunk.ends, n)] == wrong[np.minimum(chunk.starts, n)])
+
+
 def decode(tokens: DataFrame, path: str, ids_col: str = "bpe_ids", to: str = "decoded") -> DataFrame:
     """tokens with one more column: the bytes that the ids stand for (binary; null for null)."""
     shared = _shared(tokens.sparkSession, path)
@@ -359,8 +372,15 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "bpe_ids", to: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
         for batch in batches:
-            out = [None if x is None else v.decode(np.array(x, np.int64)).tobytes() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, to])
+            for first in range(0, len(batch), 256):
+                part = batch.slice(first, 256)
+                column = part.column(at)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                raw = v.decode(ids).tobytes()
+                cuts = np.concatenate([[0], np.cumsum(v.lengths[ids])])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                out = [raw[a:b] if ok else None for a, b, ok in zip(cuts, cuts[1:], column.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, to])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(to, BinaryType())]))
 
