@@ -1,4 +1,4 @@
-"""The queries of the operators outside llm, by name, and the SQL that each must match."""
+"""The queries of the core operators, by name, and the SQL that each must match."""
 
 from __future__ import annotations
 
