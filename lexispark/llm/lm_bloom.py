@@ -7,7 +7,7 @@ broadcast, together with exact counts of single words, and score a word w after
 
 Counts are gathered in segments by hash: each worker sends a segment's pairs, summed up over a stretch of texts, as one block of bytes, and a
 task makes that segment's part of the filter. Broadcast happens only if filter and word counts fit in max_broadcast_bytes;
-beyond that the quantised pairs and the word counts are joined to the texts' pairs instead.
+beyond that each distinct pair of the texts goes to its segment and probes the same bits there, and word counts are joined.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.crc32(name.cast("binary")) % HELD_OUT == 0).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
 
 
-def _gathered(train: DataFrame, segments: int, keep_pairs: bool = False) -> DataFrame:
-    """One row for each order (1: words, 2: pairs) and segment: its number of distinct and of all, the words' hashes and counts, the pairs' bits (their hashes and levels if keep_pairs)."""
+def _gathered(train: DataFrame, segments: int) -> DataFrame:
+    """One row for each order (1: words, 2: pairs) and segment: its number of distinct and of all, the words' hashes and counts, the pairs' bits."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,8 +168,6 @@ def _gathered(train: DataFrame, segments: int, keep_pairs: bool = False) -> Data
             own, sums = hashes[first], np.add.reduceat(counts, first)
             if key[0] == 1:
                 row = (own.tobytes(), sums.tobytes(), b"")
-            elif keep_pairs:
-                row = (own.tobytes(), level(sums).tobytes(), b"")
             else:
                 row = (b"", b"", _segment_bits(own, sums))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, len(own), int(sums.sum()), *row), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["_order", "_segment", "_n", "_total", "_hashes", "_counts", "_bits"])
@@ -205,7 +203,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     floor = n + 0.1 * (v + 1)
     needs = stats.agg(F.coalesce(F.sum(F.length("_hashes") + F.length("_counts") + F.length("_bits")), F.lit(0))).first()[0]
     if needs > max_broadcast_bytes:
-        return _joined(rows, _gathered(_training(rows), segments, keep_pairs=True), seen["n"], n, floor, strength)
+        return _joined(rows, stats, segments, seen["n"], n, floor, strength)
     # within the bound: the words' counts in the order of their hashes, and the filter
     parts = stats.select("_order", "_segment", "_hashes", "_counts", "_bits").toArrow().sort_by([("_order", "ascending"), ("_segment", "ascending")]).to_pylist()
     bits: list[bytes] = [bytes(8)] * segments
@@ -251,9 +249,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     return rows.select("doc_id", "held_out", "_t").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _joined(rows: DataFrame, stats: DataFrame, n_train: int, n: int, floor: float, strength: float) -> DataFrame:
-    """The same without a broadcast: each text's distinct pairs meet the counts of both words and the pair's level by joins, and are summed up per text."""
-    stats = checkpointed(stats)
+def _probed(pairs: DataFrame, stats: DataFrame, segments: int) -> DataFrame:
+    """(_p, _together): what the filter says of each distinct pair. A segment's bits come first in its task, its pairs stream past them."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, held = None, None
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if of[a] != segment:
+                    segment, held = of[a], Filter(bytes(8), [8])
+                if not batch.column(1)[a].is_valid:
+                    bits = batch.column(2)[a].as_py()
+                    held, a = Filter(bits, [len(bits)]), a + 1
+                own = batch.column(1).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own, pa.array(level_count(held.levels(own.to_numpy().view(np.uint64))))], ["_p", "_together"])
+
+    nothing = F.lit(None)
+    asked = pairs.select("_p").distinct()
+    at = F.shiftrightunsigned(F.shiftrightunsigned("_p", 32) * segments, 32).cast("int")  # _segment()
+    bits = stats.where("_order = 2").select("_segment", nothing.cast("long").alias("_p"), "_bits")
+    both = bits.unionByName(asked.select(at.alias("_segment"), "_p", nothing.cast("binary").alias("_bits")))
+    return both.repartition(segments, "_segment").sortWithinPartitions("_segment", F.col("_p").asc_nulls_first()).mapInArrow(probe, "_p long, _together double")
+
+
+def _joined(rows: DataFrame, stats: DataFrame, segments: int, n_train: int, n: int, floor: float, strength: float) -> DataFrame:
+    """The same without a broadcast: each text's distinct pairs meet the counts of both words by joins and what the filter says of the pair, and are summed up per text."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +285,6 @@ def _joined(rows: DataFrame, stats: DataFrame, n_train: int, n: int, floor: floa
                 for at in range(0, len(h), 8 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h[at : at + (8 << 16)], np.int64)), pa.array(np.frombuffer(c[at : at + (8 << 16)], np.int64))], ["_h", "_c"])
 
-    counted = lambda order: stats.where(F.col("_order") == order).select("_hashes", "_counts").mapInArrow(unpack, "_h long, _c long")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,13 +297,11 @@ def _joined(rows: DataFrame, stats: DataFrame, n_train: int, n: int, floor: floa
 
     numbered = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
     pairs = numbered.select("_row", "_t").mapInArrow(emit, "_row long, _v long, _w long, _p long, _times long")
-    words = counted(1)
-    found = pairs.join(words.withColumnsRenamed({"_h": "_w", "_c": "_cw"}), "_w", "left").join(words.withColumnsRenamed({"_h": "_v", "_c": "_cv"}), "_v", "left").join(counted(2).withColumnsRenamed({"_h": "_p", "_c": "_q"}), "_p", "left")
+    words = stats.where("_order = 1").select("_hashes", "_counts").mapInArrow(unpack, "_h long, _c long")
+    found = pairs.join(words.withColumnsRenamed({"_h": "_w", "_c": "_cw"}), "_w", "left").join(words.withColumnsRenamed({"_h": "_v", "_c": "_cv"}), "_v", "left").join(_probed(pairs, stats, segments), "_p")
     first = int(START.view(np.int64))
     c, cv = F.coalesce("_cw", F.lit(0)), F.when(F.col("_v") == first, F.lit(n_train)).otherwise(F.coalesce("_cv", F.lit(0)))
-    least = F.ceil(F.pow(F.lit(BASE), F.col("_q") - 1) - 1e-9)
-    most = F.greatest(least, F.ceil(F.pow(F.lit(BASE), F.col("_q")) - 1e-9) - 1)
-    together = F.least(F.coalesce((least + most) / 2, F.lit(0.0)), cv.cast("double"))
+    together = F.least("_together", cv.cast("double"))
     p = (c + 0.1) / floor
     sums = found.groupBy("_row").agg(
         F.sum("_times").alias("n_tokens"), F.sum(F.when(c > 0, F.col("_times")).otherwise(0)).alias("n_known"), F.sum(F.col("_times") * F.log10(p)).alias("base_score"), F.sum(F.col("_times") * F.log10((together + strength * p) / (cv + strength))).alias("score")

@@ -146,6 +146,17 @@ def test_language_model(docs, empty, bound):
     assert lm_bloom.scores(empty, max_broadcast_bytes=bound).isEmpty()
 
 
+def test_language_model_scores_the_same_above_the_bound(docs):
+    """Both routes probe the same bits: pairs that the filter takes for seen, or for more frequent, are so in both."""
+    scored = [Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in lm_bloom.scores(docs, max_broadcast_bytes=b).collect()) for b in (lm_bloom.MAX_BROADCAST_BYTES, 0)]
+    assert scored[0] == scored[1]
+
+
+def test_language_model_scores_the_same_in_many_segments(docs, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "SEGMENT_BYTES", 1 << 10)
+    test_language_model_scores_the_same_above_the_bound(docs)
+
+
 def test_bloom_filter_levels():
     pairs = textbytes.randoms(5000, 1)
     counts = np.arange(1, 5001)
