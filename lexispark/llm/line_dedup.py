@@ -4,7 +4,7 @@ A document is a sequence of its lines that have a word. Every GRAM consecutive l
 WINDOW grams the gram with the least hash (the rightmost of equals) is a fingerprint, so any run of GRAM + WINDOW - 1 lines
 that two places share has a fingerprint in common. Only fingerprints that occur twice are followed up: around each of their
 positions the match is extended line by line both ways, as far as every stretch of `least` lines was seen earlier. A line of
-`long_words` words or more is a run by itself, and its own fingerprint.
+`long_words` words or more is a run by itself, and its own fingerprint; so are two consecutive lines of that many words together.
 
 Earlier means: in a document with a smaller id, or before it in the same one. The first occurrence stays; what later ones
 repeat is deleted.
@@ -30,7 +30,7 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True) -> DataFrame:
     """(_id, _h, removed): for each document with a repeated run, the places of its lines to delete, from 0, ascending; _h is its text's hash.
 
     Rows that agree in id and text are one document; rows that share an id only are ordered by their text's hash.
@@ -39,15 +39,18 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     lines = (
         source.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_at", "_line"))
         .where(F.col("_line").rlike(WORD))
-        .select("_id", "_h", "_at", F.xxhash64("_line", F.lit(1)).alias("_x"), (_words(F.col("_line")) >= long_words).alias("_long"))
+        .select("_id", "_h", "_at", F.xxhash64("_line", F.lit(1)).alias("_x"), _words(F.col("_line")).alias("_w"))
         .distinct()
     )
     own = Window.partitionBy("_id", "_h").orderBy("_at")
     # the stretch of LEAST lines that begins at each line, its grams, and the one that the window selects
     ahead = lines.withColumn("_n", F.row_number().over(own)).withColumn("_s", F.collect_list("_x").over(own.rowsBetween(0, LEAST - 1)))
+    ahead = ahead.withColumn("_long", F.col("_w") >= long_words)
+    # null at the last line
+    pair = F.when(F.col("_w") + F.lead("_w").over(own) >= long_words, _hash("_x", F.get("_s", F.lit(1)), F.lit(2))) if two_lines else F.lit(None).cast("long")
     grams = [_hash(F.get("_s", F.lit(i)), F.get("_s", F.lit(i + 1))) for i in range(WINDOW)]
     ahead = ahead.select(
-        "_id", "_h", "_at", "_n", "_x", "_long",
+        "_id", "_h", "_at", "_n", "_x", "_long", pair.alias("_pair"),
         F.when(F.size("_s") == LEAST, _hash(*[F.get("_s", F.lit(i)) for i in range(LEAST)], F.lit(LEAST))).alias("_run"),
         F.when(F.size("_s") == LEAST, F.array_min(F.array(*[F.struct(g.alias("g"), F.lit(-i).alias("d")) for i, g in enumerate(grams)]))).alias("_pick"),
     )
@@ -55,7 +58,8 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     # fingerprints at their positions, once each, and those that occur at two places
     picked = ahead.where("_pick is not null").select("_id", "_h", (F.col("_n") - F.col("_pick.d")).alias("_n"), F.col("_pick.g").alias("_print"))
     alone = ahead.where("_long").select("_id", "_h", "_n", _hash("_x", F.lit(0)).alias("_print"))
-    prints = picked.union(alone).distinct()
+    pairs = ahead.where("_pair is not null").select("_id", "_h", "_n", "_pair")
+    prints = (picked.union(alone).union(pairs) if two_lines else picked.union(alone)).distinct()
     twice = prints.groupBy("_print").agg(F.count("*").alias("_c")).where("_c > 1").select("_print")
     seeds = prints.join(twice, "_print").select("_id", "_h", "_n").distinct()
     # extend: stretches that hold a seed, joined by document and line; of equal stretches all but the first are repeats
@@ -63,6 +67,8 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     near = ahead.join(starts, ["_id", "_h", "_n"])
     units = near.where("_run is not null").select("_id", "_h", "_n", F.col("_run").alias("_key"), F.lit(LEAST).alias("_size"))
     units = units.union(near.where("_long").select("_id", "_h", "_n", _hash("_x", F.lit(0)).alias("_key"), F.lit(1).alias("_size")))
+    if two_lines:
+        units = units.union(near.where("_pair is not null").select("_id", "_h", "_n", "_pair", F.lit(2)))
     place = F.struct("_id", "_h", "_n")
     first = units.groupBy("_key", "_size").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
     later = units.join(first, ["_key", "_size"]).where(place != F.col("_first"))
@@ -78,15 +84,15 @@ def _kept_text(text: Column, removed: Column) -> Column:
     return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["from"], g["n"]))), "\n")
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True) -> DataFrame:
     """docs with repeated runs of lines deleted from the text, and n_lines and n_removed (of lines) added; columns of those names are replaced.
 
-    Deleted: every line of a run of at least 3 lines with a word each that occurs earlier, lines without a word not counted, and every line
-    of at least long_words words that occurs earlier. Lines without a word are never deleted. No row goes: a text that repeats
-    others becomes empty. Null stays null (0 lines), an empty text has one line and stays. Rows that repeat an id
+    Deleted: every line of a run of at least 3 lines with a word each that occurs earlier, lines without a word not counted, every line
+    of at least long_words words that occurs earlier, and, with two_lines, both lines of two consecutive ones of at least long_words words together
+    that occur earlier. Lines without a word are never deleted. No row goes: a text that repeats others becomes empty. Null stays null (0 lines), an empty text has one line and stays. Rows that repeat an id
     and its text get the same result.
     """
-    found = repeated_lines(docs, long_words, id_col, text_col).withColumnsRenamed({"_id": "_rid", "_h": "_rh", "removed": "_removed"})
+    found = repeated_lines(docs, long_words, id_col, text_col, two_lines).withColumnsRenamed({"_id": "_rid", "_h": "_rh", "removed": "_removed"})
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     names = own.columns
     joined = own.join(found, own[id_col].cast("long").eqNullSafe(F.col("_rid")) & (F.xxhash64(own[text_col]) == F.col("_rh")), "left")
@@ -99,7 +105,7 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "do
     )
 
 
-#: For documents whose ids are unique; long_words is 50.
+#: For documents whose ids are unique; long_words is 50, without two_lines.
 ORACLE = r"""
 with l0 as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at_ from documents where text is not null),
 l as (select doc_id, line, at_, row_number() over (partition by doc_id order by at_) as n,

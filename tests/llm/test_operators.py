@@ -214,6 +214,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).isEmpty()
 
 
+def test_line_dedup_of_two_lines(spark):
+    """Two whole lines of 30 words each, among other neighbours, go where they come again; of 30 and 19 they stay, and so does one of 30 alone."""
+    line = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    a, b, short = line("a"), line("b"), line("s", 19)
+    texts = [f"x1\n{a}\n\n{b}\ny1\n{short}", f"x2\n{a}\n{b}\ny2", f"x3\n{a}\ny3", f"{b}\n{a}", f"{a}\n{short}\nx4", f"z\n{a}\n{short}", f"q\n{a}\n{b}\n{a}\n{b}"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    # lines without a word don't count, so the first text's pair is seen in the second
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {**dict(enumerate(texts)), 1: "x2\ny2", 6: "q"}
+
+
 def test_pii(docs, empty):
     r = {x["doc_id"]: x for x in pii.find(docs).collect()}
     text = next(x[1] for x in ROWS if x[1] and "me@x" in x[1])
