@@ -192,6 +192,31 @@ def q_edits2(spark, sf_dir):
     return one.select("word", F.explode(X.edits1(F.col("s"), "ABC")).alias("edit")).distinct()
 
 
+_EDITS_OVER = _EDITS.replace("string_split('ABC', '')", "cs")
+_ALPHABET = "z as (select list(distinct c) as cs from (select unnest(string_split(s, '')) as c from n) where c <> '')"
+
+
+def _alphabet(words: DataFrame, item: str) -> str:
+    """The characters of the words; there are as many at most as the character set has."""
+    return "".join(sorted(r["gram"] for r in similarity.gram_model(words, item, 1).select("gram").collect()))
+
+
+@query(f"with {_N}, {_ALPHABET} select s, unnest({_EDITS_OVER}) as edit from n, z")
+def q_edits1_alphabet(spark, sf_dir):
+    """q_edits1 over the alphabet of the names."""
+    names = _names(spark, sf_dir)
+    return names.select("s", F.explode(X.edits1(F.col("s"), _alphabet(names, "s"))).alias("edit"))
+
+
+@query(f"with n as (select distinct upper(p_brand) as s from part), {_ALPHABET}, a as (select s as word, unnest({_EDITS_OVER}) as s from n, z) select distinct word, unnest({_EDITS_OVER}) as edit from a, z")
+def q_edits2_brands(spark, sf_dir):
+    """q_edits2 over whole brands and their alphabet."""
+    words = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("word")).distinct()
+    letters = _alphabet(words, "word")
+    one = words.select("word", F.explode(X.edits1(F.col("word"), letters)).alias("s"))
+    return one.select("word", F.explode(X.edits1(F.col("s"), letters)).alias("edit")).distinct()
+
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

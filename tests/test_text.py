@@ -3,6 +3,7 @@ import pytest
 
 from lexispark.functions import text as X
 from lexispark.operators import membership, models, similarity
+from lexispark.queries import QUERIES
 
 
 def one(spark, value, column, kind="string"):
@@ -68,3 +69,17 @@ def test_identify_and_near_ties(spark):
     assert [r["u"] for r in ranked.orderBy("rank").collect()][0] == "u1"
     assert ranked.where("q = 'QQQ'").count() == 0
     assert similarity.near_ties(ranked, "q").where("rank = 1").count() == 1
+
+
+def all_edits(word, letters):
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+    return out | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
+
+
+def test_edits_of_whole_words_over_their_own_alphabet(spark, tmp_path):
+    spark.createDataFrame([("Big Z9", "Ax#1"), ("big z9", "Ax#7"), ("on", None), (None, "Ax#1")], "p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    one = QUERIES["q_edits1_alphabet"](spark, str(tmp_path)).where("s is not null").collect()
+    assert sorted(map(tuple, one)) == sorted((w, e) for w in ("BIGZ9", "ON") for e in all_edits(w, "BIGZ9ON"))
+    two = QUERIES["q_edits2_brands"](spark, str(tmp_path)).where("word is not null").collect()
+    assert sorted(map(tuple, two)) == sorted((w, f) for w in ("AX#1", "AX#7") for f in {f for e in all_edits(w, "AX#17") for f in all_edits(e, "AX#17")})
