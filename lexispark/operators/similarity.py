@@ -48,7 +48,9 @@ def identify(queries: DataFrame, query: str, entities: DataFrame, name: str, uri
     e = grams(entities, name, n).withColumnRenamed("cnt", "y")
     met = q.join(e, "gram").groupBy(query, name).agg(F.sum(F.least("x", "y")).alias("i"))
     d = met.withColumn("d", 1 - F.col("i") / (F.length(query) + F.length(name) + 2 * (n - 1) - F.col("i"))).drop("i")
-    named = d.join(entities.select(name, uri).distinct(), name)
+    # a name's entities are equally far, so those after its first `keep` by uri are never among the closest
+    own = entities.select(name, uri).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(name).orderBy(uri)))
+    named = d.join(own.where(F.col("_k") <= keep).drop("_k"), name)
     best = Window.partitionBy(query).orderBy("d", uri, name)
     return named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select(query, uri, name, "d", "rank")
 

@@ -172,6 +172,48 @@ def q_resolve_nodes(spark, sf_dir):
     return asked.join(best, "q").select("asked", "uri", "s")
 
 
+# the same over every alias of every part, asked also with each name less its second character
+
+_ALIASED = f"""e as (select distinct regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as s, uri from (select p_partkey as uri, unnest(case when len(w) >= 2 then [p_name, w[1], w[-1]] else [p_name] end) as a
+      from (select p_partkey, p_name, list_filter(regexp_split_to_array(p_name, '\\s+'), lambda x: x <> '') as w from part))),
+u as (select a as asked, regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (select a from (values {_ASKED}) t(a) union select substring(p_name, 1, 1) || substring(p_name, 3) from part)),
+v as (select distinct q from u), es as (select distinct s from e),
+eg as (select s, gram, count(*) as y from {_g(3, "es")} group by all), qg as (select q, gram, count(*) as x from {_g(3, "v", "q")} group by all),
+i as (select q, s, sum(least(x, y)) as i from qg join eg using (gram) group by 1, 2),
+r as (select q, s, uri, 1 - i / (length(q) + length(s) + 4 - i) as d, row_number() over (partition by q order by 1 - i / (length(q) + length(s) + 4 - i), uri, s) as rank from i join e using (s)),
+k as (select * from r where rank <= 5)"""
+
+
+def _asked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    misspelt = table(spark, sf_dir, "part").select(F.concat(F.substring(name, 1, 1), F.substring(name, F.lit(3), F.length(name))).alias("asked"))
+    return _asked(spark).select("asked").union(misspelt).distinct().select("asked", X.standardise(F.col("asked")).alias("q"))
+
+
+def _aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uri"), F.explode(X.aliases(F.col("p_name"))).alias("alias"))
+    return aliases.select(X.standardise(F.col("alias")).alias("s"), "uri").distinct()
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.identify(_asked_rows(spark, sf_dir).select("q").distinct(), "q", _aliased(spark, sf_dir), "s", "uri")
+
+
+@query(f"with {_ALIASED} select q, uri, s, round(d, 6) as d, cast(rank as integer) as rank from k")
+def q_ident_topk_aliases(spark, sf_dir):
+    return _identified(spark, sf_dir).withColumn("d", F.round("d", 6))
+
+
+@query(f"with {_ALIASED}, b as (select *, min(d) over (partition by q) as best from k), t as (select *, case when d + best = 0 then 0 else 2 * (d - best) / (d + best) end as gap from b) select q, uri, s, round(d, 6) as d, round(gap, 6) as gap from t where gap < 0.1")
+def q_ident_ambiguous_aliases(spark, sf_dir):
+    return similarity.near_ties(_identified(spark, sf_dir), "q").select("q", "uri", "s", F.round("d", 6).alias("d"), F.round("gap", 6).alias("gap"))
+
+
+@query(f"with {_ALIASED} select asked, uri, s from u join k using (q) where rank = 1")
+def q_resolve_nodes_aliases(spark, sf_dir):
+    return _asked_rows(spark, sf_dir).join(_identified(spark, sf_dir).where("rank = 1"), "q").select("asked", "uri", "s")
+
+
 # --- edits and sets
 
 _EDITS = """list_distinct([left(s, i::int) || substring(s, i::int + 2) for i in range(0, length(s))]
