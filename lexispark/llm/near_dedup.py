@@ -28,6 +28,8 @@ from lexispark.llm.components import components
 HALF_KEYS, ROWS = 12, 3
 _BLOCK = 4096
 _EARLIER = 24
+#: 64-bit words of a set's parity marks.
+MARK_WORDS = 8
 SIGNATURE = "_id long, _n long, _key binary, _u array<long>, _v array<long>"
 
 
@@ -171,28 +173,35 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     where they meet what came before and what can follow bounds the overlap. A pair comes up where it first meets: a shingle is
     passed over if one of the few just before it is common too. Within a shingle the largest component's
     members are never paired with each other, so a large group meets only what is outside it.
+
+    Every set has parity marks: each of its shingles flips one of 64 * MARK_WORDS bits. Marks of two sets differ in no more bits than the sets
+    in shingles, so a pair whose marks differ in more than it can afford is refuted before it comes up; what comes up is close to what links.
     """
     members = labelled.select(F.col("_c").alias("_id"), F.col("_n").cast("int").alias("_n"), F.col("_label").alias("_l")).distinct()
     every = members.join(sets, F.col("_id") == F.col("_c")).select("_id", "_n", "_l", F.explode("_set").alias("_token"))
     needed = F.ceil(F.col("_n") * percent / 100)
     own = Window.partitionBy("_id")
     for _ in range(3):
-        shared = every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c")
-        counted = every.join(shared, "_token").withColumn("_m", F.count("*").over(own)).where(F.col("_m") >= needed)
-        every = checkpointed(counted)
-        ranked = every
-        every = every.select("_id", "_n", "_l", "_token")
+        # checkpointed, so that the join that follows reads two plain exchanges, which adaptive execution can split at a hot shingle
+        shared = checkpointed(every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c"))
+        every = checkpointed(every.select("_id", "_n", "_l", "_token").join(shared, "_token").withColumn("_m", F.count("*").over(own)).where(F.col("_m") >= needed))
     rarest = own.orderBy("_c", "_token")
-    ranked = ranked.withColumn("_at", F.row_number().over(rarest)).withColumn("_before", F.collect_list("_token").over(rarest.rowsBetween(-_EARLIER, -1)))
-    posts = ranked.where(F.col("_at") <= F.col("_m") - needed + 1).select("_token", "_id", "_n", "_l", "_m", "_at", "_before")
+    ranked = every.withColumn("_at", F.row_number().over(rarest)).withColumn("_before", F.collect_list("_token").over(rarest.rowsBetween(-_EARLIER, -1)))
+    marks = [f"_b{i}" for i in range(MARK_WORDS)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("_token", 8).bitwiseAND(F.lit(63)).cast("int"))
+    for i, mark in enumerate(marks):
+        ranked = ranked.withColumn(mark, F.bit_xor(F.when(F.pmod("_token", F.lit(MARK_WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).over(own))
+    posts = ranked.where(F.col("_at") <= F.col("_m") - needed + 1).select("_token", "_id", "_n", "_l", "_m", "_at", "_before", *marks)
+    posts = checkpointed(posts)
     of_label = posts.groupBy("_token", "_l").agg(F.count("*").alias("_c"))
     largest = of_label.groupBy("_token").agg(F.max(F.struct("_c", "_l")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1").select("_token", F.col("_top._l").alias("_top"))
-    posts = posts.join(largest, "_token")
-    outside = posts.where("_l <> _top").select("_token", *[F.col(c).alias(f"{c}2") for c in ("_id", "_n", "_l", "_m", "_at", "_before")])
+    posts = checkpointed(posts.join(checkpointed(largest), "_token"))
+    outside = posts.where("_l <> _top").select("_token", *[F.col(c).alias(f"{c}2") for c in ("_id", "_n", "_l", "_m", "_at", "_before", *marks)])
     overlap = F.ceil((F.col("_n") + F.col("_n2")) * percent / (100 + percent))
     can = F.least("_at", "_at2") + F.least(F.col("_m") - F.col("_at"), F.col("_m2") - F.col("_at2")) >= overlap
     short = F.when(F.col("_n") < F.col("_n2"), F.col("_at") <= F.col("_m") - F.ceil(F.col("_n") * 2 * percent / (100 + percent)) + 1).when(F.col("_n") > F.col("_n2"), F.col("_at2") <= F.col("_m2") - F.ceil(F.col("_n2") * 2 * percent / (100 + percent)) + 1).otherwise(True)
-    met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short & ~F.arrays_overlap("_before", "_before2"))
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2"))) for m in marks), F.lit(0)) <= F.col("_m") + F.col("_m2") - 2 * overlap
+    met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short & differ & ~F.arrays_overlap("_before", "_before2"))
     return met.select(F.greatest("_id", "_id2").alias("a"), F.least("_id", "_id2").alias("b")).distinct()
 
 
