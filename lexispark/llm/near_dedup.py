@@ -5,8 +5,8 @@ tables is keyed by the pair (u_i, v_j), so m*m tables of 2*r rows cost 2*m*r has
 with similarity s meets in some table with probability (1 - (1 - s**r)**m)**2: with r = 3 and m = 12, over 0.9996 at 0.8.
 
 The tables are never written out whole: half-keys u_i that only one set has are dropped first, and only the rest is
-expanded by v_j. In two turns every set is compared with one leader of its buckets that is not yet in its component (first
-the most central one), so a large group of copies costs two comparisons for each copy. What is still apart in a shared
+expanded by v_j. In two turns every set is compared with leaders of its buckets that are not yet in its component (first
+the most central one, then a few drawn by hash), so a large group of copies costs a few comparisons for each copy. What is still apart in a shared
 bucket is then compared exactly: only pairs that share one of their rarest shingles (a prefix of each set, ordered by
 document frequency) can reach the similarity. Every link is confirmed on the full shingle sets.
 """
@@ -30,6 +30,8 @@ _BLOCK = 4096
 _EARLIER = 24
 #: 64-bit words of a set's parity marks.
 MARK_WORDS = 8
+#: Leaders that a class is compared with in the second turn.
+LEADERS = 8
 SIGNATURE = "_id long, _n long, _key binary, _u array<long>, _v array<long>"
 
 
@@ -79,12 +81,19 @@ def _signatures(k: int, half_keys: int, rows: int):
     return run
 
 
+def _marks(s: np.ndarray) -> np.ndarray:
+    """The parity marks of a set: bit i is how many of its shingles, modulo 2, are i modulo 64 * MARK_WORDS."""
+    odd = np.bincount((s % np.uint64(64 * MARK_WORDS)).astype(np.int64), minlength=64 * MARK_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _full_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 sets = [s for _, s in _sets(batch.column(0).slice(at, 256), k)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["_key", "_set"])
+                cols = [pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([_marks(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["_key", "_set", "_marks"])
 
     return run
 
@@ -134,10 +143,10 @@ def _verified_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k:
     """Links (a, b) between classes that are enough for the components: every pair that shares a bucket is confirmed, refuted, or joined by other links."""
     some = classes.select("_c", "_key", "_least").join(buckets.select("_c").distinct(), "_c", "left_semi")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).join(some.select("_least").distinct(), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
-    sets = checkpointed(texts.select("_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>").dropDuplicates(["_key"]).join(some, "_key").select("_c", "_set"))
+    sets = checkpointed(texts.select("_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>, _marks array<long>").dropDuplicates(["_key"]).join(some, "_key").select("_c", "_set", "_marks"))
     links, labelled = None, buckets.withColumn("_label", F.col("_c"))
     for turn in range(3):
-        pairs = _leader_pairs(labelled, percent, turn) if turn < 2 else _prefix_pairs(labelled, sets, percent)
+        pairs = _possible(_leader_pairs(labelled, percent, turn), sets, percent) if turn < 2 else _prefix_pairs(labelled, sets, percent)
         found = checkpointed(_confirmed(pairs, sets, percent).where("_linked").select("a", "b"))
         links = found if links is None else links.union(found)
         if turn < 2:
@@ -153,15 +162,29 @@ def _open_buckets(labelled: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(labelled: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each class with one leader of its buckets that is in another component: of the buckets' leaders, the most central.
+    """Each class with leaders of its buckets that are in another component: in the first turn one, the most central, then up to LEADERS of them.
 
     A bucket's leader is its most central member in the first turn and one drawn by hash in the second.
     """
     rank = F.col("_score") if turn == 0 else F.xxhash64("_c", "bucket")
     leaders = labelled.groupBy("bucket").agg(F.max(F.struct(rank.alias("r"), "_c", "_n", "_label", "_score")).alias("_lead"))
     near = labelled.join(leaders, "bucket").where((F.col("_label") != F.col("_lead._label")) & _fits(percent, "_n", "_lead._n"))
-    one = near.groupBy("_c").agg(F.max(F.struct("_lead._score", F.col("_lead._c").alias("_c"))).alias("_best"))
-    return one.select(F.greatest("_c", "_best._c").alias("a"), F.least("_c", "_best._c").alias("b")).distinct()
+    if turn == 0:
+        one = near.groupBy("_c").agg(F.max(F.struct("_lead._score", F.col("_lead._c").alias("_c"))).alias("_best"))
+        pairs = one.select("_c", F.col("_best._c").alias("_o"))
+    else:
+        # a class is in no more buckets than there are tables, so the set is small
+        some = near.groupBy("_c").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("_c", "_lead._c").alias("h"), F.col("_lead._c").alias("_o")))), 1, LEADERS).alias("_some"))
+        pairs = some.select("_c", F.explode("_some._o").alias("_o"))
+    return pairs.select(F.greatest("_c", "_o").alias("a"), F.least("_c", "_o").alias("b")).distinct()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs without those that the sizes and marks of their sets refute, so that fewer sets travel."""
+    marked = [sets.select(F.col("_c").alias(x), F.size("_set").alias(f"_n{x}"), F.col("_marks").alias(f"_m{x}")) for x in "ab"]
+    differ = F.aggregate(F.zip_with("_ma", "_mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("_na") + F.col("_nb")
+    return pairs.join(marked[0], "a").join(marked[1], "b").where(differ <= both - 2 * F.ceil(both * percent / (100 + percent))).select("a", "b")
 
 
 def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,9 +211,9 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     rarest = own.orderBy("_c", "_token")
     ranked = every.withColumn("_at", F.row_number().over(rarest)).withColumn("_before", F.collect_list("_token").over(rarest.rowsBetween(-_EARLIER, -1)))
     marks = [f"_b{i}" for i in range(MARK_WORDS)]
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("_token", 8).bitwiseAND(F.lit(63)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_token", F.lit(64)).cast("int"))
     for i, mark in enumerate(marks):
-        ranked = ranked.withColumn(mark, F.bit_xor(F.when(F.pmod("_token", F.lit(MARK_WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).over(own))
+        ranked = ranked.withColumn(mark, F.bit_xor(F.when(F.pmod(F.shiftright("_token", 6), F.lit(MARK_WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).over(own))
     posts = ranked.where(F.col("_at") <= F.col("_m") - needed + 1).select("_token", "_id", "_n", "_l", "_m", "_at", "_before", *marks)
     posts = checkpointed(posts)
     of_label = posts.groupBy("_token", "_l").agg(F.count("*").alias("_c"))
