@@ -211,11 +211,8 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     rarest = own.orderBy("_c", "_token")
     ranked = every.withColumn("_at", F.row_number().over(rarest)).withColumn("_before", F.collect_list("_token").over(rarest.rowsBetween(-_EARLIER, -1)))
     marks = [f"_b{i}" for i in range(MARK_WORDS)]
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_token", F.lit(64)).cast("int"))
-    for i, mark in enumerate(marks):
-        ranked = ranked.withColumn(mark, F.bit_xor(F.when(F.pmod(F.shiftright("_token", 6), F.lit(MARK_WORDS)) == i, bit).otherwise(F.lit(0).cast("long"))).over(own))
-    posts = ranked.where(F.col("_at") <= F.col("_m") - needed + 1).select("_token", "_id", "_n", "_l", "_m", "_at", "_before", *marks)
-    posts = checkpointed(posts)
+    posts = ranked.where(F.col("_at") <= F.col("_m") - needed + 1).select("_token", "_id", "_n", "_l", "_m", "_at", "_before")
+    posts = checkpointed(posts.join(sets.select(F.col("_c").alias("_id"), *[F.get("_marks", F.lit(i)).alias(m) for i, m in enumerate(marks)]), "_id"))
     of_label = posts.groupBy("_token", "_l").agg(F.count("*").alias("_c"))
     largest = of_label.groupBy("_token").agg(F.max(F.struct("_c", "_l")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1").select("_token", F.col("_top._l").alias("_top"))
     posts = checkpointed(posts.join(checkpointed(largest), "_token"))
@@ -223,7 +220,7 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     overlap = F.ceil((F.col("_n") + F.col("_n2")) * percent / (100 + percent))
     can = F.least("_at", "_at2") + F.least(F.col("_m") - F.col("_at"), F.col("_m2") - F.col("_at2")) >= overlap
     short = F.when(F.col("_n") < F.col("_n2"), F.col("_at") <= F.col("_m") - F.ceil(F.col("_n") * 2 * percent / (100 + percent)) + 1).when(F.col("_n") > F.col("_n2"), F.col("_at2") <= F.col("_m2") - F.ceil(F.col("_n2") * 2 * percent / (100 + percent)) + 1).otherwise(True)
-    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2"))) for m in marks), F.lit(0)) <= F.col("_m") + F.col("_m2") - 2 * overlap
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2"))) for m in marks), F.lit(0)) <= F.col("_n") + F.col("_n2") - 2 * overlap
     met = outside.join(posts, "_token").where((F.col("_l") != F.col("_l2")) & _fits(percent, "_n", "_n2") & can & short & differ & ~F.arrays_overlap("_before", "_before2"))
     return met.select(F.greatest("_id", "_id2").alias("a"), F.least("_id", "_id2").alias("b")).distinct()
 
