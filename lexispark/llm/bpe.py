@@ -48,8 +48,7 @@ NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16
 LARGEST_VOCABULARY = 64 << 20
 _ROW = 1024
 NO_TOKEN = 1 << 30
-#: The hash table of pairs has 2 ** _SLOTS slots, four times the pairs of a vocabulary of 50,000 and more.
-_SLOTS, _SPREAD = 19, np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _LONG_PIECE, _CACHED = 64, 300_000
 
 
@@ -172,25 +171,28 @@ class Vocabulary:
                     self.pairs[a << 24 | b] = i
         self.cache: dict[bytes, tuple[int, ...]] = {}
         keys, values = (np.array(x, np.int64) for x in (list(self.pairs), list(self.pairs.values())))
-        self.slot_keys, self.slot_values = np.full(1 << _SLOTS, -1), np.full(1 << _SLOTS, NO_TOKEN)
-        slot = (keys.astype(np.uint64) * _SPREAD >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        # a hash table with four to eight slots for a pair
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.last_slot, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.slot_keys, self.slot_values = np.full(1 << bits, -1), np.full(1 << bits, NO_TOKEN)
+        slot = (keys.astype(np.uint64) * _SPREAD >> self.shift).astype(np.int64)
         while len(keys):
             _, one = np.unique(slot, return_index=True)
             one = one[self.slot_values[slot[one]] == NO_TOKEN]
             self.slot_keys[slot[one]], self.slot_values[slot[one]] = keys[one], values[one]
             rest = np.ones(len(keys), bool)
             rest[one] = False
-            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << _SLOTS) - 1)
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.last_slot
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that each pair merges to, or NO_TOKEN: probes of a hash table, all pairs at a time."""
         key = a << 24 | b
-        slot = (key.astype(np.uint64) * _SPREAD >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        slot = (key.astype(np.uint64) * _SPREAD >> self.shift).astype(np.int64)
         out = self.slot_values[slot]
         todo = np.flatnonzero((self.slot_keys[slot] != key) & (out != NO_TOKEN))
         out[todo] = NO_TOKEN
         while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << _SLOTS) - 1)
+            slot[todo] = (slot[todo] + 1) & self.last_slot
             held, value = self.slot_keys[slot[todo]], self.slot_values[slot[todo]]
             same = held == key[todo]
             out[todo[same]] = value[same]
@@ -272,7 +274,7 @@ class Vocabulary:
             begins = np.flatnonzero((data & 0xC0) != 0x80)
             at = begins[piece_starts(points, np.searchsorted(begins, chunk.starts[filled]))]
         stops = np.append(at[1:], len(data))
-        _, one, of, often = np.unique(T.span_hashes(data, at, stops, spaces=True), return_index=True, return_inverse=True, return_counts=True)
+        one, of, often = distinct_pieces(data, at, stops)
         first, stop = at[one], stops[one]
         raw, known, ranks = data.tobytes(), self.cache.get, self.ranks.get
         pieces = [raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
@@ -300,6 +302,21 @@ class Vocabulary:
         return self.bytes[ranges(self.offsets[ids], self.lengths[ids])]
 
 
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct pieces: where each first occurs, which of them every piece is, and how often each occurs. Grouped by hash; their bytes are then compared."""
+    _, one, of, often = np.unique(T.span_hashes(data, starts, stops, spaces=True), return_index=True, return_inverse=True, return_counts=True)
+    sizes, first = stops - starts, one[of]
+    again = np.flatnonzero(first != np.arange(len(starts)))
+    other = first[again]
+    if (sizes[again] == sizes[other]).all() and not T.differing(data, starts[again], starts[other], sizes[again]).any():
+        return one, of, often
+    # a collision: the bytes themselves decide
+    raw, seen = data.tobytes(), {}
+    of = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    _, one, often = np.unique(of, return_index=True, return_counts=True)
+    return one, of, often
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ..., sizes[0] of them, then the same for each other start."""
     total = int(sizes.sum())

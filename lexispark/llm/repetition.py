@@ -97,6 +97,13 @@ def measure(chunk: T.Chunk, limits: Limits) -> dict[str, np.ndarray]:
     if len(line_starts):
         keys = in_text(T.span_hashes(data, line_starts, line_stops, spaces=True), line_text)
         at = _again(keys)
+        _, one, of = np.unique(keys[at], return_index=True, return_inverse=True)
+        first, sizes = at[one][of], line_stops - line_starts
+        if (sizes[at] != sizes[first]).any() or T.differing(data, line_starts[at], line_starts[first], sizes[at]).any():
+            # a collision: the bytes themselves decide
+            seen: dict = {}
+            keys = np.array([seen.setdefault((t, data[a:b].tobytes()), len(seen)) for t, a, b in zip(line_text.tolist(), line_starts.tolist(), line_stops.tolist(), strict=True)], np.uint64)
+            at = _again(keys)
         later = np.ones(len(at), bool)
         later[np.unique(keys[at], return_index=True)[1]] = False
         later = at[later]

@@ -40,20 +40,34 @@ _BYTE_VALUES = randoms(256, 11)
 _BYTE_VALUES[_SPACE] = 0
 _BYTE_VALUES_LOWER = _BYTE_VALUES.copy()
 _BYTE_VALUES_LOWER[65:91] = _BYTE_VALUES[97:123]
-_LOW, _SHIFT = 4096, 12
-_BASE = int(randoms(1, 12)[0]) | 1
-_POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(_LOW)], np.uint64)
+_LOW = 4096
+_MULTIPLIERS = randoms(_LOW, 12) | np.uint64(1)
 
 
-def _powers(at: np.ndarray, longest: int) -> np.ndarray:
+def _multipliers(at: np.ndarray, longest: int) -> np.ndarray:
+    """A random odd number for each place in a span, alike in every chunk. Powers of one number would let texts of a regular build collide modulo 2**64."""
     if longest <= _LOW:
-        return _POWERS[at]
-    high = np.empty((longest >> _SHIFT) + 1, np.uint64)
-    step, value = pow(_BASE, _LOW, 1 << 64), 1
-    for i in range(len(high)):
-        high[i] = value
-        value = value * step % (1 << 64)
-    return _POWERS[at & (_LOW - 1)] * high[at >> _SHIFT]
+        return _MULTIPLIERS[at]
+    out = _MULTIPLIERS[np.minimum(at, _LOW - 1)]
+    far = np.flatnonzero(at >= _LOW)
+    out[far] = mix(mix(at[far].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) + np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+    return out
+
+
+def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Which spans of so many bytes, at least one each, that begin at a and at b differ in a byte; compared in blocks, so that memory is bounded."""
+    out = np.zeros(len(a), bool)
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(a):
+        begin = int(ends[i] - sizes[i])
+        j = max(i + 1, int(np.searchsorted(ends, begin + block, "right")))
+        n, first = sizes[i:j], ends[i:j] - sizes[i:j] - begin
+        inside = np.arange(int(ends[j - 1]) - begin) - np.repeat(first, n)
+        wrong = data[np.repeat(a[i:j], n) + inside] != data[np.repeat(b[i:j], n) + inside]
+        out[i:j] = np.logical_or.reduceat(wrong, first)
+        i = j
+    return out
 
 
 @dataclass
@@ -122,7 +136,7 @@ def words(chunk: Chunk, lower: bool = False, hashed: bool = True) -> Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, spaces: bool = False) -> np.ndarray:
-    """64-bit polynomial hashes of disjoint ascending spans of data; white space outside or inside counts for nothing unless spaces."""
+    """64-bit multilinear hashes of disjoint ascending spans of data; white space outside or inside counts for nothing unless spaces."""
     table = _BYTE_VALUES_LOWER if lower else _BYTE_VALUES
     if spaces:
         table = table.copy()
@@ -134,7 +148,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     value = table[data[begin : int(ends[-1])]]
     if spaces:
         value[at >= np.repeat(ends - starts, gaps)] = 0
-    value *= _powers(at, longest)
+    value *= _multipliers(at, longest)
     return mix(np.add.reduceat(value, starts - begin) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

@@ -384,3 +384,45 @@ def test_mixing(docs, empty):
 
 def test_every_query_is_registered():
     assert sorted({int(q[2:].split("_")[0]) for q in queries.QUERIES}) == list(range(1, 11))
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_of_a_regular_build_do_not_collide(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    a, b = thue_morse(8192), thue_morse(8192, "ba")
+    texts = [a, b, f"{a} x {b} y", f"{a}\n{b}\n" + " ".join(f"w{i}" for i in range(60)), f"{a[:5000]} {b[:5000]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 4).collect()} == {i: i for i in range(5)}
+    v, enc = reference_encoding()
+    for c in textbytes.chunks(pa.array(texts, pa.string())):
+        ids, ends = v.encode(c)
+        for i in range(len(c)):
+            assert ids[ends[i] : ends[i + 1]].tolist() == enc.encode_ordinary(texts[c.first + i])
+    assert repetition.repetition(docs).where("doc_id = 3").first()["n_dup_lines"] == 0
+    scored = {r["doc_id"]: r for r in lm_bloom.scores(docs).collect()}
+    known = {w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in WORD.findall(t)}
+    assert [scored[i]["n_known"] for i in range(5)] == [sum(w in known for w in WORD.findall(t)) + 1 for i, t in enumerate(texts)]
+
+
+def test_pieces_whose_hashes_collide_are_told_apart(monkeypatch):
+    monkeypatch.setattr(textbytes, "span_hashes", lambda data, a, b, lower=False, spaces=False: (b - a).astype(np.uint64))
+    v, enc = reference_encoding()
+    texts = ["one two six ten", "", "aa bb aa bb cc"]
+    for c in textbytes.chunks(pa.array(texts, pa.string())):
+        ids, ends = v.encode(c)
+        assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(3)] == [enc.encode_ordinary(t) for t in texts]
+        assert repetition.measure(next(textbytes.chunks(pa.array(["ab\ncd\nab\ne"], pa.string()))), repetition.Limits())["n_dup_lines"].tolist() == [1]
+
+
+def test_a_large_vocabulary_loads():
+    import base64
+    import itertools
+
+    words = [bytes(x) for n in (1, 2, 3) for x in itertools.islice(itertools.product(range(256), repeat=n), 256 if n == 1 else 65_536 if n == 2 else 240_000)]
+    v = bpe.Vocabulary(b"\n".join(base64.b64encode(w) + b" %d" % i for i, w in enumerate(words)))
+    assert len(v.pairs) > 1 << 18 and v.merge_long(bytes([0, 1, 2])) == (v.ranks[bytes([0, 1, 2])],)
+    data = np.frombuffer(bytes([0, 1, 2, 9]), np.uint8)
+    assert v.merge_many(data, np.array([0]), np.array([4])) == [v.merge_long(data.tobytes())]
