@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
 from lexispark.llm import textbytes as T
+from lexispark.llm.common import numbered, quoted
 
 # code point classes
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
@@ -351,7 +352,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", verified: str = "
     shared = _shared(docs.sparkSession, path)
     own = [c for c in docs.columns if c.lower() not in ("bpe_ids", "bpe_offsets", verified.lower())]
     more = [StructField(verified, BooleanType())] if verified else []
-    docs = docs.select(*[F.col(f"`{c}`") for c in own])
+    docs = numbered(docs.select(*[quoted(c) for c in own]))
     at, schema = own.index(text_col), StructType([*docs.schema.fields, StructField("bpe_ids", ArrayType(IntegerType())), StructField("bpe_offsets", ArrayType(IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +369,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", verified: str = "
                 part = batch.slice(chunk.first, len(chunk))
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "bpe_ids", "bpe_offsets", *[f.name for f in more]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*own, "bpe_ids", "bpe_offsets", *[f.name for f in more])
 
 
 def _same(chunk: T.Chunk, back: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -383,7 +384,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "bpe_ids", to: str = "de
     """tokens with one more column: the bytes that the ids stand for (binary; null for null)."""
     shared = _shared(tokens.sparkSession, path)
     own = [c for c in tokens.columns if c.lower() != to.lower()]
-    tokens = tokens.select(*[F.col(f"`{c}`") for c in own])
+    tokens = numbered(tokens.select(*[quoted(c) for c in own]))
     at = own.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +400,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "bpe_ids", to: str = "de
                 out = [raw[a:b] if ok else None for a, b, ok in zip(cuts, cuts[1:], column.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, to])
 
-    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(to, BinaryType())]))
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(to, BinaryType())])).toDF(*own, to)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

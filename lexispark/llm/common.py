@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing df to the reliable checkpoint folder (spark.checkpoint.dir; a temporary one only where the session names none).
+    """Cut the lineage by writing df to the reliable checkpoint folder (spark.checkpoint.dir; a temporary one only in local mode, where the session names none).
 
     Once it is written nothing reads the shuffles it came from, so Spark is told to remove their files at once instead of when the driver collects garbage.
     """
@@ -27,6 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="lexispark-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
@@ -38,6 +40,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set(_FREE_SHUFFLES, before)
 
 
+def fresh(docs: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with underscores put before those that docs has already, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame, without: tuple[str, ...] | list[str] = ()) -> list[Column]:
+    """The columns of docs by name, whatever their names hold."""
+    left_out = {c.lower() for c in without}
+    return [quoted(c) for c in docs.columns if c.lower() not in left_out]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ...: mapInArrow can't take names with a dot. Names come back with toDF()."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -6,7 +6,7 @@ that two places share has a fingerprint in common. Only fingerprints that occur
 positions the match is extended line by line both ways, as far as every stretch of `least` lines was seen earlier. A line of
 `long_words` words or more is a run by itself, and its own fingerprint; so are two consecutive lines of that many words together.
 
-Earlier means: in a document with a smaller id, or before it in the same one. The first occurrence stays; what later ones
+Earlier means: in a document with a smaller id (null ids come last), or before it in the same one. The first occurrence stays; what later ones
 repeat is deleted.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD, checkpointed
+from lexispark.llm.common import WORD, checkpointed, fresh, own_columns, quoted
 
 #: Lines in a gram, grams in a window; a shared run of GRAM + WINDOW - 1 = 3 lines is always found.
 GRAM, WINDOW = 2, 2
@@ -35,7 +35,7 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
 
     Rows that agree in id and text are one document; rows that share an id only are ordered by their text's hash.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+    source = docs.select(quoted(id_col).cast("long").alias("_id"), F.xxhash64(quoted(text_col)).alias("_h"), quoted(text_col).alias("_t")).where(F.col("_t").isNotNull())
     lines = (
         source.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_at", "_line"))
         .where(F.col("_line").rlike(WORD))
@@ -64,16 +64,24 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     seeds = prints.join(twice, "_print").select("_id", "_h", "_n").distinct()
     # extend: stretches that hold a seed, joined by document and line; of equal stretches all but the first are repeats
     starts = seeds.select("_id", "_h", F.explode(F.expr(f"sequence(_n - {LEAST - 1}, _n)")).alias("_n")).distinct()
-    near = ahead.join(starts, ["_id", "_h", "_n"])
+    near = _at_places(ahead, starts)
     units = near.where("_run is not null").select("_id", "_h", "_n", F.col("_run").alias("_key"), F.lit(LEAST).alias("_size"))
     units = units.union(near.where("_long").select("_id", "_h", "_n", _hash("_x", F.lit(0)).alias("_key"), F.lit(1).alias("_size")))
     if two_lines:
         units = units.union(near.where("_pair is not null").select("_id", "_h", "_n", "_pair", F.lit(2)))
-    place = F.struct("_id", "_h", "_n")
+    place = F.struct(F.col("_id").isNull().alias("_z"), "_id", "_h", "_n")
+    units = checkpointed(units)
     first = units.groupBy("_key", "_size").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
-    later = units.join(first, ["_key", "_size"]).where(place != F.col("_first"))
+    # checkpointed, so that the join reads two plain exchanges, which adaptive execution can split at a frequent passage
+    later = units.join(checkpointed(first), ["_key", "_size"]).where(~place.eqNullSafe(F.col("_first")))
     hit = later.select("_id", "_h", F.explode(F.expr("sequence(_n, _n + _size - 1)")).alias("_n")).distinct()
-    return hit.join(ahead.select("_id", "_h", "_n", "_at"), ["_id", "_h", "_n"]).groupBy("_id", "_h").agg(F.sort_array(F.collect_list("_at")).alias("removed"))
+    return _at_places(ahead.select("_id", "_h", "_n", "_at"), hit).groupBy("_id", "_h").agg(F.sort_array(F.collect_list("_at")).alias("removed"))
+
+
+def _at_places(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines at the given places (_id, _h, _n); a null id is equal to itself."""
+    at = places.select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2"), F.col("_n").alias("_n2"))
+    return lines.join(at, F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2")) & (F.col("_n") == F.col("_n2")), "left_semi")
 
 
 def _kept_text(text: Column, removed: Column) -> Column:
@@ -84,24 +92,23 @@ def _kept_text(text: Column, removed: Column) -> Column:
     return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["from"], g["n"]))), "\n")
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs with repeated runs of lines deleted from the text, and n_lines and n_removed (of lines) added; columns of those names are replaced.
 
     Deleted: every line of a run of at least 3 lines with a word each that occurs earlier, lines without a word not counted, every line
     of at least long_words words that occurs earlier, and, with two_lines, both lines of two consecutive ones of at least long_words words together
     that occur earlier. Lines without a word are never deleted. No row goes: a text that repeats others becomes empty. Null stays null (0 lines), an empty text has one line and stays. Rows that repeat an id
-    and its text get the same result.
+    and its text get the same result; rows that repeat an id only, and rows with a null id, are documents of their own, told apart by their texts.
     """
-    found = repeated_lines(docs, long_words, id_col, text_col, two_lines).withColumnsRenamed({"_id": "_rid", "_h": "_rh", "removed": "_removed"})
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
-    names = own.columns
-    joined = own.join(found, own[id_col].cast("long").eqNullSafe(F.col("_rid")) & (F.xxhash64(own[text_col]) == F.col("_rh")), "left")
-    text = F.when(F.col("_removed").isNull(), F.col(f"`{text_col}`")).otherwise(_kept_text(F.col(f"`{text_col}`"), F.col("_removed")))
-    n_lines = F.coalesce(F.size(F.split(F.col(f"`{text_col}`"), "\n", -1)), F.lit(0)).cast("long")
+    row_id, row_h, places = fresh(docs, "_rid", "_rh", "_removed")
+    found = repeated_lines(docs, long_words, id_col, text_col, two_lines).withColumnsRenamed({"_id": row_id, "_h": row_h, "removed": places})
+    joined = docs.select(*own_columns(docs, [n_lines, n_removed])).join(found, quoted(id_col).cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(quoted(text_col)) == F.col(row_h)), "left")
+    gone, own = F.col(places), quoted(text_col)
+    text = F.when(gone.isNull(), own).otherwise(_kept_text(own, gone))
     return joined.select(
-        *[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in names],
-        F.when(F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.col("_removed").isNull(), F.lit(0)).otherwise(F.size("_removed")).cast("long").alias("n_removed"),
+        *[(text.alias(c) if c == text_col else quoted(c)) for c in docs.columns if c.lower() not in (n_lines.lower(), n_removed.lower())],
+        F.when(own.isNull(), F.lit(0)).otherwise(F.size(F.split(own, "\n", -1))).cast("long").alias(n_lines),
+        F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias(n_removed),
     )
 
 

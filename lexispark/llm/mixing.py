@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the schedule has the golden-ratio point frac(i / phi), which is mapped through the sources' cumulative shares, so any
+Slot i of the schedule has the golden-ratio point frac(i / phi), in whole numbers of 2**-52 so that late slots are as exact as early ones, which is mapped through the sources' cumulative shares, so any
 stretch of the schedule holds every source close to its share. Slots are ranked per source; the k-th slot of a source takes its
 k-th block, and after the last block the first again. A source's blocks are equal in words (to within one) and are
 cut from its documents in shuffled order.
@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import checkpointed, n_words, uniform
+from lexispark.llm.common import checkpointed, fresh, n_words, own_columns, quoted, uniform
 
 #: Weights of the sources in order, repeating, and how often a source may be repeated.
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3
 #: Words in a block; documents in a bucket; slots in a stretch; cells by which points find their source.
 BLOCK, BUCKET, STRETCH, CELLS = 64, 4096, 4096, 4096
-_PHI = 0.6180339887498949
+#: The golden ratio's fraction in 2**-52, rounded to an odd number, in two parts of 26 bits.
+_PHI_HIGH, _PHI_LOW = divmod(2783377641436327, 1 << 26)
+_HALF = (1 << 26) - 1
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -53,9 +55,16 @@ def _ranked(rows: DataFrame, by: list[str], stretch: str, order: list[Column]) -
     return inside.join(before, [*by, stretch]).withColumn("_rank", F.col("_before") + F.col("_in") - 1).drop("_in", "_before")
 
 
+def point(slot: Column) -> Column:
+    """frac(slot * phi) for slots up to 2**52: a product modulo 2**52 from parts of 26 bits, none of which overflows a long."""
+    a, b = F.shiftright(slot, 26).bitwiseAND(F.lit(_HALF)), slot.bitwiseAND(F.lit(_HALF))
+    high = F.shiftleft((a * _PHI_LOW + b * _PHI_HIGH).bitwiseAND(F.lit(_HALF)), 26)
+    return (high + b * _PHI_LOW).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
+
+
 def schedule(spark, plan: DataFrame, blocks: int) -> DataFrame:
     """(_slot, _s, _rank): the slots of the schedule, the source each draws, and its rank among the source's slots."""
-    slots = spark.range(blocks).select(F.col("id").alias("_slot"), F.pmod(F.col("id") * F.lit(_PHI), F.lit(1.0)).alias("_x"))
+    slots = spark.range(blocks).select(F.col("id").alias("_slot"), point(F.col("id")).alias("_x"))
     slots = slots.withColumn("_cell", F.floor(F.col("_x") * CELLS))
     cells = plan.where("_hi > _lo").select("_s", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))).alias("_cell"))
     drawn = slots.join(cells, "_cell").where("_x >= _lo and _x < _hi").select("_slot", "_s", F.floor(F.col("_slot") / STRETCH).alias("_stretch"))
@@ -69,8 +78,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     never taken. A null source is a source, the last in order. Rows that repeat an id are taken one by one. Ids order the
     shuffle by hash, so runs agree; equal rows are interchangeable. Other columns are left out; no rows give no rows.
     """
+    return _taken(docs, id_col, text_col, source_col, block_words).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int = BLOCK) -> DataFrame:
+    """What mix() returns, with the source (_source) and the text's hash (_h)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("_h"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("_source"), n_words(quoted(text_col)).alias("size"), F.xxhash64(quoted(text_col)).alias("_h"))
     rows = checkpointed(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     plan = targets(rows.groupBy("_source").agg(F.sum("size").alias("source_size")))
@@ -105,22 +119,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.greatest(F.lit(0), F.least(end, edge(F.col("_block")) + F.col("_part")) - begin)
     words = pieces.join(per_block, ["_s", "_block"]).withColumn("_got", F.col("_whole") * (end - begin) + part).groupBy("_row").agg(F.sum("_got").alias("taken"))
     named = plan.select("_s", "source_size", "target")
-    return laid.join(words, "_row", "left").join(named, "_s").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return laid.join(words, "_row", "left").join(named, "_s").select("doc_id", "_source", "_h", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: a row for each time that a document is taken whole, and one with the first words for a part; columns stay as they are.
 
-    For ids that are unique. Documents without words, or of which nothing is taken, are left out; n_chars, if there is such a column, is that of the text.
+    Rows are told apart by id, source and text; a null id or source is equal to itself. Rows that agree in the three share what the mix takes of them: each
+    is repeated as often, and what is left over comes with the other columns of one of them. Documents without words, or of which nothing is
+    taken, are left out; n_chars, if there is such a column, is that of the text.
     """
-    taken = mix(docs, id_col, text_col, source_col).where("taken > 0").select(F.col("doc_id").alias("_mid"), "size", "taken")
-    joined = docs.join(taken, docs[id_col] == F.col("_mid"))
+    key = fresh(docs, "_mid", "_msource", "_mhash")
+    size, times, words, share = fresh(docs, "_msize", "_mtimes", "_mwords", "_mshare")
+    per = _taken(docs, id_col, text_col, source_col).where("size > 0").groupBy("doc_id", "_source", "_h").agg(F.first("size").alias(size), F.sum("taken").alias("_t"), F.count("*").alias("_many")).where("_t > 0")
+    # whole takes of each row; the rest of the group: whole takes, and the words of a part
+    per = per.withColumn("_whole", F.floor(F.col("_t") / F.col(size))).withColumn("_part", F.col("_t") % F.col(size))
+    per = checkpointed(per.withColumnsRenamed(dict(zip(("doc_id", "_source", "_h"), key))))
+    same = quoted(id_col).eqNullSafe(F.col(key[0])) & quoted(source_col).eqNullSafe(F.col(key[1])) & (F.xxhash64(quoted(text_col)) == F.col(key[2]))
+    zero, nothing = F.lit(0).cast("long"), F.array().cast("array<bigint>")
     # copies of whole words: 0 stands for the whole text, a number for so many words
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.expr("array()").cast("array<bigint>")))
-    rows = joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(parts).alias("_words"))
-    first = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col("_words")).cast("int")), " ")
-    text = F.when(F.col("_words") == 0, F.col(text_col)).otherwise(first)
-    rows = rows.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    single = F.concat(F.array_repeat(zero, F.col("_whole").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(nothing))
+    copies = F.array_repeat(zero, F.floor(F.col("_whole") / F.col("_many")).cast("int"))
+    given = per.select(*key, F.when(F.col("_many") == 1, single).otherwise(copies).alias(times)).where(F.size(times) > 0)
+    out = docs.join(given, same).select(*own_columns(docs), F.explode(times).alias(words))
+    rest = per.where("_many > 1 and (_whole % _many > 0 or _part > 0)")
+    if not rest.isEmpty():
+        (whole,) = fresh(docs, "_whole")
+        one = docs.join(rest.select(*key), same).select(*key, F.struct(*own_columns(docs)).alias(whole)).groupBy(*key).agg(F.first(whole).alias(whole))
+        # one narrow row for each copy; a group's copies meet its text in a join that can be split
+        pieces = rest.select(*[F.col(k).alias(f"{k}2") for k in key], F.explode(F.concat(F.array_repeat(zero, (F.col("_whole") % F.col("_many")).cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(nothing))).alias(share))
+        met = pieces.join(checkpointed(one), F.col(key[0]).eqNullSafe(F.col(f"{key[0]}2")) & F.col(key[1]).eqNullSafe(F.col(f"{key[1]}2")) & (F.col(key[2]) == F.col(f"{key[2]}2")))
+        out = out.unionByName(met.select(*[F.col(whole).getField(c).alias(c) for c in docs.columns], F.col(share).alias(words)))
+    own = quoted(text_col)
+    first = F.array_join(F.slice(F.filter(F.split(own, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.lit(1), F.col(words)).cast("int")), " ")
+    text = F.when(F.col(words) == 0, own).otherwise(first)
+    n_chars = F.when(F.col(words) == 0, F.length(own)).otherwise(F.length(first))
+    return out.select(*[text.alias(c) if c == text_col else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else quoted(c) for c in docs.columns])

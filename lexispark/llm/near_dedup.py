@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import textbytes as T
-from lexispark.llm.common import checkpointed
+from lexispark.llm.common import checkpointed, fresh, own_columns, quoted
 from lexispark.llm.components import components
 
 #: Half-keys in a collection, and minimum hashes in a half-key.
@@ -32,7 +32,7 @@ _EARLIER = 24
 MARK_WORDS = 8
 #: Leaders that a class is compared with in the second turn.
 LEADERS = 8
-SIGNATURE = "_id long, _n long, _key binary, _u array<long>, _v array<long>"
+SIGNATURE = "_id long, _h long, _n long, _key binary, _u array<long>, _v array<long>"
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -69,14 +69,14 @@ def _signatures(k: int, half_keys: int, rows: int):
         for batch in batches:
             counts, keys = np.zeros(len(batch), np.int64), [b""] * len(batch)
             halves = np.zeros((len(batch), 2 * half_keys), np.uint64)
-            for i, s in _sets(batch.column(1), k):
+            for i, s in _sets(batch.column(2), k):
                 if len(s):
                     counts[i] = len(s)
                     keys[i] = _set_key(s)
                     halves[i] = T.mix((_minima(s, factors, terms).reshape(2 * half_keys, rows) * mixers).sum(axis=1, dtype=np.uint64))
             flat = halves.view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(batch) + 1) * half_keys, half_keys), pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (flat[:, :half_keys], flat[:, half_keys:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(keys, pa.binary()), *lists], ["_id", "_n", "_key", "_u", "_v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(keys, pa.binary()), *lists], ["_id", "_h", "_n", "_key", "_u", "_v"])
 
     return run
 
@@ -106,22 +106,54 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     links. Equal sets are one class from the start. Rows that repeat an id keep a row each and share what their sets give. A null id takes
     part like any other and is never a component's id unless the component has no other. Other columns are left out.
     """
-    sig = checkpointed(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(_signatures(shingle_words, half_keys, rows), SIGNATURE))
+    sig, of_class = _classes(docs, shingle_words, percent, id_col, text_col, half_keys, rows)
+    return (
+        sig.select("_id", "_n", "_key")
+        .join(of_class, "_key", "left")
+        .select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+
+
+def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", half_keys: int = HALF_KEYS, rows: int = ROWS) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of docs as they are.
+
+    The row with the least id stays (a null id comes last; of rows that share the id, the one whose text has the least hash; of rows that share
+    id and text, any one). Rows are told apart by id and text, so a row that shares its id with a duplicate but not its text is not touched.
+    Null and empty texts and texts of white space have no group and stay.
+    """
+    sig, of_class = _classes(docs, shingle_words, percent, id_col, text_col, half_keys, rows)
+    each = sig.where("_n > 0").groupBy("_id", "_h", "_key").agg(F.count("*").alias("_many")).join(of_class.select("_key", "_label"), "_key")
+    each = checkpointed(each.select("_id", "_h", "_many", "_label"))
+    place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_h").alias("h"))
+    winners = checkpointed(each.groupBy("_label").agg(F.min(place).alias("_first")))
+    found = each.join(winners, "_label").withColumn("_stays", place == F.col("_first"))
+    row_id, row_h, stays = fresh(docs, "_id", "_h", "_stays")
+    special = checkpointed(found.where("not _stays or _many > 1").select(F.col("_id").alias(row_id), F.col("_h").alias(row_h), F.col("_stays").alias(stays)))
+    same = quoted(id_col).cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(quoted(text_col).cast("string")) == F.col(row_h))
+    alone = docs.join(special.select(row_id, row_h), same, "left_anti")
+    again = special.where(F.col(stays))
+    if again.isEmpty():
+        return alone
+    # repeated rows of one id and text: one of them, taken before rows travel
+    (whole,) = fresh(docs, "_whole")
+    one = docs.join(again, same).select(row_id, row_h, F.struct(*own_columns(docs)).alias(whole)).groupBy(row_id, row_h).agg(F.first(whole).alias(whole))
+    return alone.unionByName(one.select(*[F.col(whole).getField(c).alias(c) for c in docs.columns]))
+
+
+def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, half_keys: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and (_key, _label, _component) of every set that a row has: its component, and the least id there."""
+    texts = docs.select(quoted(id_col).cast("long").alias("_id"), F.xxhash64(quoted(text_col).cast("string")).alias("_h"), quoted(text_col).cast("string").alias("_t"))
+    sig = checkpointed(texts.mapInArrow(_signatures(k, half_keys, rows), SIGNATURE))
     grouped = sig.where("_n > 0").groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_u").alias("_u"), F.first("_v").alias("_v"))
     # a class has a number from here on: shorter than its key, and as unique
     classes = checkpointed(grouped.withColumn("_c", F.monotonically_increasing_id()))
     buckets = checkpointed(_buckets(classes))
-    links = _verified_links(docs, classes, buckets, shingle_words, percent, text_col, id_col)
+    links = _verified_links(docs, classes, buckets, k, percent, text_col, id_col)
     labels = components(links)
     named = classes.select("_key", "_c", "_least").join(labels.withColumnRenamed("node", "_c"), "_c", "left").withColumn("_label", F.coalesce("label", "_c"))
     least = named.groupBy("_label").agg(F.min("_least").alias("_component"))
-    of_class = named.join(least, "_label").select("_key", "_component")
-    return (
-        sig.select("_id", "_n", "_key")
-        .join(of_class, "_key", "left")
-        .select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("_component")).otherwise(F.col("_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    return sig, named.join(least, "_label").select("_key", "_label", "_component")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -142,7 +174,7 @@ def _fits(percent: int, a: str, b: str) -> Column:
 def _verified_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k: int, percent: int, text_col: str, id_col: str) -> DataFrame:
     """Links (a, b) between classes that are enough for the components: every pair that shares a bucket is confirmed, refuted, or joined by other links."""
     some = classes.select("_c", "_key", "_least").join(buckets.select("_c").distinct(), "_c", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t")).join(some.select("_least").distinct(), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    texts = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text_col).cast("string").alias("_t")).join(some.select("_least").distinct(), F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
     sets = checkpointed(texts.select("_t").mapInArrow(_full_sets(k), "_key binary, _set array<long>, _marks array<long>").dropDuplicates(["_key"]).join(some, "_key").select("_c", "_set", "_marks"))
     links, labelled = None, buckets.withColumn("_label", F.col("_c"))
     for turn in range(3):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import textbytes as T
+from lexispark.llm.common import numbered
 
 
 @dataclass(frozen=True)
@@ -172,8 +173,8 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs whose text passes, with their columns as they are; decided where the row is, without a join."""
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
+    plain = numbered(docs)
+    at = docs.columns.index("text")
     shares = share_names(limits)
     most = {"dup_line_share": limits.lines, "dup_line_char_share": limits.line_chars} | {f"top_{k}gram_share": v for k, v in limits.top} | {f"dup_{k}gram_share": v for k, v in limits.repeated}
 
@@ -188,4 +189,4 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 kept[chunk.first : chunk.first + len(chunk)] = ok
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
