@@ -21,19 +21,17 @@ from lexispark.llm.common import numbered
 
 @dataclass(frozen=True)
 class Limits:
-    """A text is rejected if a share is above its limit.
+    """A text is rejected if a share is above its limit. The limits are those published for web pages (Rae et al. 2021, Gopher)."""
 
-    The limits are above those published for web pages (0.20 to 0.10), as a short clean text that quotes one passage twice passes these.
-    """
-
-    top: tuple[tuple[int, float], ...] = ((2, 0.30), (3, 0.30), (4, 0.30))
-    repeated: tuple[tuple[int, float], ...] = ((5, 0.50), (6, 0.49), (7, 0.48), (8, 0.47), (9, 0.46), (10, 0.45))
-    lines: float = 0.40
-    line_chars: float = 0.40
+    top: tuple[tuple[int, float], ...] = ((2, 0.20), (3, 0.18), (4, 0.16))
+    repeated: tuple[tuple[int, float], ...] = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+    lines: float = 0.30
+    line_chars: float = 0.20
     least_words: int = 50
     most_repeat_percent: int = 50
 
 
+_ROLL = T.randoms(1, 32)[0] | np.uint64(1)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _INTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -115,15 +113,16 @@ def measure(chunk: T.Chunk, limits: Limits) -> dict[str, np.ndarray]:
     per = np.maximum(word_chars, 1)
     out["dup_line_share"], out["dup_line_char_share"] = dup_lines / np.maximum(n_lines, 1), dup_chars / per
 
-    # n-grams: a repeated window of k words begins with, and ends in, a repeated one of k - 1
+    # n-grams: a repeated window of k words begins with, and ends in, a repeated one of k - 1; its hash rolls on from that one's
     repeat_words = np.zeros(n_texts, np.int64)
     top = dict(limits.top)
-    lengths = sorted({3, *top, *dict(limits.repeated)})
-    before = None
-    for k in range(min(lengths), max(lengths) + 1):
+    lengths = {3, *top, *dict(limits.repeated)}
+    rolled, before = w.hashes.copy(), None
+    for k in range(2, max(lengths) + 1):
         inside = np.arange(max(0, n - k + 1)) if before is None else before[:-1][np.diff(before) == 1]
         inside = inside[text_of[inside] == text_of[inside + k - 1]]
-        keys = in_text(T.windows(w.hashes, k)[inside] if before is None else T.windows_at(w.hashes, k, inside), text_of[inside])
+        rolled[inside] = rolled[inside] * _ROLL + w.hashes[inside + k - 1]
+        keys = in_text(T.mix(rolled[inside] + np.uint64(k)), text_of[inside])
         again = _again(keys)
         at = before = inside[again]
         if k == 3:
