@@ -393,6 +393,7 @@ def test_mpeg_audio(docs, empty):
             payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
             assert r["media_sha256"] == hashlib.sha256(mpeg_audio.write(payload)).hexdigest() and "bad_crc=0;skipped=0" in r["feature"]
+            assert r["duration_us"] == len(r["seek_offsets"]) * 1152 * 1_000_000 // 44100 and r["seek_offsets"] == sorted(set(r["seek_offsets"]))
     assert len(got) == len(ROWS) and mpeg_audio.digests(empty).isEmpty()
     back = mpeg_audio.parse(mpeg_audio.store(docs)).where("doc_id = 5").first()
     assert bytes(back["payload"]) == mpeg_audio.padded(texts[5].encode()) and len(back["offsets"]) == back["n_frames"]
@@ -412,6 +413,72 @@ def test_mpeg_resynchronises_and_finds_damage():
     assert mpeg_audio.read(b"").offsets == [] and mpeg_audio.read(bytes(500)).skipped == 500
 
 
+def crc_of_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = c >> 15 ^ int(b)
+        c = c << 1 & 0xFFFF
+        if top:
+            c ^= 0x8005
+    return c
+
+
+def with_crc(head, body_bits, length):
+    """A frame made by hand: header, the CRC of the header's last two bytes and of the given bits, the bits, zeros."""
+    bits = "".join(f"{x:08b}" for x in head[2:]) + body_bits
+    body = int(body_bits.ljust(-(-len(body_bits) // 8) * 8, "0"), 2).to_bytes(-(-len(body_bits) // 8), "big")
+    return (head + crc_of_bits(bits).to_bytes(2, "big") + body).ljust(length, b"\0")
+
+
+def test_mpeg_reads_every_version_and_layer():
+    read = mpeg_audio.read
+    # MPEG-2 Layer III, 64 kbit/s, 24 kHz, mono, without a CRC: 192 bytes, 576 samples, 24 ms
+    low = (b"\xff\xf3\x84\xc0" + bytes(9)).ljust(192, b"\x55")
+    a = read(low * 5)
+    assert (a.offsets, a.samples, a.rate, a.duration_us, a.unchecked, a.skipped) == ([0, 192, 384, 576, 768], 2880, 24000, 120_000, 5, 0) and a.payload == b"\x55" * 179 * 5
+    # MPEG-2.5 Layer III, 8 kbit/s, 8 kHz: 72 bytes, 72 ms
+    a = read(b"zz" + b"\xff\xe3\x18\xc0".ljust(72, b"\1") * 3)
+    assert (a.offsets, a.duration_us, a.skipped, a.rate) == ([2, 74, 146], 216_000, 2, 8000)
+    # MPEG-1 Layer II, 192 kbit/s, 44.1 kHz, stereo: 94 bits of allocation a channel, and two for each subband in use
+    allocation = "0001" + "0" * (188 - 4) + "10"
+    two = with_crc(b"\xff\xfc\xa0\x00", allocation, 626)
+    a = read(two * 3)
+    assert (len(a.offsets), a.samples, a.bad_crc, a.unchecked, a.kbits_most) == (3, 3456, 0, 0, 192)
+    assert read(two + two[:7] + b"\x80" + two[8:] + two).bad_crc == 1
+    # the same in joint stereo: from subband 4 on one allocation is for both channels, 17 subbands in use
+    joint = "1111" + "0" * 12 + "0" * 16 + "1000" * 7 + "0" * 36 + "0" * 14 + "01" * 15
+    assert read(with_crc(b"\xff\xfc\xa0\x40", joint, 626) * 2).bad_crc == 0
+    # MPEG-1 Layer I, 64 kbit/s, 44.1 kHz, mono and stereo: 68 bytes, 384 samples
+    one = with_crc(b"\xff\xfe\x20\xc0", "0101" * 32, 68)
+    a = read(one * 2 + with_crc(b"\xff\xfe\x20\x00", "0110" * 64, 68))
+    assert (len(a.offsets), a.samples, a.bad_crc) == (3, 1152, 0)
+    # headers of another kind don't confirm one another
+    assert read(b"\xff\xf3\x84\xc0" + bytes(188) + b"\xff\xfb\x90\x00" + bytes(100)).offsets == []
+    # free format, reserved versions, layers and rates
+    for head in (b"\xff\xfb\x00\x00", b"\xff\xeb\x90\x00", b"\xff\xf9\x90\x00", b"\xff\xfb\x9c\x00", b"\xff\xfb\xf0\x00"):
+        assert read(head + bytes(413)).offsets == []
+
+
+def test_mpeg_reads_tables_and_tags():
+    sound = (b"\xff\xfb\x90\x00" + bytes(32)).ljust(417, b"\7")
+    vbri = b"\xff\xfb\x90\x00" + bytes(32) + b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (417 * 5).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes([0, 4, 0, 2, 0, 2, 0, 1]) + bytes([0, 208, 0, 209, 0, 208, 0, 209])
+    a = mpeg_audio.read(vbri.ljust(417, b"\0") + sound * 4)
+    assert a.table == {"frames": 4, "bytes": 2085, "every": 1, "points": [416, 418, 416, 418]} and a.offsets == [417, 834, 1251, 1668]
+    info = (b"\xff\xfb\x90\x00" + bytes(32) + b"Info" + bytes([0, 0, 0, 1, 0, 0, 0, 4])).ljust(417, b"\0")
+    assert mpeg_audio.read(info + sound * 4).table == {"frames": 4}
+    title = b"\0" + b"t" * 299
+    plain = b"TIT2" + (300).to_bytes(4, "big") + b"\0\0" + title + b"TPE1" + (3).to_bytes(4, "big") + b"\0\0" + b"\0me"
+    tag = lambda version, flags, body: b"ID3" + bytes([version, 0, flags]) + bytes([len(body) >> 21 & 127, len(body) >> 14 & 127, len(body) >> 7 & 127, len(body) & 127]) + body
+    a = mpeg_audio.read(tag(3, 0, plain) + sound * 2)
+    assert a.tags == {"TIT2": title, "TPE1": b"\0me"} and len(a.offsets) == 2 and a.skipped == 0
+    assert mpeg_audio.read(tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + plain) + sound).tags["TPE1"] == b"\0me"
+    safe = b"TIT2" + bytes([0, 0, 2, 44]) + b"\0\0" + title
+    assert mpeg_audio.read(tag(4, 0x10, safe) + b"3DI" + bytes(7) + sound).offsets == [10 + len(safe) + 10]
+    assert mpeg_audio.read(tag(2, 0, b"TT2" + (4).to_bytes(3, "big") + b"\0abc") + sound).tags == {"TT2": b"\0abc"}
+    assert mpeg_audio.read(tag(3, 0x80, b"PCNT" + (5).to_bytes(4, "big") + b"\0\0" + b"a\xff\x00\xe0bc") + sound).tags == {"PCNT": b"a\xff\xe0bc"}
+    assert mpeg_audio.read(b"ID3" + b"\xff" * 20).tags == {}
+
+
 def reference_encoding():
     v = bpe.Vocabulary(open(VOCABULARY, "rb").read())
     return v, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
