@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, line_dedup, lm_bloom, mixing, mpeg_audio, near_dedup, pii, repetition, sharding, url_filter
+from lexispark.llm import bpe, line_dedup, lm_bloom, mixing, mpeg_audio, near_dedup, oracles, pii, repetition, sharding, url_filter
 from lexispark.llm.common import table
 
 #: Public ranks of 50,256 tokens; a parameter of the operator.
@@ -50,6 +50,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, two_lines=False)
 
 
+ORACLE["op1_minhash_near_dedup"] = oracles.NEAR_DUPLICATES
+ORACLE["op2_hash_tree_sharding"] = oracles.SHARDING
+ORACLE["op4_repetition_rules"] = oracles.repetition()
 ORACLE["op5_line_dedup"] = line_dedup.ORACLE
 
 
