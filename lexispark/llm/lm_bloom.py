@@ -7,16 +7,19 @@ broadcast, together with exact counts of single words, and score a word w after
 
 Counts are gathered in segments by hash: each worker sends a segment's pairs, summed up over a stretch of texts, as one block of bytes, and a
 task makes that segment's part of the filter. Broadcast happens only if filter and word counts fit in max_broadcast_bytes;
-beyond that each distinct pair of the texts goes to its segment and probes the same bits there, and word counts are joined.
+beyond that the filter stays in its segments: each stretch of texts sends its distinct words and pairs to their segments, one block of bytes for each, the same bits
+are probed there, and the answers (one byte for a pair) meet the stretch again. Both ways score by the same function and agree to the last bit.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ MAX_BROADCAST_BYTES = 256 << 20
 #: Bits probed for an item; the filter has PROBES / ln 2 bits for an item, so a probe of an absent one is wrong once in 2**PROBES times.
 PROBES = 5
 BASE, STRENGTH = 1.5, 20.0
-#: Bytes of text that one segment's pairs come from; texts' words that are summed up before they are sent.
-SEGMENT_BYTES, STRETCH_WORDS = 8 << 20, 1 << 19
+#: Bytes of text that one segment's pairs come from; texts' words that are summed up before they are sent; bytes of the texts that ask together.
+SEGMENT_BYTES, STRETCH_WORDS, STRETCH_BYTES = 8 << 20, 1 << 19, 4 << 20
 END, START = np.uint64(0x9D3A_6E1B_0C57_42F1), np.uint64(0x5B1F_88D2_C04E_937B)
 _FIRST, _SECOND = T.randoms(2, 41) | np.uint64(1)
 HELD_OUT = 10
@@ -64,11 +67,11 @@ def level_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (least + most) / 2, 0.0)
 
 
-def _places(items: np.ndarray, sizes: np.ndarray | int) -> Iterator[np.ndarray]:
+def _places(items: np.ndarray, sizes: np.ndarray | int, probes: int) -> Iterator[np.ndarray]:
     """The bits of items in segments of so many bits each."""
     a = T.mix(items)
     b = T.mix(items + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-    for i in range(PROBES):
+    for i in range(probes):
         yield ((a + np.uint64(i) * b) % np.asarray(sizes, np.uint64)).astype(np.int64)
 
 
@@ -76,12 +79,12 @@ def _item(pairs: np.ndarray, q: int) -> np.ndarray:
     return pairs + np.uint64(q * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
 
 
-def _segment_bits(pairs: np.ndarray, counts: np.ndarray) -> bytes:
+def _segment_bits(pairs: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> bytes:
     levels = level(counts)
-    n = 8 * max(8, math.ceil(int(levels.sum()) * PROBES / math.log(2) / 8))
+    n = 8 * max(8, math.ceil(int(levels.sum()) * probes / math.log(2) / 8))
     bits = np.zeros(n, bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        for at in _places(_item(pairs[levels >= q], q), n):
+        for at in _places(_item(pairs[levels >= q], q), n, probes):
             bits[at] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -89,7 +92,8 @@ def _segment_bits(pairs: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """All segments' bits one after the other, and how many bytes each has."""
 
-    def __init__(self, bits: bytes, lengths: list[int]):
+    def __init__(self, bits: bytes, lengths: list[int], probes: int = PROBES):
+        self.probes = probes
         self.bytes = np.frombuffer(bits, np.uint8)
         self.sizes = 8 * np.array(lengths, np.uint64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes.astype(np.int64))[:-1]])
@@ -103,7 +107,7 @@ class Filter:
         while len(at):
             size, begin = self.sizes[segment], self.begins[segment]
             held = np.ones(len(at), bool)
-            for place in _places(_item(pairs[at], q), size):
+            for place in _places(_item(pairs[at], q), size, self.probes):
                 place += begin
                 held &= self.bytes[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
             at, segment = at[held], segment[held]
@@ -125,7 +129,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.crc32(name.cast("binary")) % HELD_OUT == 0).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
 
 
-def _gathered(train: DataFrame, segments: int) -> DataFrame:
+def _gathered(train: DataFrame, segments: int, probes: int) -> DataFrame:
     """One row for each order (1: words, 2: pairs) and segment: its number of distinct and of all, the words' hashes and counts, the pairs' bits."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def _gathered(train: DataFrame, segments: int) -> DataFrame:
             if key[0] == 1:
                 row = (own.tobytes(), sums.tobytes(), b"")
             else:
-                row = (b"", b"", _segment_bits(own, sums))
+                row = (b"", b"", _segment_bits(own, sums, probes))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, len(own), int(sums.sum()), *row), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["_order", "_segment", "_n", "_total", "_hashes", "_counts", "_bits"])
 
         for batch in batches:
@@ -183,127 +187,197 @@ def _gathered(train: DataFrame, segments: int) -> DataFrame:
             yield finish()
 
     sent = train.mapInArrow(emit, "_order int, _segment int, _hashes binary, _counts binary")
-    return sent.repartition(segments, "_order", "_segment").sortWithinPartitions("_order", "_segment").mapInArrow(combine, "_order int, _segment int, _n long, _total long, _hashes binary, _counts binary, _bits binary")
+    return sent.repartition(min(segments, 1 << 16), "_order", "_segment").sortWithinPartitions("_order", "_segment").mapInArrow(combine, "_order int, _segment int, _n long, _total long, _hashes binary, _counts binary, _bits binary")
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, strength: float = STRENGTH) -> DataFrame:
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_NAMES = [x.split()[0] for x in RESULT.split(", ")]
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Of the training texts: how many, their tokens, what (c + 0.1) is divided by; and the smoothing's strength."""
+
+    texts: int
+    tokens: int
+    floor: float
+    strength: float
+
+
+def _scored(ids: pa.Array, held_out: pa.Array, cuts: np.ndarray, c: np.ndarray, levels: np.ndarray, t: Totals) -> pa.RecordBatch:
+    """The result rows of a chunk: c is each token's count, levels what the filter says of it and the token before."""
+    c_before = np.empty_like(c)
+    c_before[1:] = c[:-1]
+    c_before[cuts[:-1]] = t.texts
+    p = (c + 0.1) / t.floor
+    together = np.minimum(level_count(levels), c_before)
+    model = np.log10((together + t.strength * p) / (c_before + t.strength))
+    add = lambda x: np.add.reduceat(x, cuts[:-1])
+    n = len(cuts) - 1
+    return pa.RecordBatch.from_arrays([ids, held_out, pa.array(np.diff(cuts)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(n, t.tokens)), pa.array(add(np.log10(p))), pa.array(add(model))], _NAMES)
+
+
+def _count(known: np.ndarray, counts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The counts of the hashes x, 0 for those that are not among the known ones (ascending)."""
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, counts[at], 0)
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, strength: float = STRENGTH, probes: int = PROBES) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (log10, single words), score (log10, the model).
 
     Training texts are those whose id, as text, has a CRC-32 that HELD_OUT doesn't divide; a null id counts as empty text and is held out. Null and
     empty texts have the end token alone. Rows that repeat an id are texts of their own. Words are told apart by 64-bit hashes. Without training
     texts no word is known and every word has the same probability. Other columns are left out.
     """
-    spark = docs.sparkSession
     rows = _prepared(docs, id_col, text_col)
     seen = rows.where(~F.col("held_out")).agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     segments = max(1, -(-seen["bytes"] // SEGMENT_BYTES))
-    stats = checkpointed(_gathered(_training(rows), segments))
-    sums = stats.where("_order = 1").agg(F.coalesce(F.sum("_total"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("_n"), F.lit(0)).alias("words")).first()
-    n, v = sums["tokens"], sums["words"]
-    floor = n + 0.1 * (v + 1)
-    needs = stats.agg(F.coalesce(F.sum(F.length("_hashes") + F.length("_counts") + F.length("_bits")), F.lit(0))).first()[0]
-    if needs > max_broadcast_bytes:
-        return _joined(rows, stats, segments, seen["n"], n, floor, strength)
-    # within the bound: the words' counts in the order of their hashes, and the filter
-    parts = stats.select("_order", "_segment", "_hashes", "_counts", "_bits").toArrow().sort_by([("_order", "ascending"), ("_segment", "ascending")]).to_pylist()
-    bits: list[bytes] = [bytes(8)] * segments
-    for r in parts:
-        if r["_order"] == 2:
-            bits[r["_segment"]] = r["_bits"]
-    words = b"".join(r["_hashes"] for r in parts if r["_order"] == 1)
-    counts = b"".join(r["_counts"] for r in parts if r["_order"] == 1)
-    del parts
-    shared = spark.sparkContext.broadcast((words, counts, b"".join(bits), [len(x) for x in bits]))
+    stats = checkpointed(_gathered(_training(rows), segments, probes))
+    sums = stats.agg(
+        F.coalesce(F.sum(F.when(F.col("_order") == 1, F.col("_total"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("_order") == 1, F.col("_n"))), F.lit(0)).alias("words"),
+        F.coalesce(F.sum(F.length("_hashes") + F.length("_counts") + F.length("_bits")), F.lit(0)).alias("bytes"),
+    ).first()
+    totals = Totals(seen["n"], sums["tokens"], sums["tokens"] + 0.1 * (sums["words"] + 1), strength)
+    if sums["bytes"] > max_broadcast_bytes:
+        return _by_segment(rows, stats, segments, totals, probes)
+    return _by_broadcast(rows, stats, segments, totals, probes)
+
+
+def _by_broadcast(rows: DataFrame, stats: DataFrame, segments: int, totals: Totals, probes: int) -> DataFrame:
+    """Scores with the filter and the word counts, whose size has been checked, in every worker."""
+    table = stats.select("_order", "_segment", "_hashes", "_counts", "_bits").toArrow()
+    # each block is copied to its place once; the words end up in the order of their hashes
+    order, segment = (table.column(i).to_numpy() for i in range(2))
+
+    def laid(column: int, of: int) -> tuple[np.ndarray, list[int]]:
+        at = np.flatnonzero(order == of)
+        at = at[np.argsort(segment[at])]
+        lengths = {int(segment[i]): len(table.column(column)[i].as_buffer()) for i in at.tolist()}
+        out, begin = np.empty(sum(lengths.values()), np.uint8), 0
+        for i in at.tolist():
+            block = np.frombuffer(table.column(column)[i].as_buffer(), np.uint8)
+            out[begin : begin + len(block)] = block
+            begin += len(block)
+        return out, [lengths.get(k, 0) for k in range(segments)]
+
+    words, counts, (bits, lengths) = laid(2, 1)[0], laid(3, 1)[0], laid(4, 2)
+    del table
+    shared = rows.sparkSession.sparkContext.broadcast((words, counts, bits, lengths))
     del words, counts, bits
-    n_train = seen["n"]
     made: dict[str, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "model" not in made:
             w, c, b, lengths = shared.value
-            made["model"] = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64), Filter(b, lengths)
+            made["model"] = w.view(np.uint64), c.view(np.int64), Filter(b, lengths, probes)
         known, known_counts, held = made["model"]
-
-        def count(x: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
-            return np.where(known[at] == x, known_counts[at], 0) if len(known) else np.zeros(len(x), np.int64)
-
         for batch in batches:
             for chunk in T.chunks(batch.column(2)):
                 now, before, cuts = _tokens(chunk)
                 distinct, of = np.unique(now, return_inverse=True)
-                c = count(distinct)[of]
-                c_before = np.empty_like(c)
-                c_before[1:] = c[:-1]
-                c_before[cuts[:-1]] = n_train
-                p = (c + 0.1) / floor
-                together = np.minimum(level_count(held.levels(_pairs(before, now))), c_before)
-                model = np.log10((together + strength * p) / (c_before + strength))
-                add = lambda x: np.add.reduceat(x, cuts[:-1])
+                c = _count(known, known_counts, distinct)[of]
                 part = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(cuts)), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(chunk), n)), pa.array(add(np.log10(p))), pa.array(add(model))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                yield _scored(part.column(0), part.column(1), cuts, c, held.levels(_pairs(before, now)), totals)
 
-    return rows.select("doc_id", "held_out", "_t").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.select("doc_id", "held_out", "_t").mapInArrow(run, RESULT)
 
 
-def _probed(pairs: DataFrame, stats: DataFrame, segments: int) -> DataFrame:
-    """(_p, _together): what the filter says of each distinct pair. A segment's bits come first in its task, its pairs stream past them."""
+def _in_stretches(rows: DataFrame) -> DataFrame:
+    """rows with _stretch: consecutive rows of a partition, of STRETCH_BYTES of text together or one longer text."""
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, held = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            of = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                if of[a] != segment:
-                    segment, held = of[a], Filter(bytes(8), [8])
-                if not batch.column(1)[a].is_valid:
-                    bits = batch.column(2)[a].as_py()
-                    held, a = Filter(bits, [len(bits)]), a + 1
-                own = batch.column(1).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own, pa.array(level_count(held.levels(own.to_numpy().view(np.uint64))))], ["_p", "_together"])
+            for chunk in T.chunks(batch.column(2), STRETCH_BYTES):
+                if filled and filled + len(chunk.data) > STRETCH_BYTES:
+                    now, filled = now + 1, 0
+                filled += len(chunk.data)
+                part = batch.slice(chunk.first, len(chunk))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chunk), now)), *part.columns], ["_stretch", "doc_id", "held_out", "_t"])
 
-    nothing = F.lit(None)
-    asked = pairs.select("_p").distinct()
-    at = F.shiftrightunsigned(F.shiftrightunsigned("_p", 32) * segments, 32).cast("int")  # _segment()
-    bits = stats.where("_order = 2").select("_segment", nothing.cast("long").alias("_p"), "_bits")
-    both = bits.unionByName(asked.select(at.alias("_segment"), "_p", nothing.cast("binary").alias("_bits")))
-    return both.repartition(segments, "_segment").sortWithinPartitions("_segment", F.col("_p").asc_nulls_first()).mapInArrow(probe, "_p long, _together double")
+    return rows.select("doc_id", "held_out", "_t").mapInArrow(run, "_stretch long, doc_id long, held_out boolean, _t string")
 
 
-def _joined(rows: DataFrame, stats: DataFrame, segments: int, n_train: int, n: int, floor: float, strength: float) -> DataFrame:
-    """The same without a broadcast: each text's distinct pairs meet the counts of both words by joins and what the filter says of the pair, and are summed up per text."""
+def _asked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens and pairs of some texts, ascending, so that the segments come in order too."""
+    words, pairs = [], []
+    for chunk in T.chunks(texts):
+        now, before, _ = _tokens(chunk)
+        words.append(np.unique(now))
+        pairs.append(np.unique(_pairs(before, now)))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at in range(0, len(h), 8 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h[at : at + (8 << 16)], np.int64)), pa.array(np.frombuffer(c[at : at + (8 << 16)], np.int64))], ["_h", "_c"])
 
+def _by_segment(rows: DataFrame, stats: DataFrame, segments: int, totals: Totals, probes: int) -> DataFrame:
+    """Scores with the filter and the word counts in their segments: a stretch's questions go there and the answers come back."""
+    texts = checkpointed(_in_stretches(rows))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A stretch's rows are consecutive; each of its segments gets one block for words (1) and one for pairs (2)."""
+
+        def blocks(stretch: int, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            for order, own in enumerate(_asked(pa.concat_arrays(held)), 1):
+                which, first = np.unique(_segment(own, segments), return_index=True)
+                cuts = np.append(first, len(own))
+                for i in range(0, len(which), 256):
+                    some = range(i, min(i + 256, len(which)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([order] * len(some), pa.int32()), pa.array(which[i : i + 256].astype(np.int32)), pa.array([stretch] * len(some), pa.int64()), pa.array([own[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())],
+                        ["_order", "_segment", "_stretch", "_hashes"],
+                    )
+
+        stretch, held = None, []
         for batch in batches:
-            for chunk in T.chunks(batch.column(1)):
-                now, before, cuts = _tokens(chunk)
-                text = np.repeat(np.arange(len(chunk)), np.diff(cuts)).astype(np.uint64)
-                _, one, times = np.unique(T.mix(_pairs(before, now) + text * _FIRST), return_index=True, return_counts=True)
-                ids = batch.column(0).slice(chunk.first, len(chunk)).take(pa.array(text[one].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x[one].view(np.int64)) for x in (before, now, _pairs(before, now))], pa.array(times)], ["_row", "_v", "_w", "_p", "_times"])
-
-    numbered = checkpointed(rows.withColumn("_row", F.monotonically_increasing_id()))
-    pairs = numbered.select("_row", "_t").mapInArrow(emit, "_row long, _v long, _w long, _p long, _times long")
-    words = stats.where("_order = 1").select("_hashes", "_counts").mapInArrow(unpack, "_h long, _c long")
-    found = pairs.join(words.withColumnsRenamed({"_h": "_w", "_c": "_cw"}), "_w", "left").join(words.withColumnsRenamed({"_h": "_v", "_c": "_cv"}), "_v", "left").join(_probed(pairs, stats, segments), "_p")
-    first = int(START.view(np.int64))
-    c, cv = F.coalesce("_cw", F.lit(0)), F.when(F.col("_v") == first, F.lit(n_train)).otherwise(F.coalesce("_cv", F.lit(0)))
-    together = F.least("_together", cv.cast("double"))
-    p = (c + 0.1) / floor
-    sums = found.groupBy("_row").agg(
-        F.sum("_times").alias("n_tokens"), F.sum(F.when(c > 0, F.col("_times")).otherwise(0)).alias("n_known"), F.sum(F.col("_times") * F.log10(p)).alias("base_score"), F.sum(F.col("_times") * F.log10((together + strength * p) / (cv + strength))).alias("score")
-    )
-    return numbered.join(sums, "_row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            of = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+            for a, b in zip(edges, edges[1:]):
+                if held and of[a] != stretch:
+                    yield from blocks(stretch, held)
+                    held = []
+                stretch = int(of[a])
+                held.append(batch.column(1).slice(a, b - a))
+        if held:
+            yield from blocks(stretch, held)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A segment's own row comes first in its task, the questions stream past it."""
+        at, known, counts, held = None, np.empty(0, np.uint64), np.empty(0, np.int64), Filter(bytes(8), [8], probes)
+        for batch in batches:
+            out = []
+            for i, (order, segment, stretch) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True)):
+                if (order, segment) != at:
+                    at, known, counts, held = (order, segment), np.empty(0, np.uint64), np.empty(0, np.int64), Filter(bytes(8), [8], probes)
+                hashes = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
+                if stretch is not None:
+                    out.append((order, segment, stretch, (_count(known, counts, hashes) if order == 1 else held.levels(hashes).astype(np.uint8)).tobytes()))
+                elif order == 1:
+                    known, counts = hashes, np.frombuffer(batch.column(4)[i].as_py(), np.int64)
+                else:
+                    held = Filter(bits := batch.column(5)[i].as_py(), [len(bits)], probes)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["_order", "_segment", "_stretch", "_answer"])
+
+    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.sort_by([("_order", "ascending"), ("_segment", "ascending")])
+        order, blocks = right.column("_order").to_pylist(), right.column("_answer").to_pylist()
+        texts = left.column("_t").combine_chunks()
+        words, pairs = _asked(texts)
+        counts = np.frombuffer(b"".join(x for o, x in zip(order, blocks) if o == 1), np.int64)
+        levels = np.frombuffer(b"".join(x for o, x in zip(order, blocks) if o == 2), np.uint8).astype(np.int64)
+        out = []
+        for chunk in T.chunks(texts):
+            now, before, cuts = _tokens(chunk)
+            part = left.slice(chunk.first, len(chunk))
+            out.append(_scored(part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), cuts, counts[np.searchsorted(words, now)], levels[np.searchsorted(pairs, _pairs(before, now))], totals))
+        return pa.Table.from_batches(out)
+
+    nothing = F.lit(None)
+    asked = texts.select("_stretch", "_t").mapInArrow(ask, "_order int, _segment int, _stretch long, _hashes binary")
+    own = stats.select("_order", "_segment", nothing.cast("long").alias("_stretch"), "_hashes", "_counts", "_bits")
+    both = own.unionByName(asked.withColumns({"_counts": nothing.cast("binary"), "_bits": nothing.cast("binary")}))
+    both = both.repartition(min(segments, 1 << 16), "_order", "_segment").sortWithinPartitions("_order", "_segment", F.col("_stretch").asc_nulls_first())
+    answers = both.mapInArrow(answer, "_order int, _segment int, _stretch long, _answer binary")
+    return texts.groupBy("_stretch").cogroup(answers.groupBy("_stretch")).applyInArrow(score, RESULT)

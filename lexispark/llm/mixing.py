@@ -72,38 +72,47 @@ def schedule(spark, plan: DataFrame, blocks: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, size (words; null text: 0), source_size, target (of its source), taken (words that the mix takes of it, repeats counted).
+    """One row for each row of docs: doc_id, size (words; null text: 0), source_size, target (of its source), taken (words that the mix takes of it, repeats counted),
+    first_slot (the slot of the schedule that takes the first of them; null if none).
 
     A source takes its target's words, rounded; no row is taken beyond MOST_REPEATS times its size. Texts without words are
     never taken. A null source is a source, the last in order. Rows that repeat an id are taken one by one. Ids order the
     shuffle by hash, so runs agree; equal rows are interchangeable. Other columns are left out; no rows give no rows.
     """
-    return _taken(docs, id_col, text_col, source_col, block_words).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    return _taken(docs, id_col, text_col, source_col, block_words).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "first_slot")
 
 
 def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int = BLOCK) -> DataFrame:
     """What mix() returns, with the source (_source) and the text's hash (_h)."""
     spark = docs.sparkSession
-    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("_source"), n_words(quoted(text_col)).alias("size"), F.xxhash64(quoted(text_col)).alias("_h"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("_source"), n_words(quoted(text_col)).alias("size"), F.md5(quoted(text_col).cast("string")).alias("_h"))
     rows = checkpointed(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     plan = targets(rows.groupBy("_source").agg(F.sum("size").alias("source_size")))
     # a key that is never null, and blocks: how many there are, and how many slots the target needs
     key = F.coalesce(F.concat(F.lit("="), F.col("_source").cast("string")), F.lit(""))
     plan = plan.withColumn("_s", key).withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).withColumn("_take", F.round("target").cast("long"))
-    plan = checkpointed(plan.withColumn("_slots", F.when(F.col("source_size") > 0, F.ceil(F.col("_take") * F.col("_nb") / F.col("source_size"))).otherwise(F.lit(0))))
-    slots = schedule(spark, plan, max(1, total["n"] // block_words)).select("_s", "_rank")
+    # a source's words in blocks: the first _more have one word more than the others; edge() is where a block begins, of() the block that a word is in
+    plan = plan.withColumn("_each", _div(F.col("source_size"), F.col("_nb"))).withColumn("_more", F.col("source_size") % F.col("_nb"))
+    edge = lambda j: j * F.col("_each") + F.least(j, F.col("_more"))
+    of = lambda word: F.when(word < F.col("_more") * (F.col("_each") + 1), _div(word, F.col("_each") + 1)).otherwise(F.col("_more") + _div(word - F.col("_more") * (F.col("_each") + 1), F.col("_each")))
+    rest = F.col("_take") % F.col("source_size")
+    needs = _div(F.col("_take"), F.col("source_size")) * F.col("_nb") + F.when(rest > 0, of(rest - 1) + 1).otherwise(F.lit(0))
+    plan = checkpointed(plan.withColumn("_slots", F.when(F.col("source_size") > 0, needs).otherwise(F.lit(0))))
+    n_slots = max(1, total["n"] // block_words)
+    slots = schedule(spark, plan, n_slots)
     drawn = slots.groupBy("_s").agg(F.count("*").alias("_drawn"))
     # rounding leaves a source a few slots above or below what its target needs: surplus slots are dropped, missing ones close the schedule
     closing = plan.join(drawn, "_s", "left").where(F.col("_slots") > F.coalesce("_drawn", F.lit(0))).select("_s", F.explode(F.expr("sequence(coalesce(_drawn, 0L), _slots - 1)")).alias("_rank"))
-    own = plan.select("_s", "_nb", "_slots", "_take", "source_size")
-    taken = slots.union(closing).join(own, "_s").where("_rank < _slots")
-    block = F.pmod("_rank", "_nb")
-    edge = lambda j: F.floor(j * F.col("source_size") / F.col("_nb"))
-    begins = F.floor(F.col("_rank") / F.col("_nb")) * F.col("source_size") + edge(block)
+    own = plan.select("_s", "_nb", "_each", "_more", "_slots", "_take", "source_size")
+    taken = slots.select("_s", "_rank", "_slot").union(closing.select("_s", "_rank", (F.col("_rank") + n_slots).alias("_slot"))).join(own, "_s").where("_rank < _slots")
+    block = F.col("_rank") % F.col("_nb")
+    begins = _div(F.col("_rank"), F.col("_nb")) * F.col("source_size") + edge(block)
+    full = edge(block + 1) - edge(block)
     # the last slot of a source takes only what its target still needs
-    taken = taken.select("_s", block.alias("_block"), F.least(edge(block + 1) - edge(block), F.greatest(F.lit(0), F.col("_take") - begins)).alias("_words"), (edge(block + 1) - edge(block)).alias("_full"))
-    per_block = taken.groupBy("_s", "_block").agg(F.sum((F.col("_words") == F.col("_full")).cast("long")).alias("_whole"), F.sum(F.when(F.col("_words") < F.col("_full"), F.col("_words")).otherwise(F.lit(0))).alias("_part"))
+    taken = taken.select("_s", "_slot", block.alias("_block"), F.least(full, F.col("_take") - begins).alias("_words"), full.alias("_full"))
+    whole = F.col("_words") == F.col("_full")
+    per_block = taken.groupBy("_s", "_block").agg(F.sum(whole.cast("long")).alias("_whole"), F.sum(F.when(whole, F.lit(0)).otherwise(F.col("_words"))).alias("_part"), F.min("_slot").alias("_slot"))
     # each document's interval in its source's shuffled words
     buckets = max(1, total["rows"] // BUCKET)
     laid = rows.withColumn("_s", key).withColumn("_u", uniform("doc_id", "_h", salt="mix")).withColumn("_bucket", F.floor(F.col("_u") * buckets))
@@ -111,15 +120,19 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_w
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     inside = Window.partitionBy("_s", "_bucket").orderBy("_u", "doc_id", "_h", "_row").rowsBetween(Window.unboundedPreceding, -1)
     laid = checkpointed(laid.withColumn("_row", F.monotonically_increasing_id()))
-    placed = laid.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_s", "_bucket"]).join(own.select("_s", "_nb", "source_size"), "_s").withColumn("_from", F.col("_before") + F.col("_in"))
-    # the blocks that it overlaps: the one a word is in is floor(((word + 1) * nb - 1) / size)
-    of = lambda word: F.floor(((word + 1) * F.col("_nb") - 1) / F.col("source_size"))
-    pieces = placed.where("size > 0").select("_row", "_s", "_from", "size", "_nb", "source_size", F.explode(F.sequence(of(F.col("_from")), of(F.col("_from") + F.col("size") - 1))).alias("_block"))
+    placed = laid.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_s", "_bucket"]).join(own.select("_s", "_each", "_more"), "_s").withColumn("_from", F.col("_before") + F.col("_in"))
+    # the blocks that it overlaps
+    pieces = placed.where("size > 0").select("_row", "_s", "_from", "size", "_each", "_more", F.explode(F.sequence(of(F.col("_from")), of(F.col("_from") + F.col("size") - 1))).alias("_block"))
     begin, end = F.greatest("_from", edge(F.col("_block"))), F.least(F.col("_from") + F.col("size"), edge(F.col("_block") + 1))
     part = F.greatest(F.lit(0), F.least(end, edge(F.col("_block")) + F.col("_part")) - begin)
-    words = pieces.join(per_block, ["_s", "_block"]).withColumn("_got", F.col("_whole") * (end - begin) + part).groupBy("_row").agg(F.sum("_got").alias("taken"))
+    words = pieces.join(per_block, ["_s", "_block"]).withColumn("_got", F.col("_whole") * (end - begin) + part).groupBy("_row").agg(F.sum("_got").alias("taken"), F.min(F.when(F.col("_got") > 0, F.col("_slot"))).alias("first_slot"))
     named = plan.select("_s", "source_size", "target")
-    return laid.join(words, "_row", "left").join(named, "_s").select("doc_id", "_source", "_h", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return laid.join(words, "_row", "left").join(named, "_s").select("doc_id", "_source", "_h", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number division."""
+    return F.call_function("div", a, b)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -135,7 +148,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # whole takes of each row; the rest of the group: whole takes, and the words of a part
     per = per.withColumn("_whole", F.floor(F.col("_t") / F.col(size))).withColumn("_part", F.col("_t") % F.col(size))
     per = checkpointed(per.withColumnsRenamed(dict(zip(("doc_id", "_source", "_h"), key))))
-    same = quoted(id_col).eqNullSafe(F.col(key[0])) & quoted(source_col).eqNullSafe(F.col(key[1])) & (F.xxhash64(quoted(text_col)) == F.col(key[2]))
+    same = quoted(id_col).eqNullSafe(F.col(key[0])) & quoted(source_col).eqNullSafe(F.col(key[1])) & (F.md5(quoted(text_col).cast("string")) == F.col(key[2]))
     zero, nothing = F.lit(0).cast("long"), F.array().cast("array<bigint>")
     # copies of whole words: 0 stands for the whole text, a number for so many words
     single = F.concat(F.array_repeat(zero, F.col("_whole").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(nothing))

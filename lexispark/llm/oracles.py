@@ -32,7 +32,7 @@ shard as (select r, any_value(ru) as ru, any_value(region * 10 + rack * 5) + arg
 placed as (select b.*, cast(shard as integer) as shard, cast(case when -ln({_UNIFORM.format("id || '|added 0|'")}) < -ln(ru) / 10 then 40 else shard end as integer) as grown_shard,
            floor({_UNIFORM.format("id || '|slot'")} * greatest(1, (select count(*) from documents) // 4000000 * 2)) as block from b join shard using (r))
 select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'key' as law, shard,
-       row_number() over (partition by shard order by block, doc_id, text_crc32, size) - 1 as slot, grown_shard from placed
+       row_number() over (partition by shard order by block, doc_id nulls first, text_crc32, size) - 1 as slot, grown_shard from placed
 """
 
 
@@ -66,3 +66,29 @@ def repetition(limits: Limits = Limits()) -> str:
     ctes.append(f"f as (select d.doc_id, {', '.join([*ints, *doubles])} from d {joins})")
     good = " and ".join(["not base_failed", *[f"{c} <= cast('{v}' as double)" for c, v in shares.items()]])
     return f"with {', '.join(ctes)} select *, {good} as kept from f"
+
+
+#: The mix of mixing.mix() for documents whose rows differ: targets by filling sources in the order of cap / weight, words laid out by a hash, blocks of 64, and the schedule's slots.
+MIX = rf"""
+with d as (select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size, coalesce(cast(doc_id as varchar), '~') || '|' || coalesce(md5(text), '~') || '|mix' as id, md5(text) as h from documents),
+s0 as (select source, sum(size) as n, [5.0::double, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from d group by source),
+s1 as (select *, n * 3.0::double as cap from s0),
+s2 as (select *, (sum(n) over () - coalesce(sum(cap) over before, 0)) / (sum(w) over () - coalesce(sum(w) over before, 0)) as level from s1 window before as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
+s3 as (select *, least(cap, coalesce((select level from s2 where level * w <= cap order by cap / w, level limit 1) * w, cap)) as target from s2),
+s4 as (select *, sum(target) over (order by source nulls last) / sum(target) over () as hi, cast(round(target) as hugeint) as take, greatest(1, cast(ceil(n / 64) as bigint)) as nb from s3),
+s5 as (select *, coalesce(lag(hi) over (order by source nulls last), 0) as lo, n // nb as each, n % nb as more from s4),
+plan as (select *, case when n = 0 then 0 else (take // n) * nb + case when take % n = 0 then 0 when take % n - 1 < more * (each + 1) then (take % n - 1) // (each + 1) + 1 else more + (take % n - 1 - more * (each + 1)) // each + 1 end end as slots from s5),
+total as (select greatest(1, sum(n) // 64) as slots from plan),
+x as (select i, cast((i::hugeint * 2783377641436327) % 4503599627370496 as double) / 4503599627370496.0 as x from (select unnest(range(cast(slots as bigint))) as i from total)),
+drawn as (select source, i as slot, row_number() over (partition by source order by i) - 1 as rank from x join plan on x.x >= lo and x.x < hi),
+every as (select p.source, p.rank, coalesce(drawn.slot, (select slots from total) + p.rank) as slot from (select source, unnest(range(cast(slots as bigint))) as rank from plan) p left join drawn on drawn.rank = p.rank and drawn.source is not distinct from p.source),
+taken as (select plan.source, slot, rank % nb as block, (rank // nb) * n + (rank % nb) * each + least(rank % nb, more) as begins, each + case when rank % nb < more then 1 else 0 end as words, take from every join plan on plan.source is not distinct from every.source),
+blocks as (select source, block, sum(case when begins + words <= take then 1 else 0 end) as whole, sum(case when begins + words <= take then 0 else take - begins end) as part, min(slot) as slot from taken group by 1, 2),
+laid as (select r, source, size, coalesce(sum(size) over (partition by source order by {_UNIFORM.format("id")}, doc_id, h rows between unbounded preceding and 1 preceding), 0) as from_ from d),
+edges as (select source, b as block, b * each + least(b, more) as lo, (b + 1) * each + least(b + 1, more) as hi from (select *, unnest(range(nb)) as b from plan where n > 0)),
+pieces as (select r, e.source, e.block, least(from_ + size, hi) - greatest(from_, lo) as words, greatest(from_, lo) - lo as inside from laid join edges e on e.source is not distinct from laid.source and e.lo < from_ + size and e.hi > from_ where size > 0),
+got as (select r, slot, whole * words + greatest(0, least(words, part - inside)) as got from pieces join blocks on blocks.block = pieces.block and blocks.source is not distinct from pieces.source),
+sums as (select r, sum(got) as taken, min(case when got > 0 then slot end) as first_slot from got group by r)
+select d.doc_id, cast(size as bigint) as size, cast(plan.n as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken, cast(first_slot as bigint) as first_slot
+from d join plan on plan.source is not distinct from d.source left join sums using (r)
+"""

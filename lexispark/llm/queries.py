@@ -53,6 +53,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_minhash_near_dedup"] = oracles.NEAR_DUPLICATES
 ORACLE["op2_hash_tree_sharding"] = oracles.SHARDING
 ORACLE["op4_repetition_rules"] = oracles.repetition()
+ORACLE["op10_source_mix"] = oracles.MIX
 ORACLE["op5_line_dedup"] = line_dedup.ORACLE
 
 

@@ -158,6 +158,37 @@ def test_language_model_scores_the_same_in_many_segments(docs, monkeypatch):
     test_language_model_scores_the_same_above_the_bound(docs)
 
 
+@pytest.mark.parametrize("bound", [lm_bloom.MAX_BROADCAST_BYTES, 0])
+def test_language_model_scores_by_brute_force(docs, bound, monkeypatch):
+    """With so many probes that no absent pair is found, the score is that of the quantised counts."""
+    monkeypatch.setattr(lm_bloom, "SEGMENT_BYTES", 1 << 12)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    texts = [(r[0], [*WORD.findall((r[1] or "").translate(LOWER)), None]) for r in ROWS]
+    train = [ts for i, ts in texts if not held(i)]
+    words = Counter(t for ts in train for t in ts)
+    pairs = Counter(p for ts in train for p in zip(["START", *ts], ts))
+    n, v = sum(words.values()), len(words)
+
+    def quantised(c):
+        if not c:
+            return 0.0
+        q = 1
+        while 1.5**q <= c + 1e-9:
+            q += 1
+        # the least and the greatest whole number of the level
+        return (math.ceil(1.5 ** (q - 1) - 1e-9) + max(math.ceil(1.5 ** (q - 1) - 1e-9), math.ceil(1.5**q - 1e-9) - 1)) / 2
+
+    def score(ts):
+        total = 0.0
+        for before, t in zip(["START", *ts], ts):
+            p, c = (words[t] + 0.1) / (n + 0.1 * (v + 1)), len(train) if before == "START" else words[before]
+            total += math.log10((min(quantised(pairs[before, t]), c) + 20 * p) / (c + 20))
+        return total
+
+    got = Counter((r["doc_id"], round(r["score"], 5)) for r in lm_bloom.scores(docs, max_broadcast_bytes=bound, probes=40).collect())
+    assert got == Counter((i, round(score(ts), 5)) for i, ts in texts)
+
+
 def test_bloom_filter_levels():
     pairs = textbytes.randoms(5000, 1)
     counts = np.arange(1, 5001)
@@ -544,6 +575,21 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["op2_hash_tree_sharding", "op4_repetition_rules", "op10_source_mix"])
+def test_sql_agrees_on_odd_rows(docs, tmp_path, name):
+    """The queries and their SQL over nulls, empty and long texts, ties and repeated rows."""
+    duckdb = pytest.importorskip("duckdb")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES[name](docs.sparkSession, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        found = con.execute(queries.ORACLE[name])
+        names = [x[0] for x in found.description]
+        plain = lambda v: round(v, 9) if isinstance(v, float) else v
+        want = Counter(tuple(plain(v) for _, v in sorted(zip(names, r))) for r in found.fetchall())
+    assert Counter(tuple(plain(r[c]) for c in sorted(got.columns)) for r in got.collect()) == want
+
+
 def test_every_query_is_registered():
     assert sorted({int(q[2:].split("_")[0]) for q in queries.QUERIES}) == list(range(1, 11))
 
