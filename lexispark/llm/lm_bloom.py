@@ -32,6 +32,7 @@ PROBES = 5
 BASE, STRENGTH = 1.5, 20.0
 #: Bytes of text that one segment's pairs come from; texts' words that are summed up before they are sent; bytes of the texts that ask together.
 SEGMENT_BYTES, STRETCH_WORDS, STRETCH_BYTES = 8 << 20, 1 << 19, 4 << 20
+_CHUNK = 1 << 20
 END, START = np.uint64(0x9D3A_6E1B_0C57_42F1), np.uint64(0x5B1F_88D2_C04E_937B)
 _FIRST, _SECOND = T.randoms(2, 41) | np.uint64(1)
 HELD_OUT = 10
@@ -68,11 +69,11 @@ def level_count(levels: np.ndarray) -> np.ndarray:
 
 
 def _places(items: np.ndarray, sizes: np.ndarray | int, probes: int) -> Iterator[np.ndarray]:
-    """The bits of items in segments of so many bits each."""
+    """The bits of items in segments of so many bits each, fewer than 2**32: the upper half of a hash is scaled to the size."""
     a = T.mix(items)
     b = T.mix(items + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
     for i in range(probes):
-        yield ((a + np.uint64(i) * b) % np.asarray(sizes, np.uint64)).astype(np.int64)
+        yield (((a + np.uint64(i) * b) >> np.uint64(32)) * np.asarray(sizes, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def _item(pairs: np.ndarray, q: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def _gathered(train: DataFrame, segments: int, probes: int) -> DataFrame:
 
         n = 0
         for batch in batches:
-            for chunk in T.chunks(batch.column(0)):
+            for chunk in T.chunks(batch.column(0), _CHUNK):
                 now, before, _ = _tokens(chunk)
                 held.append((now, _pairs(before, now)))
                 n += len(now)
@@ -275,7 +276,7 @@ def _by_broadcast(rows: DataFrame, stats: DataFrame, segments: int, totals: Tota
             made["model"] = w.view(np.uint64), c.view(np.int64), Filter(b, lengths, probes)
         known, known_counts, held = made["model"]
         for batch in batches:
-            for chunk in T.chunks(batch.column(2)):
+            for chunk in T.chunks(batch.column(2), _CHUNK):
                 now, before, cuts = _tokens(chunk)
                 distinct, of = np.unique(now, return_inverse=True)
                 c = _count(known, known_counts, distinct)[of]
@@ -304,7 +305,7 @@ def _in_stretches(rows: DataFrame) -> DataFrame:
 def _asked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct tokens and pairs of some texts, ascending, so that the segments come in order too."""
     words, pairs = [], []
-    for chunk in T.chunks(texts):
+    for chunk in T.chunks(texts, _CHUNK):
         now, before, _ = _tokens(chunk)
         words.append(np.unique(now))
         pairs.append(np.unique(_pairs(before, now)))
@@ -368,7 +369,7 @@ def _by_segment(rows: DataFrame, stats: DataFrame, segments: int, totals: Totals
         counts = np.frombuffer(b"".join(x for o, x in zip(order, blocks) if o == 1), np.int64)
         levels = np.frombuffer(b"".join(x for o, x in zip(order, blocks) if o == 2), np.uint8).astype(np.int64)
         out = []
-        for chunk in T.chunks(texts):
+        for chunk in T.chunks(texts, _CHUNK):
             now, before, cuts = _tokens(chunk)
             part = left.slice(chunk.first, len(chunk))
             out.append(_scored(part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), cuts, counts[np.searchsorted(words, now)], levels[np.searchsorted(pairs, _pairs(before, now))], totals))
