@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import standardise, tokens
 from lexispark.operators import membership
-from lexispark.plans.grammar import Grammar, Node, Spans, Word, rules
+from lexispark.plans.grammar import Grammar, Node, Spans, Terminal, Word, rules
 from lexispark.plans.sparql import Lit, Modifiers, Pattern, Query, Ref, Triple, Union, Var
 from lexispark.session import table
 from lexispark.sources import rdf
@@ -29,13 +29,18 @@ Types -> Types AND type
 """
 ENTITIES = ("part", "supplier", "type")
 NODE = "struct<node_id:int,parent_id:int,depth:int,ord:int,symbol:string,is_terminal:boolean,start:int,end:int,text:string,info:double>"
-MOST_INTERPRETATIONS = 1000
+#: Interpretations that travel together.
+BLOCK = 512
 
 
-def grammar(spans: dict[str, tuple]) -> Grammar:
+def _terminals(spans: dict[str, tuple]) -> dict[str, Terminal]:
     own = rules(RULES)
     names = {s for r in own for s in r.tail} - {r.head for r in own}
-    return Grammar(own, {s: Spans(spans.get(s, ())) if s in ENTITIES else Word(s) for s in names})
+    return {s: Spans(spans.get(s, ())) if s in ENTITIES else Word(s) for s in names}
+
+
+def grammar(spans: dict[str, tuple]) -> Grammar:
+    return Grammar(rules(RULES), _terminals(spans))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,25 +61,28 @@ def scored_spans(questions: DataFrame, known: DataFrame) -> DataFrame:
     return asked.join(found, "id", "left")
 
 
-def parse(scored: DataFrame, most: int = MOST_INTERPRETATIONS) -> DataFrame:
-    """(id, interp, consumed, n_tokens, decisions, info, tree) for each derivation of a prefix of a question, in the order of the grammar; at most `most` for a question.
+def parse(scored: DataFrame) -> DataFrame:
+    """(id, interp, consumed, n_tokens, decisions, info, tree) for each derivation of a prefix of a question, in the order of the grammar: all of them, in blocks as they come.
 
-    Parsing runs row by row in the workers; it never calls Spark, as the spans come with the row.
+    Parsing runs row by row in the workers; it never calls Spark, as the spans come with the row. The rules are compiled once for a task.
     """
+    names = ["id", "interp", "consumed", "n_tokens", "decisions", "info", "tree"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled, rows = grammar({}).compiled(), []
         for batch in batches:
-            rows = []
             for id_, words, spans in zip(batch["id"], batch["tokens"], batch["spans"], strict=True):
                 by: dict[str, list] = {}
                 for s in spans if spans is not None else ():
                     by.setdefault(s["kind"], []).append((s["start"], s["n"], s["info"]))
                 words = list(words) if words is not None else []
-                for k, (tree, end) in enumerate(grammar({x: tuple(dict.fromkeys(y)) for x, y in by.items()}).compiled().parse_all(words)):
-                    if k == most:
-                        break
+                own = compiled.with_terminals(_terminals({x: tuple(dict.fromkeys(y)) for x, y in by.items()}))
+                for k, (tree, end) in enumerate(own.parse_all(words)):
                     rows.append((id_, k, end, len(words), tree.decisions(), float(tree.info), tree.flat()))
-            yield pd.DataFrame(rows, columns=["id", "interp", "consumed", "n_tokens", "decisions", "info", "tree"])
+                    if len(rows) == BLOCK:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     return scored.select("id", "tokens", "spans").mapInPandas(run, f"id long, interp int, consumed int, n_tokens int, decisions array<int>, info double, tree array<{NODE}>")
 
@@ -129,8 +137,11 @@ def ask(spark: SparkSession, sf_dir: str, question: str) -> Query | None:
     for s in row["spans"] or ():
         by.setdefault(s["kind"], []).append((s["start"], s["n"], s["info"]))
         uris.setdefault((s["kind"], s["start"]), s["uri"])
-    found = [t for t, end in grammar({k: tuple(dict.fromkeys(v)) for k, v in by.items()}).compiled().parse_all(row["tokens"]) if end == len(row["tokens"])]
-    return construct(min(found, key=lambda t: t.info), uris) if found else None
+    chosen = None
+    for t, end in grammar({k: tuple(dict.fromkeys(v)) for k, v in by.items()}).compiled().parse_all(row["tokens"]):
+        if end == len(row["tokens"]) and (chosen is None or t.info < chosen.info):
+            chosen = t
+    return construct(chosen, uris) if chosen is not None else None
 
 
 def answer(spark: SparkSession, sf_dir: str, question: str) -> DataFrame | None:

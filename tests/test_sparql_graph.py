@@ -79,3 +79,11 @@ def test_streamed_counts_add_up(spark, tmp_path):
     streaming.count_stream(stream, "s", 2, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["gram"]: r["cnt"] for r in streaming.read_counts(spark, str(tmp_path / "out")).collect()}
     assert got["ab"] == 2 and sum(got.values()) == 9
+
+
+def test_every_interpretation_is_kept(spark):
+    """2,000 spans of one type: as many readings of a question, none left out, and the least information wins wherever it comes."""
+    spans = [("type", 1, 1, float(2000 - k), "u") for k in range(2000)] + [("supplier", 4, 1, 0.0, "s")]
+    scored = spark.createDataFrame([(1, "WHAT x PARTS HAS s SUPPLIED".split(), spans)], "id long, tokens array<string>, spans array<struct<kind:string,start:int,n:int,info:double,uri:string>>")
+    found = questions.parse(scored)
+    assert found.count() == 2000 and questions.best(found).first()["info"] == 1.0
