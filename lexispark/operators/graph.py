@@ -19,6 +19,22 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct()
 
 
+def added(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """The graph with more edges; an edge is there once."""
+    return edges.select("src", "dst").union(more.select("src", "dst")).distinct()
+
+
+def size(edges: DataFrame) -> int:
+    """How many vertices there are."""
+    return vertices(edges).count()
+
+
+def has(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (src, dst) with `found`: whether the edge is there."""
+    own = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    return wanted.join(own, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left").withColumn("found", F.col("_s").isNotNull()).drop("_s", "_d")
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -50,9 +66,54 @@ def unreachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     return vertices(edges).join(reachable(edges, start), "v", "left_anti")
 
 
+def core(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """The edges that are left when vertices without an edge to or from them have gone, again and again: those on cycles, and on paths between cycles."""
+    now = _cut(edges.select("src", "dst").distinct())
+    n = now.count()
+    for _ in range(most_rounds):
+        begin, end = now.select(F.col("src").alias("v")).distinct(), now.select(F.col("dst").alias("v")).distinct()
+        now = _cut(now.join(end, F.col("src") == end["v"], "left_semi").join(begin, F.col("dst") == begin["v"], "left_semi"))
+        if (left := now.count()) == n or not left:
+            return now
+        n = left
+    raise RuntimeError(f"not settled in {most_rounds} rounds")
+
+
+def is_cyclic(edges: DataFrame) -> bool:
+    """Whether there is a cycle anywhere: whether trimming leaves something."""
+    return not core(edges).isEmpty()
+
+
+def cycles(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(v, cycle): the vertices that reach themselves, and the greatest vertex of all that they reach and are reached by.
+
+    Every vertex takes the greatest vertex that reaches it; those which, along edges between equals, lead back to that one make its component. They go, what is left is
+    trimmed, and so on. A round moves along edges only, never over pairs of vertices.
+    """
+    left, out = core(edges), edges.select(F.col("src").alias("v"), F.col("src").alias("cycle")).limit(0)
+    while not left.isEmpty():
+        color = _cut(vertices(left).withColumn("c", F.col("v")))
+        for _ in range(most_rounds):
+            more = left.join(color.withColumnRenamed("v", "src"), "src").groupBy("dst").agg(F.max("c").alias("m"))
+            color = _cut(color.select("v", "c").join(more, F.col("v") == F.col("dst"), "left").select("v", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("moved")))
+            if color.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"not settled in {most_rounds} rounds")
+        same = left.join(color.select(F.col("v").alias("src"), F.col("c").alias("_a")), "src").join(color.select(F.col("v").alias("dst"), F.col("c").alias("_b")), "dst").where("_a = _b").select("src", "dst")
+        found = reachable(reversed_edges(same), color.where("v = c").select("v"))
+        found = _cut(found.join(color.select("v", "c"), "v").select("v", F.col("c").alias("cycle")))
+        # a vertex that is a component of its own is on a cycle only if an edge leads from it to itself
+        sizes, loops = found.groupBy("cycle").agg(F.count("*").alias("_n")), left.where("src = dst").select(F.col("src").alias("_s")).distinct()
+        out = out.union(found.join(sizes, "cycle").join(loops, F.col("v") == F.col("_s"), "left").where("_n > 1 or _s is not null").select("v", "cycle"))
+        gone = found.select("v")
+        left = core(left.join(gone, F.col("src") == gone["v"], "left_anti").join(gone, F.col("dst") == gone["v"], "left_anti"))
+    return _cut(out)
+
+
 def cyclic_vertices(edges: DataFrame) -> DataFrame:
     """Vertices on a cycle: those that reach themselves."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("v")).distinct()
+    return cycles(edges).select("v")
 
 
 def paths(edges: DataFrame, start: str, goal: str, longest: int = 32) -> DataFrame:
@@ -89,14 +150,22 @@ def _cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label) of an undirected graph by its links (a, b): label is the component's least node; a node without links is its own."""
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    both = edges.union(reversed_edges(edges)).distinct()
-    labels = _cut(nodes.select("node").distinct().withColumn("label", F.col("node")))
-    while True:
-        near = both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("low"))
-        new = _cut(labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels
+def components(links: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, label) of an undirected graph by its links (a, b): label is the component's least node; a node without links is its own.
+
+    Every node links what it knows to the least node it knows, in turn its larger and its smaller neighbours, until all links are to least nodes; the
+    number of rounds follows the logarithm of the largest component.
+    """
+    ordered = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, before = _cut(ordered(links.select("a", "b").where("a is not null and b is not null"))), None
+    for _ in range(most_rounds):
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.join(least, "a").select("a", "m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        now = _cut(ordered(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))))
+        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if sign == before:
+            return nodes.select("node").distinct().join(now.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("label"))
+        before = sign
+    raise RuntimeError(f"not settled in {most_rounds} rounds")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import ngrams
+from lexispark.operators import order
 from lexispark.operators.similarity import gram_model
 
 MOST_BUCKETS = 5000
@@ -19,13 +20,18 @@ def rate(items: DataFrame, item: str, model: DataFrame, n: int) -> DataFrame:
     return sums.join(F.broadcast(size)).select(item, ((F.col("_sum") + 1) / (F.length(item) + n + 2) / F.col("size")).alias("rating"))  # size: one row
 
 
-def train_filter(items: DataFrame, item: str, n: int, fnr: float = 0.0, group: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(model, bounds): bounds has min_rating, the rating at place int(fnr * N) of the ascending ratings, and their population deviation. All rows are trained on, repeats counted."""
+def threshold(rated: DataFrame, fnr: float) -> DataFrame:
+    """(min_rating, deviation, n): the rating at place int(fnr * N) of the ascending ratings, and their population deviation. rated has a row for each training item, repeats counted."""
+    counts = rated.groupBy("rating").agg(F.count("*").alias("_n"))
+    whole = rated.agg(F.stddev_pop("rating").alias("deviation"), F.count("*").alias("n"))
+    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return whole.join(order.place(counts, "rating", "_n", int(fnr * n)).select(F.col("rating").alias("min_rating"))).select("min_rating", "deviation", "n")  # one row each
+
+
+def train_filter(items: DataFrame, item: str, n: int, fnr: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(model, bounds): bounds is threshold() of the items' ratings. All rows are trained on, repeats counted."""
     model = gram_model(items, item, n)
-    rated = items.select(item).join(rate(items, item, model, n), item)
-    numbered = rated.withColumn("k", F.row_number().over(Window.orderBy("rating", item))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    bounds = numbered.agg(F.min(F.when(F.col("k") == F.floor(F.lit(fnr) * F.col("n")) + 1, F.col("rating"))).alias("min_rating"), F.stddev_pop("rating").alias("deviation"), F.count("*").alias("n"))
-    return model, bounds
+    return model, threshold(items.select(item).join(rate(items, item, model, n), item), fnr)
 
 
 def allow(bounds: DataFrame, share: float) -> DataFrame:
@@ -45,9 +51,8 @@ def distribution(values: DataFrame, value: str, most: int = MOST_BUCKETS) -> Dat
 
     The granularity is the least gap between different values, coarser if there would be over `most` buckets. Equal values give one bucket.
     """
-    distinct = values.select(F.col(value).cast("double").alias("v")).distinct()
-    gaps = distinct.withColumn("gap", F.col("v") - F.lag("v").over(Window.orderBy("v")))
-    meta = gaps.agg(F.min("v").alias("min_val"), F.max("v").alias("max_val"), F.min("gap").alias("gap"))
+    distinct = values.select(F.col(value).cast("double").alias("v")).where("v is not null").distinct()
+    meta = values.agg(F.min(F.col(value).cast("double")).alias("min_val"), F.max(F.col(value).cast("double")).alias("max_val")).join(order.least_gap(distinct, "v"))  # one row each
     span = F.col("max_val") - F.col("min_val")
     exact = F.floor(span / F.col("gap"))
     meta = meta.withColumn("buckets", F.when(F.col("gap").isNull(), F.lit(1)).when(exact > most, F.lit(most)).otherwise(exact).cast("long"))
@@ -65,9 +70,11 @@ def cdf(values: DataFrame, value: str, dist: DataFrame, to: str, whole: bool = F
     dist holds buckets that have values; a bucket without has the cum of the one before. It is bounded by the number of buckets, so it is broadcast.
     """
     meta = dist.select("min_val", "max_val", "granularity", "buckets").distinct()
-    steps = dist.agg(F.sort_array(F.collect_list(F.struct("bucket", "cum"))).alias("steps"))
-    x = values.join(F.broadcast(meta)).join(F.broadcast(steps)).withColumn("_b", (F.col(value) - F.col("min_val")) / F.col("granularity")).withColumn("_l", F.floor("_b"))  # one row each
-    at = lambda b: F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["bucket"] <= b), lambda s: s["cum"])), F.lit(0.0))
+    every = meta.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket")).join(dist.select("bucket", "cum"), "bucket", "left")
+    filled = every.withColumn("cum", F.coalesce(F.max("cum").over(Window.orderBy("bucket")), F.lit(0.0)))  # at most MOST_BUCKETS rows
+    steps = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "cum"))), lambda s: s["cum"]).alias("steps"))
+    x = values.join(F.broadcast(meta.join(steps))).withColumn("_b", (F.col(value) - F.col("min_val")) / F.col("granularity")).withColumn("_l", F.floor("_b"))  # one row
+    at = lambda b: F.coalesce(F.get("steps", F.least(F.greatest(b, F.lit(-1)), F.col("buckets")).cast("int")), F.lit(0.0))
     left = at(F.col("_l"))
     inner = left if whole else left + (at(F.col("_l") + 1) - left) * (F.col("_b") - F.col("_l"))
     p = F.when(F.col(value) < F.col("min_val"), F.lit(0.0)).when(F.col(value) >= F.col("max_val"), F.lit(1.0)).when(F.col("_l") >= F.col("buckets") - 1, F.lit(1.0)).otherwise(inner)
@@ -85,13 +92,22 @@ def joined_probability(parts: list[tuple[str, float]]):
     return F.when(zero, F.lit(0.0)).otherwise(F.exp(total))
 
 
-def rate_by_cluster(items: DataFrame, item: str, members: DataFrame, cluster: str, n: int) -> DataFrame:
-    """(item, cluster, rating): each distinct item against the model of each cluster with which it shares a gram. members has (item, cluster)."""
-    model = members.select(cluster, F.explode(ngrams(F.col(item), n)).alias("gram")).groupBy(cluster, "gram").agg(F.count("*").alias("cnt"))
-    size = model.groupBy(cluster).agg(F.sum("cnt").alias("size"))
+def cluster_model(members: DataFrame, item: str, cluster: str, n: int) -> DataFrame:
+    """(cluster, gram, cnt) over all rows, repeats counted."""
+    return members.select(F.col(cluster).alias("cluster"), F.explode(ngrams(F.col(item), n)).alias("gram")).groupBy("cluster", "gram").agg(F.count("*").alias("cnt"))
+
+
+def rate_by_model(items: DataFrame, item: str, model: DataFrame, cluster: str, n: int) -> DataFrame:
+    """(item, cluster, rating): each distinct item against the model (cluster, gram, cnt) of each cluster with which it shares a gram."""
+    size = model.groupBy("cluster").agg(F.sum("cnt").alias("size"))
     own = items.select(item).distinct().select(item, F.explode(ngrams(F.col(item), n)).alias("gram"))
-    sums = own.join(model, "gram").groupBy(item, cluster).agg(F.sum("cnt").alias("_sum"))
-    return sums.join(size, cluster).select(item, cluster, ((F.col("_sum") + 1) / (F.length(item) + n + 2) / F.col("size")).alias("rating"))
+    sums = own.join(model, "gram").groupBy(item, "cluster").agg(F.sum("cnt").alias("_sum"))
+    return sums.join(size, "cluster").select(item, F.col("cluster").alias(cluster), ((F.col("_sum") + 1) / (F.length(item) + n + 2) / F.col("size")).alias("rating"))
+
+
+def rate_by_cluster(items: DataFrame, item: str, members: DataFrame, cluster: str, n: int) -> DataFrame:
+    """The same for the clusters' members (item, cluster)."""
+    return rate_by_model(items, item, cluster_model(members, item, cluster, n), cluster, n)
 
 
 def best_cluster(rated: DataFrame, item: str, cluster: str) -> DataFrame:
