@@ -34,6 +34,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.trim(text)), F.lit(r"\w+"), F.lit(0))
 
 
+#: By the names that configurations use.
+TOKENIZERS = {"SimpleTokenizer": tokens, "WordTokenizer": words}
+
+
+def tokenizer(name: str):
+    """The function that makes tokens of a text column."""
+    if name not in TOKENIZERS:
+        raise KeyError(f"no tokenizer {name!r}; there are {', '.join(TOKENIZERS)}")
+    return TOKENIZERS[name]
+
+
 def ngrams(text: Column, n: int) -> Column:
     """All windows of n over the text with n - 1 marks before and after it: length + n - 1 of them."""
     padded = F.concat(F.lit(PRE * (n - 1)), text, F.lit(POST * (n - 1)))

@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def exists_file(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder."""
+    files, place = _at(spark, path)
+    return files.exists(place)
+
+
 def clean(spark: SparkSession, path: str) -> None:
     """Delete the table, if there is one."""
     files, place = _at(spark, path)

@@ -51,18 +51,44 @@ def write_triples(triples: DataFrame, path: str) -> None:
     triples.write.mode("overwrite").partitionBy("p").parquet(path)
 
 
-def sparql_json(spark: SparkSession, path: str) -> DataFrame:
-    """A SPARQL result in JSON as rows: for each variable v, columns v, v_type, v_lang; unbound is null."""
-    raw = spark.read.option("multiLine", True).json(path)
-    names = raw.select("head.vars").first()[0]
-    rows = raw.select(F.explode("results.bindings").alias("b"))
-    own = rows.schema["b"].dataType
+#: What a SPARQL result in JSON holds, whatever its variables.
+RESULT = "head struct<vars array<string>>, results struct<bindings array<map<string, struct<type string, value string, `xml:lang` string>>>>"
+
+
+def bindings(documents: DataFrame, column: str, variables: list[str]) -> DataFrame:
+    """Rows of the SPARQL results that a column holds as JSON texts: for each variable v, columns v, v_type, v_lang; unbound is null. Other columns of documents come along.
+
+    The texts are parsed once, by a schema that doesn't depend on the variables, and nothing is collected.
+    """
+    parsed = documents.withColumn("_r", F.from_json(F.col(column), RESULT)).withColumn("_b", F.explode("_r.results.bindings"))
     cols = []
-    for v in names:
-        fields = own[v].dataType.names if v in own.names else []
-        for field, to in (("value", v), ("type", f"{v}_type"), ("xml:lang", f"{v}_lang")):
-            cols.append((F.col(f"b.`{v}`.`{field}`") if field in fields else F.lit(None).cast("string")).alias(to))
-    return rows.select(*cols)
+    for v in variables:
+        own = F.col("_b")[v]
+        cols += [own["value"].alias(v), own["type"].alias(f"{v}_type"), own["xml:lang"].alias(f"{v}_lang")]
+    return parsed.select(*[c for c in documents.columns if c != column], *cols)
+
+
+def variables(documents: DataFrame, column: str) -> list[str]:
+    """The variables that the results' heads name, in the order of the first."""
+    heads = documents.select(F.from_json(F.col(column), RESULT)["head"]["vars"].alias("v")).where("v is not null")
+    return list(dict.fromkeys(v for r in heads.distinct().limit(100).collect() for v in r["v"]))
+
+
+def result_json(rows: DataFrame, to: str = "result", rows_a_document: int = 1000) -> DataFrame:
+    """(to): SPARQL results in JSON, of some rows each; strings are literals, or URIs if they begin with http. Null is unbound."""
+    names = rows.columns
+    value = lambda c: F.struct(F.when(F.col(c).cast("string").rlike("^https?://"), F.lit("uri")).otherwise(F.lit("literal")).alias("type"), F.col(c).cast("string").alias("value"))
+    one = F.struct(*[F.when(F.col(c).isNotNull(), value(c)).alias(c) for c in names])
+    part = F.floor(F.monotonically_increasing_id() / rows_a_document)
+    grouped = rows.select(one.alias("_b"), part.alias("_part")).groupBy("_part").agg(F.collect_list("_b").alias("bindings"))
+    head = F.struct(F.array(*[F.lit(c) for c in names]).alias("vars"))
+    return grouped.select(F.to_json(F.struct(head.alias("head"), F.struct("bindings").alias("results"))).alias(to))
+
+
+def sparql_json(spark: SparkSession, path: str) -> DataFrame:
+    """The files of SPARQL results in JSON at path as rows, see bindings()."""
+    files = spark.read.text(path, wholetext=True)
+    return bindings(files, "value", variables(files, "value"))
 
 
 def text_table(spark: SparkSession, path: str) -> DataFrame:
@@ -74,4 +100,9 @@ def text_table(spark: SparkSession, path: str) -> DataFrame:
 def name_frequencies(spark: SparkSession, path: str, least: float = 0.0005) -> DataFrame:
     """(name, percent, sex) from CSV with a header and the columns year, name, percent, sex; rarer names left out."""
     rows = spark.read.option("header", True).schema("year string, name string, percent double, sex string").csv(path)
-    return rows.where(F.col("percent") >= least).select("name", "percent", "sex")
+    return rows.where(F.col("percent") >= least).select(F.lower(F.trim("name")).alias("name"), "percent", "sex")
+
+
+def names_by_sex(frequencies: DataFrame) -> DataFrame:
+    """(name, boy, girl): whether a name is one of boys, and of girls."""
+    return frequencies.groupBy("name").agg(F.bool_or(F.col("sex") == "boy").alias("boy"), F.bool_or(F.col("sex") == "girl").alias("girl"))
