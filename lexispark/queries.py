@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.demo import books
 from lexispark.functions import text as X
-from lexispark.operators import graph, membership, models, similarity
-from lexispark.plans import questions
+from lexispark.operators import filters, graph, membership, models, similarity
+from lexispark.plans import generator, questions
 from lexispark.plans.sparql import Bind, Filter, Lit, Modifiers, Pattern, Query, Ref, Triple, Union, Var, call
-from lexispark.session import table
+from lexispark.session import table, work_folder
 from lexispark.sources import rdf
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +133,7 @@ def q_levenshtein(spark, sf_dir):
     return similarity.jaccard_pairs(_names(spark, sf_dir), "s").select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
 
 
-#: Misspelt names to resolve, for the queries on entities.
+#: Misspelt names to resolve, for the queries on entities: over every alias of every part, with each name less its second character too.
 ASKED = ("antique blu", "smal bottle", "largee ring", "red gear", "green widgt", "steel bolt", "polishd pipe", "blue", "zzqx")
 _ASKED = ", ".join(f"('{q}')" for q in ASKED)
 
@@ -141,40 +142,7 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(q,) for q in ASKED], "asked string").select("asked", X.standardise(F.col("asked")).alias("q"))
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", X.standardise(F.col("p_name")).alias("s"))
-    return part.groupBy("s").agg(F.min("p_partkey").alias("uri"))
-
-
-_TOPK = f"""e as (select regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s, min(p_partkey) as uri from part group by 1),
-v as (select regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (values {_ASKED}) t(a)),
-eg as (select s, gram, count(*) as y from {_g(3, "e")} group by all), qg as (select q, gram, count(*) as x from {_g(3, "v", "q")} group by all),
-i as (select q, s, sum(least(x, y)) as i from qg join eg using (gram) group by 1, 2),
-r as (select q, s, uri, 1 - i / (length(q) + length(s) + 4 - i) as d, row_number() over (partition by q order by 1 - i / (length(q) + length(s) + 4 - i), uri, s) as rank from i join e using (s)),
-k as (select * from r where rank <= 5)"""
-
-
-@query(f"with {_TOPK} select q, uri, s, round(d, 6) as d, cast(rank as integer) as rank from k")
-def q_ident_topk(spark, sf_dir):
-    return similarity.identify(_asked(spark).select("q"), "q", _entities(spark, sf_dir), "s", "uri").withColumn("d", F.round("d", 6))
-
-
-@query(f"with {_TOPK}, b as (select *, min(d) over (partition by q) as best from k), t as (select *, case when d + best = 0 then 0 else 2 * (d - best) / (d + best) end as gap from b) select q, uri, s, round(d, 6) as d, round(gap, 6) as gap from t where gap < 0.1")
-def q_ident_ambiguous(spark, sf_dir):
-    found = similarity.near_ties(similarity.identify(_asked(spark).select("q"), "q", _entities(spark, sf_dir), "s", "uri"), "q")
-    return found.select("q", "uri", "s", F.round("d", 6).alias("d"), F.round("gap", 6).alias("gap"))
-
-
-@query(f"with {_TOPK}, u as (select a as asked, regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (values {_ASKED}) t(a)) select asked, uri, s from u join k using (q) where rank = 1")
-def q_resolve_nodes(spark, sf_dir):
-    asked = _asked(spark)
-    best = similarity.identify(asked.select("q"), "q", _entities(spark, sf_dir), "s", "uri").where("rank = 1")
-    return asked.join(best, "q").select("asked", "uri", "s")
-
-
-# the same over every alias of every part, asked also with each name less its second character
-
-_ALIASED = f"""e as (select distinct regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as s, uri from (select p_partkey as uri, unnest(case when len(w) >= 2 then [p_name, w[1], w[-1]] else [p_name] end) as a
+_TOPK = f"""e as (select distinct regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as s, uri from (select p_partkey as uri, unnest(case when len(w) >= 2 then [p_name, w[1], w[-1]] else [p_name] end) as a
       from (select p_partkey, p_name, list_filter(regexp_split_to_array(p_name, '\\s+'), lambda x: x <> '') as w from part))),
 u as (select a as asked, regexp_replace(upper(a), '[^A-Z0-9]', '', 'g') as q from (select a from (values {_ASKED}) t(a) union select substring(p_name, 1, 1) || substring(p_name, 3) from part)),
 v as (select distinct q from u), es as (select distinct s from e),
@@ -199,18 +167,18 @@ def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.identify(_asked_rows(spark, sf_dir).select("q").distinct(), "q", _aliased(spark, sf_dir), "s", "uri")
 
 
-@query(f"with {_ALIASED} select q, uri, s, round(d, 6) as d, cast(rank as integer) as rank from k")
-def q_ident_topk_aliases(spark, sf_dir):
+@query(f"with {_TOPK} select q, uri, s, round(d, 6) as d, cast(rank as integer) as rank from k")
+def q_ident_topk(spark, sf_dir):
     return _identified(spark, sf_dir).withColumn("d", F.round("d", 6))
 
 
-@query(f"with {_ALIASED}, b as (select *, min(d) over (partition by q) as best from k), t as (select *, case when d + best = 0 then 0 else 2 * (d - best) / (d + best) end as gap from b) select q, uri, s, round(d, 6) as d, round(gap, 6) as gap from t where gap < 0.1")
-def q_ident_ambiguous_aliases(spark, sf_dir):
+@query(f"with {_TOPK}, b as (select *, min(d) over (partition by q) as best from k), t as (select *, case when d + best = 0 then 0 else 2 * (d - best) / (d + best) end as gap from b) select q, uri, s, round(d, 6) as d, round(gap, 6) as gap from t where gap < 0.1")
+def q_ident_ambiguous(spark, sf_dir):
     return similarity.near_ties(_identified(spark, sf_dir), "q").select("q", "uri", "s", F.round("d", 6).alias("d"), F.round("gap", 6).alias("gap"))
 
 
-@query(f"with {_ALIASED} select asked, uri, s from u join k using (q) where rank = 1")
-def q_resolve_nodes_aliases(spark, sf_dir):
+@query(f"with {_TOPK} select asked, uri, s from u join k using (q) where rank = 1")
+def q_resolve_nodes(spark, sf_dir):
     return _asked_rows(spark, sf_dir).join(_identified(spark, sf_dir).where("rank = 1"), "q").select("asked", "uri", "s")
 
 
@@ -218,23 +186,10 @@ def q_resolve_nodes_aliases(spark, sf_dir):
 
 _EDITS = """list_distinct([left(s, i::int) || substring(s, i::int + 2) for i in range(0, length(s))]
  || [left(s, i::int) || substring(s, i::int + 2, 1) || substring(s, i::int + 1, 1) || substring(s, i::int + 3) for i in range(0, length(s) - 1)]
- || flatten([[left(s, i::int) || c || substring(s, i::int + 2) for c in string_split('ABC', '')] for i in range(0, length(s))])
- || flatten([[left(s, i::int) || c || substring(s, i::int + 1) for c in string_split('ABC', '')] for i in range(0, length(s) + 1)]))"""
-
-
-@query(f"with {_N} select s, unnest({_EDITS}) as edit from n")
-def q_edits1(spark, sf_dir):
-    return _names(spark, sf_dir).select("s", F.explode(X.edits1(F.col("s"), "ABC")).alias("edit"))
+ || flatten([[left(s, i::int) || c || substring(s, i::int + 2) for c in cs] for i in range(0, length(s))])
+ || flatten([[left(s, i::int) || c || substring(s, i::int + 1) for c in cs] for i in range(0, length(s) + 1)]))"""
 
 
-@query(f"with n0 as (select distinct p_brand from part), n as (select distinct substring(upper(p_brand), 1, 4) as s from n0), a as (select s as word, unnest({_EDITS}) as s from n) select distinct word, unnest({_EDITS}) as edit from a")
-def q_edits2(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.substring(F.upper("p_brand"), 1, 4).alias("word")).distinct()
-    one = words.select("word", F.explode(X.edits1(F.col("word"), "ABC")).alias("s"))
-    return one.select("word", F.explode(X.edits1(F.col("s"), "ABC")).alias("edit")).distinct()
-
-
-_EDITS_OVER = _EDITS.replace("string_split('ABC', '')", "cs")
 _ALPHABET = "z as (select list(distinct c) as cs from (select unnest(string_split(s, '')) as c from n) where c <> '')"
 
 
@@ -243,16 +198,16 @@ def _alphabet(words: DataFrame, item: str) -> str:
     return "".join(sorted(r["gram"] for r in similarity.gram_model(words, item, 1).select("gram").collect()))
 
 
-@query(f"with {_N}, {_ALPHABET} select s, unnest({_EDITS_OVER}) as edit from n, z")
-def q_edits1_alphabet(spark, sf_dir):
-    """q_edits1 over the alphabet of the names."""
+@query(f"with {_N}, {_ALPHABET} select s, unnest({_EDITS}) as edit from n, z")
+def q_edits1(spark, sf_dir):
+    """Over the alphabet of the names."""
     names = _names(spark, sf_dir)
     return names.select("s", F.explode(X.edits1(F.col("s"), _alphabet(names, "s"))).alias("edit"))
 
 
-@query(f"with n as (select distinct upper(p_brand) as s from part), {_ALPHABET}, a as (select s as word, unnest({_EDITS_OVER}) as s from n, z) select distinct word, unnest({_EDITS_OVER}) as edit from a, z")
-def q_edits2_brands(spark, sf_dir):
-    """q_edits2 over whole brands and their alphabet."""
+@query(f"with n as (select distinct upper(p_brand) as s from part), {_ALPHABET}, a as (select s as word, unnest({_EDITS}) as s from n, z) select distinct word, unnest({_EDITS}) as edit from a, z")
+def q_edits2(spark, sf_dir):
+    """Of the brands, over their alphabet."""
     words = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("word")).distinct()
     letters = _alphabet(words, "word")
     one = words.select("word", F.explode(X.edits1(F.col("word"), letters)).alias("s"))
@@ -410,8 +365,40 @@ def q_cluster_filter(spark, sf_dir):
 @query(f"with recursive {_N}, {_PAIRS}, e as (select a, b from p where 1 - i / (length(a) + length(b) + 4 - i) <= 0.5 union all select b, a from p where 1 - i / (length(a) + length(b) + 4 - i) <= 0.5), w as (select s as node, s as other from n union select w.node, e.b from w join e on w.other = e.a) select node, min(other) as label from w group by 1")
 def q_clusters(spark, sf_dir):
     names = _names(spark, sf_dir)
-    links = similarity.jaccard_pairs(names, "s").where("d <= 0.5")
-    return graph.components(links, names.withColumnRenamed("s", "node"))
+    return graph.components(similarity.similar_pairs(names, "s", 0.5), names.withColumnRenamed("s", "node"))
+
+
+@query(f"with {_N}, {_PAIRS}, d as (select a, b, 1 - i / (length(a) + length(b) + 4 - i) as d from p) select a, b, round(d, 6) as d from d where d <= 0.7")
+def q_similar_pairs(spark, sf_dir):
+    return similarity.similar_pairs(_names(spark, sf_dir), "s", 0.7).withColumn("d", F.round("d", 6))
+
+
+_HALVES = f"{_ALL}, h as (select p_partkey % 2 = 0 as old, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s from part)"
+
+
+@query(f"with {_HALVES}, m as (select gram, count(*) as cnt from {_g(3)} group by 1), z as (select sum(cnt) as size from m), o as (select distinct s from n), og as {_g(3, 'o')}, r as (select s, (sum(coalesce(cnt, 0)) + 1) / (length(s) + 5) / any_value(size) as rating from og left join m using (gram), z group by s), k as (select rating, row_number() over (order by rating, s) as k, count(*) over () as c from h join r using (s) where old) select round(min(rating), 9) as min_rating, (select cast(size as bigint) from z) as size from k where k = cast(floor(0.02 * c) as bigint) + 1")
+def q_filter_add(spark, sf_dir):
+    """Trained on the parts of even keys, the others added, the bound brought up to date."""
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey") % 2 == 0).alias("old"), X.standardise(F.col("p_name")).alias("s"))
+    own = filters.GramFilter.train(part.where("old"), "s", 3, 0.02).add(part.where("not old"), "s").updated()
+    return own.bounds.join(F.broadcast(own.model.agg(F.sum("cnt").alias("size")))).select(F.round("min_rating", 9).alias("min_rating"), "size")  # one row each
+
+
+_SPLIT = "select p_brand as cl, p_size < 25 as old, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s from part"
+
+
+@query(f"with c as ({_SPLIT}), ct as (select cl, s from c where old), cg as (select cl, unnest([substring(chr(2)||chr(2)||s||chr(3)||chr(3), i::int, 3) for i in range(1, length(s)+3)]) as gram from ct), cm as (select cl, gram, count(*) as cnt from cg group by 1, 2), cz as (select cl, sum(cnt) as size from cm group by 1), o as (select distinct s from c), og as {_g(3, 'o')}, cr as (select s, cl, (sum(cnt) + 1) / (length(s) + 5) / any_value(size) as rating from og join cm using (gram) join cz using (cl) group by s, cl), best as (select s, cl from (select *, row_number() over (partition by s order by rating desc, cl) as k from cr) where k = 1), more as (select best.cl, sum(length(s) + 2) as n from c join best using (s) where not old group by 1), low as (select ct.cl, min(rating) as min_rating, count(*) as n from ct join cr using (s, cl) group by 1) select low.cl as cluster, round(min_rating, 9) as min_rating, low.n, cast(size + coalesce(more.n, 0) as bigint) as grams from low join cz on cz.cl = low.cl left join more on more.cl = low.cl")
+def q_cluster_add(spark, sf_dir):
+    """Trained on small parts by brand; each larger one is added to the brand that rates its name best, and the bounds stay."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("cl"), (F.col("p_size") < 25).alias("old"), X.standardise(F.col("p_name")).alias("s"))
+    own = filters.ClusterFilter.train(part.where("old"), "cl", "s", 3).add(part.where("not old").select("s"), "s")
+    grams = own.model.groupBy("cluster").agg(F.sum("cnt").alias("grams"))
+    return own.bounds.join(grams, "cluster").select("cluster", F.round("min_rating", 9).alias("min_rating"), "n", "grams")
+
+
+@query("select distinct s from (select regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') as s from customer) order by md5(s), s limit 300")
+def q_training_sample(spark, sf_dir):
+    return membership.training_sample(table(spark, sf_dir, "customer").select(X.standardise(F.col("c_name")).alias("s")), "s", 300)
 
 
 @query("select cl, s from (select *, row_number() over (partition by cl order by md5(s), s) as k from (select distinct p_brand as cl, p_name as s from part)) where k <= 4")
@@ -611,10 +598,10 @@ def q_ns_maximize(spark, sf_dir):
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, 'literal' as kind from events")
 def q_json_bindings(spark, sf_dir):
-    """Bindings as in a SPARQL result: one object for each row, its fields as variables."""
-    events = table(spark, sf_dir, "events")
-    bound = events.select("event_id", F.explode(F.array(F.struct(F.from_json("props", "k long").alias("b"), F.lit("literal").alias("kind")))).alias("x"))
-    return bound.select("event_id", "x.b.k", "x.kind")
+    """The events as SPARQL results in JSON, read back."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    found = rdf.bindings(rdf.result_json(rows), "result", ["event_id", "k"])
+    return found.select(F.col("event_id").cast("long").alias("event_id"), F.col("k").cast("long").alias("k"), F.col("k_type").alias("kind"))
 
 
 # --- graphs
@@ -657,10 +644,15 @@ def q_graph_cyclic(spark, sf_dir):
     return graph.cyclic_vertices(_edges(spark, sf_dir))
 
 
-@query("select ['a', 'b', 'd', 'f', 'g'] as path")
+@query(f"with recursive {_EDGE}, p(path) as (select ['1401'] union all select list_append(path, cast(dst as varchar)) from p join e on cast(src as varchar) = path[-1] where path[-1] <> '1404' and not list_contains(path, cast(dst as varchar))) select path from p where path[-1] = '1404'")
 def q_graph_path(spark, sf_dir):
-    edges = spark.createDataFrame([tuple(x) for x in ("ab", "bc", "bd", "de", "df", "fg", "gb")], "src string, dst string")
-    return graph.paths(edges, "a", "g")
+    """Through a conversation that leads back at its second turn."""
+    return graph.paths(_edges(spark, sf_dir), "1401", "1404")
+
+
+@query(f"with recursive {_EDGE}, c(a, b) as (select src, dst from e union select a, dst from c join e on b = src) select x.a as v, max(greatest(x.b, y.a)) as cycle from c x join c y on x.b = y.a and y.b = x.a group by 1")
+def q_graph_cycles(spark, sf_dir):
+    return graph.cycles(_edges(spark, sf_dir))
 
 
 # --- parsing questions, and what they mean
@@ -690,31 +682,42 @@ def q_parse_partial(spark, sf_dir):
     return asked.join(some, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("accepted"))
 
 
-@query()
+_TYPES = "[A-Z]+( AND [A-Z]+)*"
+#: Every reading, from the text alone: with types there is a rule for each AND and one for the first.
+_READ = f"""{_TOKENS}, r as (select id, w, regexp_extract(w, '^WHAT ({_TYPES} )?PARTS HAS SUPPLIER [0-9]+ SUPPLIED') as what, regexp_extract(w, '^WHAT ({_TYPES} )PARTS', 1) as kinds, regexp_extract(w, '^WHICH SUPPLIERS HAVE SUPPLIED BOTH ({_TYPES}) PARTS$', 1) as both_ from t),
+k as (select *, case when kinds = '' then [5] else [6] || [8 for x in range(len(string_split(kinds, ' AND ')) - 1)] || [7] end as kind from r),
+x as (select id, 0 as interp, what as used, [0, 3] || kind as decisions, w from k where what <> '' union all select id, 1, w, [0, 4] || kind, w from k where what <> '' and w = what || ' THAT ARE THE SAME TYPE AS BLUE BOLT'
+      union all select id, 0, w, [1], w from k where w = 'WHO SUPPLIED BLUE BOLT' union all select id, 0, w, [2] || [8 for x in range(len(string_split(both_, ' AND ')) - 1)] || [7], w from k where both_ <> ''),
+reads as (select id, cast(interp as integer) as interp, cast(len(string_split(used, ' ')) as integer) as consumed, cast(decisions as integer[]) as decisions, 0.0::double as info, used = w as whole from x)"""
+
+
+@query(f"with {_READ} select id, interp, consumed, decisions, info from reads")
 def q_parse_all(spark, sf_dir):
     return _parses(spark, sf_dir).select("id", "interp", "consumed", "decisions", F.round("info", 6).alias("info"))
 
 
-@query()
+#: The trees of the questions, worked out by hand: question, then node, parent, depth, symbol, start, end, text.
+_TREES = """1 0 -1 0 Question 0 6|1 1 0 1 WHAT 0 1 WHAT|1 2 0 1 PartsOf 1 6|1 3 2 2 Kind 1 2|1 4 3 3 PARTS 1 2 PARTS|1 5 2 2 HAS 2 3 HAS|1 6 2 2 supplier 3 5 SUPPLIER 000000001|1 7 2 2 SUPPLIED 5 6 SUPPLIED
+2 0 -1 0 Question 0 7|2 1 0 1 WHAT 0 1 WHAT|2 2 0 1 PartsOf 1 7|2 3 2 2 Kind 1 3|2 4 3 3 Types 1 2|2 5 4 4 type 1 2 ECONOMY|2 6 3 3 PARTS 2 3 PARTS|2 7 2 2 HAS 3 4 HAS|2 8 2 2 supplier 4 6 SUPPLIER 000000002|2 9 2 2 SUPPLIED 6 7 SUPPLIED
+3 0 -1 0 Question 0 9|3 1 0 1 WHAT 0 1 WHAT|3 2 0 1 PartsOf 1 9|3 3 2 2 Kind 1 5|3 4 3 3 Types 1 4|3 5 4 4 Types 1 2|3 6 5 5 type 1 2 ECONOMY|3 7 4 4 AND 2 3 AND|3 8 4 4 type 3 4 PROMO|3 9 3 3 PARTS 4 5 PARTS|3 10 2 2 HAS 5 6 HAS|3 11 2 2 supplier 6 8 SUPPLIER 000000003|3 12 2 2 SUPPLIED 8 9 SUPPLIED
+4 0 -1 0 Question 0 4|4 1 0 1 WHO 0 1 WHO|4 2 0 1 SUPPLIED 1 2 SUPPLIED|4 3 0 1 part 2 4 BLUE BOLT
+5 0 -1 0 Question 0 9|5 1 0 1 WHICH 0 1 WHICH|5 2 0 1 SUPPLIERS 1 2 SUPPLIERS|5 3 0 1 HAVE 2 3 HAVE|5 4 0 1 SUPPLIED 3 4 SUPPLIED|5 5 0 1 BOTH 4 5 BOTH|5 6 0 1 Types 5 8|5 7 6 2 Types 5 6|5 8 7 3 type 5 6 ECONOMY|5 9 6 2 AND 6 7 AND|5 10 6 2 type 7 8 PROMO|5 11 0 1 PARTS 8 9 PARTS
+6 0 -1 0 Question 0 14|6 1 0 1 WHAT 0 1 WHAT|6 2 0 1 PartsOf 1 14|6 3 2 2 Kind 1 2|6 4 3 3 PARTS 1 2 PARTS|6 5 2 2 HAS 2 3 HAS|6 6 2 2 supplier 3 5 SUPPLIER 000000004|6 7 2 2 SUPPLIED 5 6 SUPPLIED|6 8 2 2 THAT 6 7 THAT|6 9 2 2 ARE 7 8 ARE|6 10 2 2 THE 8 9 THE|6 11 2 2 SAME 9 10 SAME|6 12 2 2 TYPE 10 11 TYPE|6 13 2 2 AS 11 12 AS|6 14 2 2 part 12 14 BLUE BOLT""".replace("\n", "|")
+
+
+@query(f"with x as (select string_split(x, ' ') as c from (select unnest(string_split('{_TREES}', '|')) as x)) select c[1]::bigint as id, c[2]::integer as node_id, c[3]::integer as parent_id, c[4]::integer as depth, c[5] as symbol, c[6]::integer as start, c[7]::integer as \"end\", nullif(array_to_string(c[8:], ' '), '') as text from x")
 def q_parse_tree(spark, sf_dir):
     nodes = questions.best(_parses(spark, sf_dir)).select("id", F.explode("tree").alias("x"))
     return nodes.select("id", "x.node_id", "x.parent_id", "x.depth", "x.symbol", "x.start", "x.end", "x.text")
 
 
-@query(f"with {_TOKENS}, n as (select upper(s_name) as s, count(*) as c from supplier group by 1) select id, 0.0::double as info from t where regexp_matches(w, '{_SHAPE}$')")
-def q_tree_info(spark, sf_dir):
-    """Names in these questions are unique within their kind, so they carry no information."""
-    leaves = questions.best(_parses(spark, sf_dir)).select("id", F.explode("tree").alias("x")).where("x.is_terminal")
-    return leaves.groupBy("id").agg(F.round(F.sum("x.info"), 6).alias("info"))
-
-
 @query(f"with {_TOKENS}, s as (select id, w, unnest(['ECONOMY', 'PROMO']) as k from t) select id, 'type' as symbol, k as text from s where regexp_matches(w, '{_SHAPE}$') and contains(w, k)")
 def q_find_nodes(spark, sf_dir):
     nodes = questions.best(_parses(spark, sf_dir)).select("id", F.explode("tree").alias("x"))
     return nodes.where("x.symbol = 'type'").select("id", "x.symbol", "x.text")
 
 
-@query()
+@query(f"with {_READ} select id, cast(1 as integer) as rank, interp, decisions, info from reads where whole")
 def q_best_parse(spark, sf_dir):
     return questions.best(_parses(spark, sf_dir), 3).select("id", "rank", "interp", "decisions", F.round("info", 6).alias("info"))
 
@@ -750,3 +753,69 @@ def q_nl_and_genres(spark, sf_dir):
 @query(f"select {_P} as part from {_SOLD} where l_suppkey = 4 and p_type = (select p_type from part where p_partkey = (select min(p_partkey) from part where p_name = 'blue bolt')) order by part limit 100")
 def q_nl_same_genre(spark, sf_dir):
     return questions.answer(spark, sf_dir, QUESTIONS[5][1])
+
+
+# --- questions by plug-ins: names are told by models, so readings have information
+
+#: Questions on books, authors and genres, see demo.books.
+BOOK_QUESTIONS = (
+    (1, "What books has Supplier#000000001 written?"),
+    (2, "What ECONOMY books has Supplier#000000002 written?"),
+    (3, "Which ECONOMY and PROMO books has Supplier#000000003 written?"),
+    (4, "Who wrote blue bolt?"),
+    (5, "Which authors have written ECONOMY and PROMO books?"),
+    (6, "What books has Supplier#000000004 written that are the same genre as blue bolt?"),
+    (7, "How heavy is the moon?"),
+)
+
+
+def _books(spark: SparkSession, sf_dir: str) -> generator.Pipeline:
+    """The models are built once in a session and for a folder, and read from then on."""
+    graph_of = {"star": books.triples(spark, sf_dir)}
+    return generator.Pipeline(spark, books.config(work_folder(spark, sf_dir)), graph_of).build()
+
+
+def _chance(k: str, names: str, asked: str) -> str:
+    """CTEs up to {k}p (s, p): where the rating and the length of each asked string lie among those of the names."""
+    return f"""{k}n as ({names}), {k}m as (select gram, count(*) as cnt from {_g(3, f"{k}n")} group by 1), {k}z as (select sum(cnt) as size from {k}m), {k}o as (select distinct s from (select s from {k}n union all {asked})),
+{k}r as (select s, (sum(coalesce(cnt, 0)) + 1) / (length(s) + 5) / any_value(size) as v from {_g(3, f"{k}o")} left join {k}m using (gram), {k}z group by s),
+{k}x as (select 'r' as f, v from {k}n join {k}r using (s) union all select 'l', cast(length(s) as double) from {k}n),
+{k}g as (select f, min(gap) as g from (select f, v - lag(v) over (partition by f order by v) as gap from (select distinct f, v from {k}x)) group by f),
+{k}t as (select f, min(v) as lo, max(v) as hi, any_value(g) as g from {k}x join {k}g using (f) group by f),
+{k}u as (select f, lo, hi, case when g is null then 1 when floor((hi - lo) / g) > 5000 then 5000 else floor((hi - lo) / g) end as nb, case when g is null then 1 when floor((hi - lo) / g) > 5000 then (hi - lo) / 5000 else g end as gr from {k}t),
+{k}b as (select f, least(floor((v - lo) / gr), nb - 1) as bucket, count(*) as c from {k}x join {k}u using (f) group by 1, 2), {k}d as (select f, bucket, sum(c) over (partition by f order by bucket) / sum(c) over (partition by f) as cum from {k}b),
+{k}w as (select s, 'r' as f, v from {k}r union all select s, 'l', length(s) from {k}o), {k}y as (select s, f, v, (v - lo) / gr as b, floor((v - lo) / gr) as l, lo, hi, nb from {k}w join {k}u using (f)),
+{k}c as (select *, coalesce((select max(cum) from {k}d where {k}d.f = {k}y.f and bucket <= {k}y.l), 0) as c0, coalesce((select max(cum) from {k}d where {k}d.f = {k}y.f and bucket <= {k}y.l + 1), 0) as c1 from {k}y),
+{k}q as (select s, f, case when v < lo then 0 when v >= hi or l >= nb - 1 then 1 when f = 'l' then c0 else c0 + (c1 - c0) * (b - l) end as p from {k}c), {k}p as (select s, product(p) as p from {k}q group by s)"""
+
+
+_BOOK_SPANS = "a(id, kind, s) as (values (1, 'author', 'SUPPLIER000000001'), (2, 'author', 'SUPPLIER000000002'), (2, 'genre', 'ECONOMY'), (3, 'author', 'SUPPLIER000000003'), (3, 'genre', 'ECONOMY'), (3, 'genre', 'PROMO'), (4, 'book', 'BLUEBOLT'), (5, 'genre', 'ECONOMY'), (5, 'genre', 'PROMO'), (6, 'author', 'SUPPLIER000000004'), (6, 'book', 'BLUEBOLT'))"
+_BOOK_NAMES = "select regexp_replace(upper(unnest(case when len(w) >= 2 then [p_name, w[1], w[-1]] else [p_name] end)), '[^A-Z0-9]', '', 'g') as s from (select p_name, list_filter(regexp_split_to_array(p_name, '\\s+'), lambda x: x <> '') as w from part)"
+_SELLERS = "select regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') as s from supplier where s_suppkey in (select l_suppkey from lineitem group by 1 having count(distinct l_partkey) > 1)"
+_PER_KIND = ", ".join(_chance(k, names, f"select s from a where kind = '{kind}'") for k, kind, names in (("k1", "author", _SELLERS), ("k2", "book", _BOOK_NAMES), ("k3", "genre", "select distinct regexp_replace(upper(p_type), '[^A-Z0-9]', '', 'g') as s from part")))
+
+
+@query(f"with {_BOOK_SPANS}, {_PER_KIND}, h as (select a.id, p from a join (select 'author' as kind, * from k1p union all select 'book', * from k2p union all select 'genre', * from k3p) x on x.kind = a.kind and x.s = a.s) select cast(id as bigint) as id, round(sum(-ln(p)), 5) as info from h group by 1")
+def q_tree_info(spark, sf_dir):
+    """The least information of a question's readings: of the names in it, by their kinds' models."""
+    pipe = _books(spark, sf_dir)
+    asked = spark.createDataFrame(list(BOOK_QUESTIONS), "id long, text string")
+    return pipe.interpreted(pipe.scored(asked)).select("id", F.round("info", 5).alias("info"))
+
+
+def _answer(number: int) -> Run:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _books(spark, sf_dir).answer(BOOK_QUESTIONS[number - 1][1], books.triples(spark, sf_dir))
+
+    return run
+
+
+_BOOK_ROW = f"{_P} as book, p_name as title, 'http://ex/type/' || p_type as genre"
+_BLUE = "(select min('http://ex/part/' || p_partkey) from part where p_name = 'blue bolt')"
+for _number, _name, _sql in (
+    (3, "q_books_of_either_genre", f"select distinct {_BOOK_ROW} from {_SOLD} where l_suppkey = 3 and p_type in ('ECONOMY', 'PROMO') order by 1, 2, 3 limit 100"),
+    (4, "q_books_author", f"select distinct {_S} as author, s_name as name from lineitem join supplier on l_suppkey = s_suppkey where 'http://ex/part/' || l_partkey = {_BLUE} order by 1, 2 limit 100"),
+    (5, "q_books_authors_of_both", f"select {_S} as author, s_name as name from supplier where s_suppkey in (select l_suppkey from {_SOLD} where p_type = 'ECONOMY') and s_suppkey in (select l_suppkey from {_SOLD} where p_type = 'PROMO') order by 1, 2 limit 100"),
+    (6, "q_books_same_genre", f"select distinct {_BOOK_ROW} from {_SOLD} where l_suppkey = 4 and p_type = (select p_type from part where 'http://ex/part/' || p_partkey = {_BLUE}) order by 1, 2, 3 limit 100"),
+):
+    QUERIES[_name], ORACLE[_name] = _answer(_number), _sql

@@ -79,9 +79,9 @@ def all_edits(word, letters):
 
 def test_edits_of_whole_words_over_their_own_alphabet(spark, tmp_path):
     spark.createDataFrame([("Big Z9", "Ax#1"), ("big z9", "Ax#7"), ("on", None), (None, "Ax#1")], "p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    one = QUERIES["q_edits1_alphabet"](spark, str(tmp_path)).where("s is not null").collect()
+    one = QUERIES["q_edits1"](spark, str(tmp_path)).where("s is not null").collect()
     assert sorted(map(tuple, one)) == sorted((w, e) for w in ("BIGZ9", "ON") for e in all_edits(w, "BIGZ9ON"))
-    two = QUERIES["q_edits2_brands"](spark, str(tmp_path)).where("word is not null").collect()
+    two = QUERIES["q_edits2"](spark, str(tmp_path)).where("word is not null").collect()
     assert sorted(map(tuple, two)) == sorted((w, f) for w in ("AX#1", "AX#7") for f in {f for e in all_edits(w, "AX#17") for f in all_edits(e, "AX#17")})
 
 
@@ -89,8 +89,8 @@ def test_identify_over_every_alias_of_every_part(spark, tmp_path):
     """A first word is found at distance 0, in each part that has it, by key; more parts of a name than are kept change nothing."""
     rows = [(9, "blue bolt"), (2, "blue bolt"), (5, "Blue ring"), (7, "navy blue"), (1, "red"), (4, "blue bolt"), (8, "blue bolt"), (3, None)]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = QUERIES["q_ident_topk_aliases"](spark, str(tmp_path))
+    got = QUERIES["q_ident_topk"](spark, str(tmp_path))
     assert [tuple(r) for r in got.where("q = 'BLUE'").orderBy("rank").collect()] == [("BLUE", u, "BLUE", 0.0, k + 1) for k, u in enumerate((2, 4, 5, 7, 8))]
     assert [r["uri"] for r in got.where("q = 'BUEBOLT' and s = 'BLUEBOLT'").orderBy("rank").collect()] == [2, 4, 8, 9]
-    assert QUERIES["q_ident_ambiguous_aliases"](spark, str(tmp_path)).where("q = 'BLUE'").count() == 5
-    assert [tuple(r) for r in QUERIES["q_resolve_nodes_aliases"](spark, str(tmp_path)).where("asked in ('blue', 'rd')").orderBy("asked").collect()] == [("blue", 2, "BLUE"), ("rd", 1, "RED")]
+    assert QUERIES["q_ident_ambiguous"](spark, str(tmp_path)).where("q = 'BLUE'").count() == 5
+    assert [tuple(r) for r in QUERIES["q_resolve_nodes"](spark, str(tmp_path)).where("asked in ('blue', 'rd')").orderBy("asked").collect()] == [("blue", 2, "BLUE"), ("rd", 1, "RED")]
