@@ -6,6 +6,7 @@ Everything that is built is a table under the type's folder (results, aliases, g
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,7 +54,7 @@ class EntityType:
             return spark.read.format("sparql").option("endpoint", self.endpoint).option("query", f.read()).load().select("entity", "name")
 
     def build(self, spark: SparkSession, graphs: dict[str, DataFrame] | None = None, rebuild: bool = False) -> EntityType:
-        results = store.built(spark, self._at("results"), lambda: self._ask(spark, graphs or {}), rebuild)
+        results = store.built(spark, self._at("results"), lambda: self._ask(spark, {} if graphs is None else graphs), rebuild)
         named = store.built(spark, self._at("aliases"), lambda: alias_rows(results), rebuild).select(F.col("stand").alias("s"))
         grams = store.built(spark, self._at("grams"), lambda: similarity.gram_model(named, "s", self.gram), rebuild)
         store.built(spark, self._at("lengths"), lambda: models.distribution(named.select(F.length("s").alias("v")), "v"), rebuild)
@@ -107,8 +108,9 @@ class EntityTypes:
         return iter(self.types.values())
 
     def build(self, spark: SparkSession, graphs: dict[str, DataFrame] | None = None, rebuild: bool = False) -> EntityTypes:
-        for t in self:
-            t.build(spark, graphs, rebuild)
+        """All types at the same time: each is a chain of small jobs."""
+        with ThreadPoolExecutor(max(1, len(self.types))) as pool:
+            list(pool.map(lambda t: t.build(spark, graphs, rebuild), self))
         return self
 
     def clean(self, spark: SparkSession) -> None:

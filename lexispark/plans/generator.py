@@ -90,7 +90,7 @@ def from_flat(nodes) -> Node | Leaf:
 
 class Pipeline:
     def __init__(self, spark: SparkSession, config: dict, graphs: dict[str, DataFrame] | None = None):
-        self.spark, self.graphs = spark, graphs or {}
+        self.spark, self.graphs = spark, graphs
         self.types = EntityTypes.from_config(config["named_entity_types"])
         self.tokens = tokenizer(config["tokenizer"])
         generator = config["sparql_generator"]
