@@ -16,16 +16,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     null is left out; no edges give no rows.
     """
     now = checkpointed(_canonical(edges.select("a", "b").where("a is not null and b is not null")))
-    before = None
     for _ in range(most_rounds):
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b")).distinct()
         now = checkpointed(_small_star(_large_star(now)))
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
-        before = sign
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b")).distinct()
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node has one edge down at most, and none if an edge leads down to it."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down")).union(edges.select("b", F.lit(0)))
+    of = ends.groupBy("x").agg(F.sum("down").alias("down"), F.min("down").alias("low"))
+    return of.where("down > 1 or (down > 0 and low = 0)").isEmpty()
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
