@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import checkpointed
+
 WORDS, BITS, URLS_PER_BLOCK = 8, 6, 32
 
 #: Host, path, verdict of each rule.
@@ -93,7 +95,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
         holds = F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}")
         passed = holds if passed is None else passed & holds
     maybe = masks.join(blocks, "block").where(passed).select("_url")
-    exact = maybe.join(own.hint("shuffle_hash"), F.col("_url") == F.col("_listed"), "left").select("_url", F.col("_listed").isNotNull().alias("_hit"))
-    joined = rows.join(exact, "_url", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), hit.alias("listed"))
+    # checkpointed, so that the join that follows reads two plain exchanges, which adaptive execution can split at a frequent URL; pages without one stay where they are
+    hits = checkpointed(maybe.join(own.hint("shuffle_hash"), F.col("_url") == F.col("_listed")).select(F.col("_url").alias("_hit")))
+    named = rows.where("_url <> ''").join(hits, F.col("_url") == F.col("_hit"), "left").withColumn("listed", F.col("_hit").isNotNull()).drop("_hit")
+    both = named.unionByName(rows.where("_url is null or _url = ''").withColumn("listed", F.lit(False)))
+    return both.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed")
