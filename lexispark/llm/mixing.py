@@ -19,7 +19,7 @@ from lexispark.llm.common import checkpointed, fresh, n_words, own_columns, quot
 #: Weights of the sources in order, repeating, and how often a source may be repeated.
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3
 #: Words in a block; documents in a bucket; slots in a stretch; cells by which points find their source.
-BLOCK, BUCKET, STRETCH, CELLS = 64, 4096, 4096, 4096
+BLOCK, BUCKET, STRETCH, CELLS = 64, 1024, 4096, 4096
 #: The golden ratio's fraction in 2**-52, rounded to an odd number, in two parts of 26 bits.
 _PHI_HIGH, _PHI_LOW = divmod(2783377641436327, 1 << 26)
 _HALF = (1 << 26) - 1
