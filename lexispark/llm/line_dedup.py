@@ -112,15 +112,16 @@ def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "do
     )
 
 
-#: For documents whose ids are unique; long_words is 50, without two_lines.
+#: For documents whose ids are unique; long_words is 50, with two_lines.
 ORACLE = r"""
 with l0 as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at_ from documents where text is not null),
 l as (select doc_id, line, at_, row_number() over (partition by doc_id order by at_) as n,
       len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as words
       from l0 where regexp_matches(line, '[^\x20\x09-\x0D]')),
-r as (select doc_id, n, at_, words, line, lead(line, 1) over w as l1, lead(line, 2) over w as l2 from l window w as (partition by doc_id order by n)),
+r as (select doc_id, n, at_, words, line, lead(line, 1) over w as l1, lead(line, 2) over w as l2, lead(words, 1) over w as words1 from l window w as (partition by doc_id order by n)),
 runs as (select doc_id, n, 3 as size, md5(line || chr(10) || l1 || chr(10) || l2) as k from r where l2 is not null
-         union all select doc_id, n, 1, md5(line) from r where words >= 50),
+         union all select doc_id, n, 1, md5(line) from r where words >= 50
+         union all select doc_id, n, 2, md5(line || chr(10) || l1) from r where l1 is not null and words + words1 >= 50),
 f as (select doc_id, n, size, row_number() over (partition by size, k order by doc_id, n) as seen from runs),
 hit as (select distinct doc_id, unnest(range(n, n + size)) as n from f where seen > 1),
 gone as (select r.doc_id, r.at_ from r join hit using (doc_id, n)),

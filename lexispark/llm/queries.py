@@ -45,9 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rule of its SQL, which has no units of two lines; the pipeline's line dedup has them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, two_lines=False)
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE["op1_minhash_near_dedup"] = oracles.NEAR_DUPLICATES
