@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import checkpointed, uniform
+from lexispark.llm.common import checkpointed, fresh, own_columns, quoted, uniform
 
 
 @dataclass(frozen=True)
@@ -110,11 +110,20 @@ def assign(docs: DataFrame, tree: HashTree, id_col: str = "doc_id", text_col: st
     return numbered.join(before, ["shard", "_block"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_at") - 1).cast("long").alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", max_rows_per_file: int = 1_000_000) -> None:
-    """Write docs to path/shard=N/, a hot shard by several tasks. assigned has one row for an id at least; docs keeps its columns."""
-    shard_of = assigned.select(F.col("doc_id").alias("_id"), "shard").distinct()
-    own = docs.drop("shard")
-    joined = own.join(shard_of, own[id_col].eqNullSafe(shard_of["_id"])).drop("_id")
-    spread = F.pmod(F.xxhash64(F.col(id_col)), F.lit(4))
-    joined.repartition("shard", spread).write.partitionBy("shard").option("maxRecordsPerFile", max_rows_per_file).parquet(path)
+def write_shards(docs: DataFrame, tree: HashTree, path: str, id_col: str = "doc_id", rows_a_file: int = 1_000_000) -> None:
+    """Write docs to path/shard=N/, a shard by as many tasks as it has rows_a_file rows. Columns stay as they are, but one named shard is replaced; rows with null or repeated ids stay.
 
+    Rows are placed where they are, without a join; only the shards' sizes, a row for each shard, are gathered first.
+    """
+    spread, files = fresh(docs, "_spread", "_files")
+    plain = docs.drop("shard")
+    names = plain.columns
+    placed = place(plain.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("_k", F.col(f"c{names.index(id_col)}")), tree, "_k").drop("_k")
+    placed = placed.toDF(*names, "shard")
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / rows_a_file).alias(files))
+    # one row for each shard
+    # by what a row holds, so that a task that runs again deals its rows the same way
+    held = F.xxhash64(*[quoted(f.name) for f in plain.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    dealt = placed.join(F.broadcast(sizes), "shard").withColumn(spread, F.pmod(held, F.col(files)).cast("int"))
+    n = sizes.agg(F.coalesce(F.sum(files), F.lit(1))).first()[0]
+    dealt.repartition(int(n), "shard", spread).select(*own_columns(plain), "shard").write.partitionBy("shard").parquet(path)

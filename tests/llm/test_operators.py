@@ -249,16 +249,16 @@ def test_repetition_rejects_beyond_the_base(spark):
 
 
 def brute_line_dedup(rows):
-    """By id and place; every run of 3 lines with words, and every line of 50 words, after its first occurrence."""
+    """By id and place; every run of 3 lines with words, every two of 50 words together, and every line of 50 words, after its first occurrence."""
     seen, out = set(), {}
     for i, text in sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None}):
         lines = text.split("\n")
         own = [(k, x) for k, x in enumerate(lines) if WORD.search(x)]
         gone = set()
         for n in range(len(own)):
-            for size in (3, 1):
+            for size in (3, 2, 1):
                 part = own[n : n + size]
-                if len(part) < size or size == 1 and len(WORD.findall(part[0][1])) < 50:
+                if len(part) < size or size < 3 and sum(len(WORD.findall(x)) for _, x in part) < 50:
                     continue
                 key = tuple(x for _, x in part)
                 if key in seen:
@@ -278,6 +278,12 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).isEmpty()
 
 
+def test_line_dedup_without_pairs_of_lines(spark):
+    line = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    docs = spark.createDataFrame([(1, f"{line('a')}\n{line('b')}\nx"), (2, f"y\n{line('a')}\n{line('b')}")], "doc_id long, text string")
+    assert line_dedup.dedup_lines(docs, two_lines=False).where("n_removed > 0").isEmpty() and line_dedup.dedup_lines(docs).where("n_removed = 2").count() == 1
+
+
 def test_line_dedup_of_two_lines(spark):
     """Two whole lines of 30 words each, among other neighbours, go where they come again; of 30 and 19 they stay, and so does one of 30 alone."""
     line = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
@@ -395,6 +401,25 @@ def test_pii_adds_what_it_believes(spark):
 URLS = ["https://WWW.Example.net/en/a?x=1#y", "http://a.example.net/fr/", "http://shop.org/fr/x", "https://example.com/de/b", "https://example.com/x/index.html?utm_source=1&b=2&a=1", "http://m.example.com/x?a=1&b=2", "no scheme", "", None, "http://[::1", "ftp://h"]
 
 
+def test_sharded_files(spark, tmp_path):
+    """Every row in its shard's folder, a large shard in several files, rows with repeated and null ids once each, columns as they are."""
+    rows = [(i % 90, f"t{i}", 5) for i in range(300)] + [(None, "x", 1), (None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _shard int")
+    tree = sharding.HashTree(((sharding.Rack((1.0, 50.0)),),))
+    sharding.write_shards(docs, tree, str(tmp_path / "s"), rows_a_file=40)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"], r["_shard"]) for r in back.collect()) == Counter(rows)
+    want = {(r["doc_id"], r["text"]): r["shard"] for r in sharding.place(docs, tree, "doc_id").collect()}
+    assert all(want[r["doc_id"], r["text"]] == r["shard"] for r in back.collect())
+    assert len(list((tmp_path / "s" / "shard=1").glob("*.parquet"))) >= 4
+
+
+def test_url_filter_with_a_frequent_url(spark):
+    pages = spark.createDataFrame([(i, "http://a.com/x" if i % 3 else None) for i in range(400)] + [(900, "http://a.com/y")], "page_id long, url string")
+    got = url_filter.filter_urls(pages, spark.createDataFrame([("a.com/x",)], "u string"))
+    assert got.count() == 401 and got.where("listed").count() == 266 and got.where("page_id = 900 and verdict = 'allow'").count() == 1
+
+
 def test_url_filter(spark):
     pages = spark.createDataFrame([(i, u, 1, "z") for i, u in enumerate([*URLS, URLS[4]])] + [(None, None, 1, "z")], "page_id long, url string, block long, host string")
     listed = spark.createDataFrame([("example.com/x?a=1&b=2",), (None,), ("",), ("example.com/x?a=1&b=2",)], "u string")
