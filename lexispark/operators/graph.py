@@ -116,16 +116,21 @@ def cyclic_vertices(edges: DataFrame) -> DataFrame:
     return cycles(edges).select("v")
 
 
-def paths(edges: DataFrame, start: str, goal: str, longest: int = 32) -> DataFrame:
-    """(path): the simple paths from start to goal that are shortest, as arrays of vertices; none if there is no path."""
+def paths(edges: DataFrame, start: str, goal: str, longest: int = 1000) -> DataFrame:
+    """(path): the shortest paths from start to goal, as arrays of vertices; none if there is no path.
+
+    Step by step, only along edges to vertices that no shorter path has reached.
+    """
     spark = edges.sparkSession
-    now = spark.createDataFrame([([start],)], "path array<string>")
+    now, seen = spark.createDataFrame([([start],)], "path array<string>"), spark.createDataFrame([(start,)], "v string")
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
     for _ in range(longest):
-        now = _cut(now.withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
         if not (done := now.where(F.element_at("path", -1) == goal)).isEmpty() or now.isEmpty():
             return done
-    return now.where("false")
+        ahead = now.withColumn("src", F.element_at("path", -1)).join(e, "src").join(seen, F.col("dst") == F.col("v"), "left_anti")
+        now = _cut(ahead.select(F.concat("path", F.array("dst")).alias("path")))
+        seen = _cut(seen.union(now.select(F.element_at("path", -1))).distinct())
+    raise RuntimeError(f"no path within {longest} steps")
 
 
 def path_or_cycle(edges: dict[str, list[str]], start: str, goal: str) -> list[str] | None:

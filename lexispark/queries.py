@@ -373,6 +373,16 @@ def q_similar_pairs(spark, sf_dir):
     return similarity.similar_pairs(_names(spark, sf_dir), "s", 0.7).withColumn("d", F.round("d", 6))
 
 
+_WORDS = "n as (select distinct unnest(regexp_extract_all(lower(trim(text)), '\\w+')) as s from benchmark)"
+
+
+@query(f"with {_WORDS}, {_PAIRS}, d as (select a, b, 1 - i / (length(a) + length(b) + 4 - i) as d from p) select a, b, round(d, 6) as d from d where d <= 0.4")
+def q_similar_words(spark, sf_dir):
+    """Of all words of the benchmark's texts."""
+    found = table(spark, sf_dir, "benchmark").select(F.explode(X.words(F.col("text"))).alias("s")).distinct()
+    return similarity.similar_pairs(found, "s", 0.4).withColumn("d", F.round("d", 6))
+
+
 _HALVES = f"{_ALL}, h as (select p_partkey % 2 = 0 as old, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') as s from part)"
 
 

@@ -25,6 +25,14 @@ def test_results_in_json(spark, tmp_path):
     assert sorted(back.select("book", "book_type", "title").collect()) == [("http://x/1", "uri", "a"), ("http://x/2", "uri", None)]
 
 
+def test_triples_by_predicate(spark, tmp_path):
+    triples = spark.createDataFrame([("a", "http://p/x", "1", None), ("a", "y", "2", "en")], "s string, p string, o string, o_lang string")
+    rdf.write_triples(triples, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert [tuple(r) for r in back.where("p = 'http://p/x'").select("s", "p", "o", "o_lang").collect()] == [("a", "http://p/x", "1", None)]
+    assert [r["o"] for r in parse_query("SELECT ?o { ?s <y> ?o }").to_df(back).collect()] == ["2"]
+
+
 def test_name_lists(spark, tmp_path):
     (tmp_path / "n.csv").write_text('year,name,percent,sex\n"1880","Ann",0.01,"girl"\n"1880","Sam",0.02,"boy"\n"1881","sam ",0.0006,"girl"\n"1881","Rare",0.0004,"boy"\n')
     rows = rdf.name_frequencies(spark, str(tmp_path / "n.csv"))
