@@ -236,7 +236,7 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     every = members.join(sets, F.col("_id") == F.col("_c")).select("_id", "_n", "_l", F.explode("_set").alias("_token"))
     needed = F.ceil(F.col("_n") * percent / 100)
     own = Window.partitionBy("_id")
-    for _ in range(3):
+    for _ in range(2):
         # checkpointed, so that the join that follows reads two plain exchanges, which adaptive execution can split at a hot shingle
         shared = checkpointed(every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c"))
         every = checkpointed(every.select("_id", "_n", "_l", "_token").join(shared, "_token").withColumn("_m", F.count("*").over(own)).where(F.col("_m") >= needed))
