@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Cut the lineage by writing df to the reliable checkpoint folder (spark.checkpoint.dir; a temporary one only in local mode, where the session names none).
 
+    narrow: rows of a few numbers, a class or a link each, which many iterations write; they are dealt to as many files as there are cores, not to one for each shuffle partition.
+
     Once it is written nothing reads the shuffles it came from, so Spark is told to remove their files at once instead of when the driver collects garbage.
     """
     spark = df.sparkSession
@@ -32,6 +34,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lexispark-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    if narrow:
+        df = df.repartition(context.defaultParallelism)
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:

@@ -15,11 +15,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the largest component. Loops and repeated edges are harmless; a node with
     null is left out; no edges give no rows.
     """
-    now = checkpointed(_canonical(edges.select("a", "b").where("a is not null and b is not null")))
+    now = checkpointed(_canonical(edges.select("a", "b").where("a is not null and b is not null")), narrow=True)
     for _ in range(most_rounds):
         if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b")).distinct()
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now)), narrow=True)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

@@ -98,7 +98,7 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_w
     of = lambda word: F.when(word < F.col("_more") * (F.col("_each") + 1), _div(word, F.col("_each") + 1)).otherwise(F.col("_more") + _div(word - F.col("_more") * (F.col("_each") + 1), F.col("_each")))
     rest = F.col("_take") % F.col("source_size")
     needs = _div(F.col("_take"), F.col("source_size")) * F.col("_nb") + F.when(rest > 0, of(rest - 1) + 1).otherwise(F.lit(0))
-    plan = checkpointed(plan.withColumn("_slots", F.when(F.col("source_size") > 0, needs).otherwise(F.lit(0))))
+    plan = checkpointed(plan.withColumn("_slots", F.when(F.col("source_size") > 0, needs).otherwise(F.lit(0))), narrow=True)
     n_slots = max(1, total["n"] // block_words)
     slots = schedule(spark, plan, n_slots)
     drawn = slots.groupBy("_s").agg(F.count("*").alias("_drawn"))

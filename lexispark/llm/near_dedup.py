@@ -124,12 +124,12 @@ def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
     """
     sig, of_class = _classes(docs, shingle_words, percent, id_col, text_col, half_keys, rows)
     each = sig.where("_n > 0").groupBy("_id", "_h", "_key").agg(F.count("*").alias("_many")).join(of_class.select("_key", "_label"), "_key")
-    each = checkpointed(each.select("_id", "_h", "_many", "_label"))
+    each = checkpointed(each.select("_id", "_h", "_many", "_label"), narrow=True)
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_h").alias("h"))
-    winners = checkpointed(each.groupBy("_label").agg(F.min(place).alias("_first")))
+    winners = checkpointed(each.groupBy("_label").agg(F.min(place).alias("_first")), narrow=True)
     found = each.join(winners, "_label").withColumn("_stays", place == F.col("_first"))
     row_id, row_h, stays = fresh(docs, "_id", "_h", "_stays")
-    special = checkpointed(found.where("not _stays or _many > 1").select(F.col("_id").alias(row_id), F.col("_h").alias(row_h), F.col("_stays").alias(stays)))
+    special = checkpointed(found.where("not _stays or _many > 1").select(F.col("_id").alias(row_id), F.col("_h").alias(row_h), F.col("_stays").alias(stays)), narrow=True)
     same = quoted(id_col).cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(quoted(text_col).cast("string")) == F.col(row_h))
     alone = docs.join(special.select(row_id, row_h), same, "left_anti")
     again = special.where(F.col(stays))
@@ -179,7 +179,7 @@ def _verified_links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k:
     links, labelled = None, buckets.withColumn("_label", F.col("_c"))
     for turn in range(3):
         pairs = _possible(_leader_pairs(labelled, percent, turn), sets, percent) if turn < 2 else _prefix_pairs(labelled, sets, percent)
-        found = checkpointed(_confirmed(pairs, sets, percent).where("_linked").select("a", "b"))
+        found = checkpointed(_confirmed(pairs, sets, percent).where("_linked").select("a", "b"), narrow=True)
         links = found if links is None else links.union(found)
         if turn < 2:
             labels = components(links)
@@ -238,7 +238,7 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     own = Window.partitionBy("_id")
     for _ in range(2):
         # checkpointed, so that the join that follows reads two plain exchanges, which adaptive execution can split at a hot shingle
-        shared = checkpointed(every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c"))
+        shared = checkpointed(every.groupBy("_token").agg(F.count("*").alias("_c"), F.min("_l").alias("_p"), F.max("_l").alias("_q")).where("_p <> _q").select("_token", "_c"), narrow=True)
         every = checkpointed(every.select("_id", "_n", "_l", "_token").join(shared, "_token").withColumn("_m", F.count("*").over(own)).where(F.col("_m") >= needed))
     rarest = own.orderBy("_c", "_token")
     ranked = every.withColumn("_at", F.row_number().over(rarest)).withColumn("_before", F.collect_list("_token").over(rarest.rowsBetween(-_EARLIER, -1)))
@@ -247,7 +247,7 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFra
     posts = checkpointed(posts.join(sets.select(F.col("_c").alias("_id"), *[F.get("_marks", F.lit(i)).alias(m) for i, m in enumerate(marks)]), "_id"))
     of_label = posts.groupBy("_token", "_l").agg(F.count("*").alias("_c"))
     largest = of_label.groupBy("_token").agg(F.max(F.struct("_c", "_l")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1").select("_token", F.col("_top._l").alias("_top"))
-    posts = checkpointed(posts.join(checkpointed(largest), "_token"))
+    posts = checkpointed(posts.join(checkpointed(largest, narrow=True), "_token"))
     outside = posts.where("_l <> _top").select("_token", *[F.col(c).alias(f"{c}2") for c in ("_id", "_n", "_l", "_m", "_at", "_before", *marks)])
     overlap = F.ceil((F.col("_n") + F.col("_n2")) * percent / (100 + percent))
     can = F.least("_at", "_at2") + F.least(F.col("_m") - F.col("_at"), F.col("_m2") - F.col("_at2")) >= overlap
