@@ -18,10 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, narrow: bool = False) -> DataFrame:
+def few_files(docs: DataFrame, most_bytes: int = 128 << 20) -> int:
+    """How many files hold what is made of docs, if each is to hold what came of most_bytes of it at most; no more than shuffle partitions, as joins
+    are thought larger than they are; 0 if Spark doesn't know the size."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(-(-size // most_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if size < 1 << 60 else 0
+
+
+def checkpointed(df: DataFrame, narrow: bool = False, files: int = 0) -> DataFrame:
     """Cut the lineage by writing df to the reliable checkpoint folder (spark.checkpoint.dir; a temporary one only in local mode, where the session names none).
 
     narrow: rows of a few numbers, a class or a link each, which many iterations write; they are dealt to as many files as there are cores, not to one for each shuffle partition.
+    files: the least number of them, where rows grow with the documents.
 
     Once it is written nothing reads the shuffles it came from, so Spark is told to remove their files at once instead of when the driver collects garbage.
     """
@@ -35,7 +43,7 @@ def checkpointed(df: DataFrame, narrow: bool = False) -> DataFrame:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     if narrow:
-        df = df.repartition(context.defaultParallelism)
+        df = df.repartition(max(context.defaultParallelism, files))
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:

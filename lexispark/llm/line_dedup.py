@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import WORD, checkpointed, fresh, own_columns, quoted
+from lexispark.llm.common import WORD, checkpointed, few_files, fresh, own_columns, quoted
 
 #: Lines in a gram, grams in a window; a shared run of GRAM + WINDOW - 1 = 3 lines is always found.
 GRAM, WINDOW = 2, 2
@@ -44,17 +44,19 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     )
     own = Window.partitionBy("_id", "_h").orderBy("_at")
     # the stretch of LEAST lines that begins at each line, its grams, and the one that the window selects
-    ahead = lines.withColumn("_n", F.row_number().over(own)).withColumn("_s", F.collect_list("_x").over(own.rowsBetween(0, LEAST - 1)))
-    ahead = ahead.withColumn("_long", F.col("_w") >= long_words)
+    ahead = lines.select("*", F.row_number().over(own).alias("_n"), F.lead("_w").over(own).alias("_w1"), *[F.lead("_x", i).over(own).alias(f"_x{i}") for i in range(1, LEAST)])
+    stretch = [F.col("_x"), *[F.col(f"_x{i}") for i in range(1, LEAST)]]
+    whole = stretch[-1].isNotNull()
     # null at the last line
-    pair = F.when(F.col("_w") + F.lead("_w").over(own) >= long_words, _hash("_x", F.get("_s", F.lit(1)), F.lit(2))) if two_lines else F.lit(None).cast("long")
-    grams = [_hash(F.get("_s", F.lit(i)), F.get("_s", F.lit(i + 1))) for i in range(WINDOW)]
+    pair = F.when(F.col("_w") + F.col("_w1") >= long_words, _hash(*stretch[:2], F.lit(2))) if two_lines else F.lit(None).cast("long")
+    grams = [_hash(*stretch[i : i + GRAM]) for i in range(WINDOW)]
     ahead = ahead.select(
-        "_id", "_h", "_at", "_n", "_x", "_long", pair.alias("_pair"),
-        F.when(F.size("_s") == LEAST, _hash(*[F.get("_s", F.lit(i)) for i in range(LEAST)], F.lit(LEAST))).alias("_run"),
-        F.when(F.size("_s") == LEAST, F.array_min(F.array(*[F.struct(g.alias("g"), F.lit(-i).alias("d")) for i, g in enumerate(grams)]))).alias("_pick"),
+        "_id", "_h", "_at", "_n", "_x", (F.col("_w") >= long_words).alias("_long"), pair.alias("_pair"),
+        F.when(whole, _hash(*stretch, F.lit(LEAST))).alias("_run"),
+        F.when(whole, F.array_min(F.array(*[F.struct(g.alias("g"), F.lit(-i).alias("d")) for i, g in enumerate(grams)]))).alias("_pick"),
     )
-    ahead = checkpointed(ahead)
+    files = few_files(docs)
+    ahead = checkpointed(ahead, narrow=True, files=files)
     # fingerprints at their positions, once each, and those that occur at two places
     picked = ahead.where("_pick is not null").select("_id", "_h", (F.col("_n") - F.col("_pick.d")).alias("_n"), F.col("_pick.g").alias("_print"))
     alone = ahead.where("_long").select("_id", "_h", "_n", _hash("_x", F.lit(0)).alias("_print"))
@@ -70,10 +72,10 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     if two_lines:
         units = units.union(near.where("_pair is not null").select("_id", "_h", "_n", "_pair", F.lit(2)))
     place = F.struct(F.col("_id").isNull().alias("_z"), "_id", "_h", "_n")
-    units = checkpointed(units)
+    units = checkpointed(units, narrow=True, files=files)
     first = units.groupBy("_key", "_size").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
     # checkpointed, so that the join reads two plain exchanges, which adaptive execution can split at a frequent passage
-    later = units.join(checkpointed(first), ["_key", "_size"]).where(~place.eqNullSafe(F.col("_first")))
+    later = units.join(checkpointed(first, narrow=True, files=files), ["_key", "_size"]).where(~place.eqNullSafe(F.col("_first")))
     hit = later.select("_id", "_h", F.explode(F.expr("sequence(_n, _n + _size - 1)")).alias("_n")).distinct()
     return _at_places(ahead.select("_id", "_h", "_n", "_at"), hit).groupBy("_id", "_h").agg(F.sort_array(F.collect_list("_at")).alias("removed"))
 

@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, line_dedup, lm_bloom, mixing, mpeg_audio, near_dedup, pii, queries, repetition, sharding, textbytes, url_filter
+from lexispark.llm.common import few_files
 from lexispark.llm.components import components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -294,6 +296,33 @@ def test_line_dedup_of_two_lines(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {**dict(enumerate(texts)), 1: "x2\ny2", 6: "q"}
 
 
+def test_line_dedup_writes_few_files(spark):
+    """However many shuffle partitions there are, its three checkpoints take a file a core each."""
+    texts = [f"own {i}\nsame a\nsame b\nsame c\nlast {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    line_dedup.dedup_lines(docs.limit(1))  # the checkpoint folder is set
+    there = lambda: {str(p) for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*")}
+    before, changed = there(), {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {i: t if i == 0 else f"own {i}\nlast {i}" for i, t in enumerate(texts)}
+    assert 0 < len(there() - before) <= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_few_files_follow_the_size(spark, tmp_path):
+    spark.range(1000).write.parquet(f"{tmp_path}/x")
+    docs, size = spark.read.parquet(f"{tmp_path}/x"), sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert few_files(docs, size) == 1 and few_files(docs, -(-size // 2)) == 2
+    assert few_files(docs, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert few_files(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "id long")) == 0  # of unknown size
+
+
 def test_pii(docs, empty):
     r = {x["doc_id"]: x for x in pii.find(docs).collect()}
     text = next(x[1] for x in ROWS if x[1] and "me@x" in x[1])
