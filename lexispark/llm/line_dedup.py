@@ -30,10 +30,11 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True, narrow: bool = False) -> DataFrame:
     """(_id, _h, removed): for each document with a repeated run, the places of its lines to delete, from 0, ascending; _h is its text's hash.
 
     Rows that agree in id and text are one document; rows that share an id only are ordered by their text's hash.
+    narrow: checkpoints go to few files, a core or 128 MB of docs each, not to one for each shuffle partition; tasks are larger then, so it is for executors without Python workers.
     """
     source = docs.select(quoted(id_col).cast("long").alias("_id"), F.xxhash64(quoted(text_col)).alias("_h"), quoted(text_col).alias("_t")).where(F.col("_t").isNotNull())
     lines = (
@@ -55,8 +56,8 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
         F.when(whole, _hash(*stretch, F.lit(LEAST))).alias("_run"),
         F.when(whole, F.array_min(F.array(*[F.struct(g.alias("g"), F.lit(-i).alias("d")) for i, g in enumerate(grams)]))).alias("_pick"),
     )
-    files = few_files(docs)
-    ahead = checkpointed(ahead, narrow=True, files=files)
+    files = few_files(docs) if narrow else 0
+    ahead = checkpointed(ahead, narrow, files)
     # fingerprints at their positions, once each, and those that occur at two places
     picked = ahead.where("_pick is not null").select("_id", "_h", (F.col("_n") - F.col("_pick.d")).alias("_n"), F.col("_pick.g").alias("_print"))
     alone = ahead.where("_long").select("_id", "_h", "_n", _hash("_x", F.lit(0)).alias("_print"))
@@ -72,10 +73,10 @@ def repeated_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str =
     if two_lines:
         units = units.union(near.where("_pair is not null").select("_id", "_h", "_n", "_pair", F.lit(2)))
     place = F.struct(F.col("_id").isNull().alias("_z"), "_id", "_h", "_n")
-    units = checkpointed(units, narrow=True, files=files)
+    units = checkpointed(units, narrow, files)
     first = units.groupBy("_key", "_size").agg(F.min(place).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
     # checkpointed, so that the join reads two plain exchanges, which adaptive execution can split at a frequent passage
-    later = units.join(checkpointed(first, narrow=True, files=files), ["_key", "_size"]).where(~place.eqNullSafe(F.col("_first")))
+    later = units.join(checkpointed(first, narrow, files), ["_key", "_size"]).where(~place.eqNullSafe(F.col("_first")))
     hit = later.select("_id", "_h", F.explode(F.expr("sequence(_n, _n + _size - 1)")).alias("_n")).distinct()
     return _at_places(ahead.select("_id", "_h", "_n", "_at"), hit).groupBy("_id", "_h").agg(F.sort_array(F.collect_list("_at")).alias("removed"))
 
@@ -94,16 +95,16 @@ def _kept_text(text: Column, removed: Column) -> Column:
     return F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["from"], g["n"]))), "\n")
 
 
-def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", two_lines: bool = True, n_lines: str = "n_lines", n_removed: str = "n_removed", narrow: bool = False) -> DataFrame:
     """docs with repeated runs of lines deleted from the text, and n_lines and n_removed (of lines) added; columns of those names are replaced.
 
     Deleted: every line of a run of at least 3 lines with a word each that occurs earlier, lines without a word not counted, every line
     of at least long_words words that occurs earlier, and, with two_lines, both lines of two consecutive ones of at least long_words words together
     that occur earlier. Lines without a word are never deleted. No row goes: a text that repeats others becomes empty. Null stays null (0 lines), an empty text has one line and stays. Rows that repeat an id
-    and its text get the same result; rows that repeat an id only, and rows with a null id, are documents of their own, told apart by their texts.
+    and its text get the same result; rows that repeat an id only, and rows with a null id, are documents of their own, told apart by their texts. narrow: as in repeated_lines.
     """
     row_id, row_h, places = fresh(docs, "_rid", "_rh", "_removed")
-    found = repeated_lines(docs, long_words, id_col, text_col, two_lines).withColumnsRenamed({"_id": row_id, "_h": row_h, "removed": places})
+    found = repeated_lines(docs, long_words, id_col, text_col, two_lines, narrow).withColumnsRenamed({"_id": row_id, "_h": row_h, "removed": places})
     joined = docs.select(*own_columns(docs, [n_lines, n_removed])).join(found, quoted(id_col).cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(quoted(text_col)) == F.col(row_h)), "left")
     gone, own = F.col(places), quoted(text_col)
     text = F.when(gone.isNull(), own).otherwise(_kept_text(own, gone))
