@@ -468,7 +468,8 @@ def q_span_prob(spark, sf_dir):
 
     f = _frequent(spark, sf_dir)
     p = f.join(F.broadcast(f.agg(F.sum("c").alias("z")))).select(F.col("w").alias("span"), X.info(F.col("c") / F.col("z")).alias("info"))  # one row
-    hit = _conversation_spans(spark, sf_dir).join(p, "span")
+    # the planner takes the spans for as small as the file of the texts they come from, and would broadcast all of them
+    hit = _conversation_spans(spark, sf_dir).join(p.hint("merge"), "span")
     best = Window.partitionBy("id", "start").orderBy(F.round("info", 9), "n")
     return hit.select("id", "start", "n", "span", F.round("info", 6).alias("info"), F.row_number().over(best).alias("rank"))
 

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -94,3 +96,17 @@ def test_identify_over_every_alias_of_every_part(spark, tmp_path):
     assert [r["uri"] for r in got.where("q = 'BUEBOLT' and s = 'BLUEBOLT'").orderBy("rank").collect()] == [2, 4, 8, 9]
     assert QUERIES["q_ident_ambiguous"](spark, str(tmp_path)).where("q = 'BLUE'").count() == 5
     assert [tuple(r) for r in QUERIES["q_resolve_nodes"](spark, str(tmp_path)).where("asked in ('blue', 'rd')").orderBy("asked").collect()] == [("blue", 2, "BLUE"), ("rd", 1, "RED")]
+
+
+def test_spans_are_not_broadcast_for_the_small_file_of_their_texts(spark, tmp_path):
+    """60,000 spans of a text whose file is a few KB; they would pass the limit of what may be broadcast."""
+    n = 10_000
+    spark.createDataFrame([(1, 2, "user", "ab cd " * n), (1, 3, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "ab " * 60 + "cd " * 50 + "abcd " * 90 + "few " * 49)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        got = QUERIES["q_span_prob"](spark, str(tmp_path)).groupBy("id", "n", "span", "info", "rank", (F.col("start") % 2).alias("odd")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    info = {w: round(-math.log(c / 200), 6) for w, c in (("AB", 60), ("CD", 50), ("ABCD", 90))}
+    assert {tuple(r) for r in got} == {(1002, 2, "ABCD", info["ABCD"], 1, 0, n), (1002, 1, "AB", info["AB"], 2, 0, n), (1002, 1, "CD", info["CD"], 1, 1, n)}
